@@ -14,9 +14,9 @@ SHARES = ["share_low", "share_in_range", "share_high"]
 
 # ---- flagship: time in each glucose band per class -------------------------------
 @query("band_shares_by_class", """
-    SELECT p.types, count_if(r.value < 70) AS n_low,
-           count_if(r.value >= 70 AND r.value < 180) AS n_in_range,
-           count_if(r.value >= 180) AS n_high, count(*) AS n,
+    SELECT p.types, CAST(count_if(r.value < 70) AS BIGINT) AS n_low,
+           CAST(count_if(r.value >= 70 AND r.value < 180) AS BIGINT) AS n_in_range,
+           CAST(count_if(r.value >= 180) AS BIGINT) AS n_high, count(*) AS n,
            count_if(r.value < 70) / count(*) AS share_low,
            count_if(r.value >= 70 AND r.value < 180) / count(*) AS share_in_range,
            count_if(r.value >= 180) / count(*) AS share_high
@@ -184,8 +184,8 @@ def q_add_scaled_target(spark, sf_dir):
 
 @query("course_from_type", """
     SELECT id, split_part(id, '_', 2) AS type,
-           CASE split_part(id, '_', 2) WHEN 'NGT' THEN 0.0 WHEN 'IGR' THEN 0.5
-                WHEN 'T2D' THEN 1.0 WHEN 'T1D' THEN 1.0 END AS course
+           CAST(CASE split_part(id, '_', 2) WHEN 'NGT' THEN 0.0 WHEN 'IGR' THEN 0.5
+                WHEN 'T2D' THEN 1.0 WHEN 'T1D' THEN 1.0 END AS DOUBLE) AS course
     FROM clinical""", views=("clinical",), round_cols=["course"])
 def q_course_from_type(spark, sf_dir):
     """Class from the second '_' part of the id, then its course value."""

@@ -41,6 +41,12 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "pos", "value")
 
 
+def readings_15min(rd: DataFrame) -> DataFrame:
+    """Three 5-minute slots averaged into one 15-minute slot (96 per day)."""
+    return (rd.groupBy("sample_id", (F.col("pos") / 3).cast("int").alias("pos"))
+            .agg(F.avg("value").alias("value")))
+
+
 def person_labels(person: F.Column) -> dict:
     """Label columns of a person: class, HbA1c target (some missing), filled flag, fold."""
     types = (F.when(person % 3 == 0, F.lit(CLASSES[0]))
@@ -235,6 +241,19 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                (person % 7) = 3 AS filled,
                CAST(floor({u_sql(5, 'person')} * 5) AS INTEGER) AS fold
         FROM (SELECT DISTINCT user_id AS person, {_SAMPLE_KEY} AS sample_id FROM events) s""", ()),
+    "grid": ("""
+        SELECT s.sample_id, g.i AS pos, r.value
+        FROM (SELECT DISTINCT sample_id FROM readings) s
+        CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(288)) g
+        LEFT JOIN readings r ON r.sample_id = s.sample_id AND r.pos = g.i""", ("readings",)),
+    "readings96": ("""
+        SELECT sample_id, CAST(pos // 3 AS INTEGER) AS pos, avg(value) AS value
+        FROM readings GROUP BY 1, 2""", ("readings",)),
+    "grid96": ("""
+        SELECT s.sample_id, g.i AS pos, r.value
+        FROM (SELECT DISTINCT sample_id FROM readings) s
+        CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(96)) g
+        LEFT JOIN readings96 r ON r.sample_id = s.sample_id AND r.pos = g.i""", ("readings", "readings96")),
     "persons": (f"""
         SELECT person,
                CASE WHEN person % 3 = 0 THEN 'NGT' WHEN person % 3 = 1 THEN 'IGR' ELSE 'T2D' END AS types,
