@@ -94,36 +94,29 @@ def series_moments(rd: DataFrame, sample: str = "sample_id", value: str = "value
 
 
 # ---- A8 ---------------------------------------------------------------------------
-def acf(arr_df: DataFrame, nlags: int = 20, sample: str = "sample_id",
-        arr: str = "input_ids") -> DataFrame:
-    """Autocorrelation for lags 0..nlags per series (array form, one day).
+def acf(rd: DataFrame, nlags: int = 20, sample: str = "sample_id", pos: str = "pos",
+        value: str = "value") -> DataFrame:
+    """Autocorrelation for lags 0..nlags per series, on long form.
 
     acf_k = sum over present pairs (x_t - m)(x_{t+k} - m) / sum over present
-    (x_t - m)^2, with m the mean of the present readings (statsmodels' default
-    estimator on a gap-free series). Zero variance gives null.
+    (x_t - m)^2, m = mean of the present readings (statsmodels' default
+    estimator on a gap-free series); a lag without pairs gives 0, zero variance
+    gives null. Pairs come from an equi-join of the lag-exploded readings on
+    (sample, position), all in whole-stage codegen; nothing is collected per series.
     """
-    a = F.col(arr)
-    n = F.size(a)
-    present = F.filter(a, lambda x: ~is_missing(x))
-    m = F.aggregate(present, F.lit(0.0), lambda acc, x: acc + x) / F.size(present)
-
-    def dev(i):
-        x = F.element_at(a, i + 1)
-        return F.when(~is_missing(x), x - F.col("_m"))
-
-    den = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0),
-                      lambda acc, t: acc + F.coalesce(dev(t) * dev(t), F.lit(0.0)))
-
-    def num(k):
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0),
-                           lambda acc, t: acc + F.when(t + k < n, F.coalesce(dev(t) * dev(t + k), F.lit(0.0)))
-                           .otherwise(F.lit(0.0)))
-
-    base = arr_df.select(sample, a.alias(arr)).withColumn("_m", m)
-    base = base.withColumn("_den", den)
-    lags = base.select(sample, arr, "_m", "_den",
-                       F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"))
-    return lags.select(sample, "lag", F.try_divide(num(F.col("lag")), F.col("_den")).alias("acf"))
+    from pyspark.sql import Window
+    ok = rd.filter(~is_missing(value))
+    d = ok.select(sample, pos, (F.col(value) - F.avg(value).over(Window.partitionBy(sample))).alias("x"))
+    den = d.groupBy(sample).agg(F.sum(F.col("x") * F.col("x")).alias("_den"))
+    lagged = d.select(sample, F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"),
+                      F.col(pos).alias("_p"), F.col("x").alias("xa"))
+    lagged = lagged.withColumn(pos, F.col("_p") + F.col("lag"))
+    pairs = lagged.join(d.withColumnRenamed("x", "xb"), [sample, pos])
+    num = pairs.groupBy(sample, "lag").agg(F.sum(F.col("xa") * F.col("xb")).alias("_num"))
+    frame = den.select(sample, "_den", F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"))
+    out = frame.join(num, [sample, "lag"], "left")
+    return out.select(sample, "lag", F.try_divide(F.coalesce(F.col("_num"), F.lit(0.0)),
+                                                  F.when(F.col("_den") != 0, F.col("_den"))).alias("acf"))
 
 
 # ---- A9 / A10: numpy in Arrow batches ------------------------------------------------
@@ -274,7 +267,7 @@ def sampling_quality(a_arr: DataFrame, b_arr: DataFrame, arr: str = "input_ids",
     def per_series(df):
         lg = df.select(sample, F.posexplode(arr).alias("pos", "value"))
         mo = series_moments(lg, sample)
-        ac = acf(df.select(sample, arr), nlags=min(nlags, 1), sample=sample, arr=arr).filter("lag = 1")
+        ac = acf(lg, nlags=1, sample=sample).filter("lag = 1")
         return (mo.select(sample, F.col("mean"), F.col("var"))
                 .join(ac.select(sample, F.col("acf").alias("acf1")), sample, "left"))
 

@@ -287,6 +287,21 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                  min(CASE WHEN slot >= 192 AND slot < 264 THEN slot END) AS d
           FROM meal_events GROUP BY sample_id) m ON s.sample_id = m.sample_id""",
                    ("sample_labels", "meal_events")),
+    "stage_intervals": ("""
+        SELECT sample_id, 'dawn' AS stage, 0 AS seg, Dawn_s AS lo, CAST(Dawn_e + 1 AS INTEGER) AS hi FROM time_split
+        UNION ALL SELECT sample_id, 'fast', 0, Fast_s, Fast_e FROM time_split
+        UNION ALL SELECT sample_id, 'before_meal', 0, CAST(greatest(Breakfast_s - 18, 0) AS INTEGER), Breakfast_s
+                  FROM time_split WHERE Breakfast_s IS NOT NULL
+        UNION ALL SELECT sample_id, 'before_meal', 1, CAST(greatest(Lunch_s - 18, 0) AS INTEGER), Lunch_s
+                  FROM time_split WHERE Lunch_s IS NOT NULL
+        UNION ALL SELECT sample_id, 'before_meal', 2, CAST(greatest(Dinner_s - 18, 0) AS INTEGER), Dinner_s
+                  FROM time_split WHERE Dinner_s IS NOT NULL
+        UNION ALL SELECT sample_id, 'after_meal', 0, CAST(Breakfast_e + 1 AS INTEGER), Lunch_s
+                  FROM time_split WHERE Breakfast_e IS NOT NULL AND Lunch_s IS NOT NULL
+        UNION ALL SELECT sample_id, 'after_meal', 1, CAST(Lunch_e + 1 AS INTEGER), Dinner_s
+                  FROM time_split WHERE Lunch_e IS NOT NULL AND Dinner_s IS NOT NULL
+        UNION ALL SELECT sample_id, 'after_meal', 2, CAST(Dinner_e + 1 AS INTEGER), 288
+                  FROM time_split WHERE Dinner_e IS NOT NULL""", ("time_split",)),
     "vectors": (f"""
         SELECT vec_id, CAST(vec_id // 4 AS BIGINT) AS person, CAST(embedding AS DOUBLE[]) AS vec, label,
                {u_sql(3, 'vec_id')} < 0.3 AS is_ref, 'C' || CAST(label AS VARCHAR) AS cluster
