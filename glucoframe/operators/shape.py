@@ -100,8 +100,16 @@ def attach_label(result: DataFrame, summary: DataFrame, key: str,
     return result.join(lab, key, "left")
 
 
-def hstack(*dfs: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Column-wise concatenation on an explicit key (inner)."""
+def hstack(*dfs: DataFrame, key: str | Sequence[str], strict: bool = False) -> DataFrame:
+    """Column-wise concatenation on an explicit key (inner), never by row order.
+
+    ``strict=True`` raises when a key repeats in any input (a duplicate would
+    multiply rows)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    if strict:
+        for d in dfs:
+            if not d.groupBy(*keys).count().filter("count > 1").isEmpty():
+                raise ValueError("hstack: duplicate keys")
     out = dfs[0]
     for d in dfs[1:]:
         out = out.join(d, key, "inner")

@@ -135,3 +135,16 @@ def q_ks_two_sample(spark, sf_dir):
         F.round("mean", 6).alias("value"), "fold")
     return stats.ks_two_sample(m.filter("fold = 0"), m.filter("fold <> 0")).select(
         "na", "nb", "ks_stat", "p_value")
+
+
+@query("hstack", """
+    SELECT m.sample_id, m.mean, m.var, l.low_share
+    FROM (SELECT sample_id, avg(value) AS mean, var_pop(value) AS var FROM readings GROUP BY 1) m
+    JOIN (SELECT sample_id, avg(CAST(value <= 70 AS DOUBLE)) AS low_share FROM readings GROUP BY 1) l
+      ON m.sample_id = l.sample_id""", views=("readings",), round_cols=["mean", "var", "low_share"])
+def q_hstack(spark, sf_dir):
+    """Two per-sample tables side by side on the sample key (strict: unique keys)."""
+    rd = B.readings(spark, sf_dir)
+    m = stats.series_moments(rd).select("sample_id", "mean", "var")
+    everyone = rd.groupBy("sample_id").agg(F.avg((F.col("value") <= 70).cast("double")).alias("low_share"))
+    return shape.hstack(m, everyone, key="sample_id", strict=True)

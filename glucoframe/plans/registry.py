@@ -40,7 +40,11 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.col(f.name).cast("double")
-            cols.append(F.round(F.nanvl(c, F.lit(None).cast("double")), digits).alias(f.name))
+            # round(x * 10^d) / 10^d: bit-identical to DuckDB's round(x, d) (Spark's
+            # round(x, d) goes through the decimal text and differs on half-way values)
+            scale = float(10 ** digits)
+            c = F.nanvl(c, F.lit(None).cast("double"))
+            cols.append((F.round(c * scale, 0) / scale).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

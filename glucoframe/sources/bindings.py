@@ -127,6 +127,18 @@ def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person, rank, event_id, event_type, value): each person's events in time order.
+
+    The rank within a person is exact and skew-safe (range partitions plus
+    per-partition offsets), so one very active person is never sorted in one task.
+    """
+    from glucoframe.operators.ranking import rank_within
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("person"), "ts", "event_id",
+                                               "event_type", "value")
+    return rank_within(ev, ["person"], ["ts", "event_id"], out="rank").drop("ts")
+
+
 # ---- vectors -----------------------------------------------------------------
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, person, vec ARRAY<DOUBLE>, label, is_ref, cluster): embeddings split by a hash.
@@ -302,6 +314,10 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                   FROM time_split WHERE Lunch_e IS NOT NULL AND Dinner_s IS NOT NULL
         UNION ALL SELECT sample_id, 'after_meal', 2, CAST(Dinner_e + 1 AS INTEGER), 288
                   FROM time_split WHERE Dinner_e IS NOT NULL""", ("time_split",)),
+    "event_series": ("""
+        SELECT user_id AS person, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS rank,
+               event_id, event_type, value
+        FROM events""", ()),
     "vectors": (f"""
         SELECT vec_id, CAST(vec_id // 4 AS BIGINT) AS person, CAST(embedding AS DOUBLE[]) AS vec, label,
                {u_sql(3, 'vec_id')} < 0.3 AS is_ref, 'C' || CAST(label AS VARCHAR) AS cluster
