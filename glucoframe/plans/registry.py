@@ -25,6 +25,7 @@ _MODULES = ("glucoframe.plans.q_layout", "glucoframe.plans.q_encode", "glucofram
             "glucoframe.plans.q_metrics", "glucoframe.plans.q_streams")
 
 
+
 def load_all() -> None:
     for m in _MODULES:
         try:
