@@ -101,9 +101,12 @@ def bucket_array(arr, size: int = 10) -> Column:
 def rank_encode(arr, descending: bool = False) -> Column:
     """Stable argsort of each row (missing last); ``descending`` reverses the
     row's order (Q1: the reversal is inside the row, never across rows)."""
-    keyed = F.transform(_c(arr), lambda x, i: F.struct(
-        is_missing(x).alias("m"), F.when(~is_missing(x), x).alias("v"), i.alias("i")))
-    order = F.transform(F.array_sort(keyed), lambda s: s["i"])
+    a = _c(arr)
+    keyed = F.transform(a, lambda x, i: F.struct(x.alias("v"), i.alias("i")))
+    present = F.filter(keyed, lambda s: ~is_missing(s["v"]))
+    # only the present readings are sorted; missing positions follow in position order
+    by_value = F.transform(F.array_sort(present), lambda s: s["i"])
+    order = F.concat(by_value, F.array_except(F.sequence(F.lit(0), F.size(a) - 1), by_value))
     return F.reverse(order) if descending else order
 
 

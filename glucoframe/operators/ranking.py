@@ -61,13 +61,16 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank",
     return rank_within(df, [], order, out, **kw)
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-               out: str = "cum", num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` within ``keys`` in ``order`` (inclusive), skew-safe.
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str] | str,
+               out: Sequence[str] | str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Running sums of ``values`` within ``keys`` in ``order`` (inclusive), skew-safe.
 
     Same scheme as :func:`rank_within`: local running sums inside range
-    partitions plus one offset per (key, partition).
+    partitions plus one offset per (key, partition). ``order`` must be unique
+    within a key.
     """
+    vals = [values] if isinstance(values, str) else list(values)
+    outs = ([out] if isinstance(out, str) else list(out)) if out else [f"cum_{v}" for v in vals]
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [*keys, *order]
@@ -76,12 +79,17 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     from glucoframe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     r = r.checkpoint(eager=True).withColumn("_pid", F.shiftright("_mid", 33))
-    # local running sum inside (key, partition): a window over rows already co-located
+    # local running sums inside (key, partition): every such group lies in one range partition
     wl = Window.partitionBy(*keys, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("_local", F.sum(value).over(wl))
-    st = r.groupBy(*keys, "_pid").agg(F.sum(value).alias("_tot"))
+    for v in vals:
+        r = r.withColumn(f"_loc_{v}", F.sum(v).over(wl))
+    st = r.groupBy(*keys, "_pid").agg(*[F.sum(v).alias(f"_tot_{v}") for v in vals])
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
-    st = st.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
-    j = r.join(st.select(*keys, "_pid", "_off"), [*keys, "_pid"])
-    return j.withColumn(out, F.col("_off") + F.col("_local")).drop("_mid", "_pid", "_local", "_off")
+    for v in vals:
+        st = st.withColumn(f"_off_{v}", F.coalesce(F.sum(f"_tot_{v}").over(w), F.lit(0)))
+    j = r.join(st.select(*keys, "_pid", *[f"_off_{v}" for v in vals]), [*keys, "_pid"])
+    for v, o in zip(vals, outs):
+        j = j.withColumn(o, F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
+    drop = ["_mid", "_pid"] + [f"_loc_{v}" for v in vals] + [f"_off_{v}" for v in vals]
+    return j.drop(*drop)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from glucoframe.functions.glucose import DAY_SLOTS, is_missing
 
 
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -45,22 +46,52 @@ def to_array(df: DataFrame, key: str | Sequence[str], pos: str = "pos", value: s
              length: int = DAY_SLOTS, out: str = "input_ids") -> DataFrame:
     """Long -> fixed-length array per key; missing positions are null.
 
-    Positions outside [0, length) are dropped. The per-key list is bounded by
-    ``length`` because positions are unique per key (readings are slot means).
+    One ``groupBy(key)`` collects the (bounded, <= ``length``) positions and
+    values of each key; the scatter into a dense day then runs per Arrow batch
+    with numpy (``mapInArrow``): one vectorised pass, O(length) per key whatever
+    the density. Spark's built-in alternatives look every slot up in a map or
+    list (O(length x readings), boxed) or build a 288-column pivot that
+    overflows generated code inside larger stages. Positions outside
+    [0, length) are dropped; positions are unique per key (readings are slot
+    means), otherwise one of the duplicates is kept.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    g = (df.filter((F.col(pos) >= 0) & (F.col(pos) < length))
-         .groupBy(*keys)
-         .agg(F.map_from_entries(F.collect_list(F.struct(F.col(pos).cast("int"),
-                                                         F.col(value)))).alias("_m")))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
-                      lambda i: F.try_element_at(F.col("_m"), i))
-    return g.select(*keys, arr.alias(out))
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
 
-
-def filled_positions(arr: str | Column) -> Column:
+    keys = [key] if isinstance(key, str) else list(key)
+    fields = {f.name: f for f in df.schema.fields}
+    vtype = fields[value].dataType
+    inside = df.filter((F.col(pos) >= 0) & (F.col(pos) < length))
+    g = inside.groupBy(*keys).agg(F.collect_list(F.col(pos).cast("int")).alias("_p"),
+                                  F.collect_list(F.col(value)).alias("_v"))
+    schema = T.StructType([fields[k] for k in keys] + [T.StructField(out, T.ArrayType(vtype))])
+    nk = len(keys)
+
+    def scatter(batches):
+        for b in batches:
+            n = b.num_rows
+            p, v = b.column(nk), b.column(nk + 1)
+            rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(p.offsets.to_numpy()))
+            flat_v = v.flatten()
+            idx = rows * length + p.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            dense = np.zeros(n * length, dtype=flat_v.type.to_pandas_dtype())
+            valid = np.zeros(n * length, dtype=bool)
+            dense[idx] = flat_v.to_numpy(zero_copy_only=False)
+            valid[idx] = flat_v.is_valid().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.arange(0, n * length + 1, length, dtype=np.int32))
+            arr = pa.ListArray.from_arrays(offsets, pa.array(dense, type=flat_v.type, mask=~valid))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(nk)] + [arr],
+                                             names=[*keys, out])
+    return g.mapInArrow(scatter, schema)
+
+
+def filled_positions(arr: str | Column, length: int | None = None) -> Column:
     """Comma list of the positions that hold a value (digest of an array)."""
-    return F.array_join(F.transform(_c(arr), lambda x, i: F.when(~is_missing(x), i.cast("string"))), ",")
+    a = _c(arr)
+    n = F.lit(length) if length else F.size(a)
+    idx = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~is_missing(F.element_at(a, i + 1)))
+    return F.array_join(idx, ",")
 
 
 # ---- S5 / J1 / J2 / J3 ------------------------------------------------------------

@@ -238,11 +238,11 @@ def kolmogorov_sf(z: Column, terms: int = 100) -> Column:
 def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None) -> DataFrame:
     """Two-sample KS statistic D = max |F_a - F_b| and its asymptotic p-value.
 
-    Values are counted per distinct value (partial aggregation), then the two
-    empirical CDFs are running sums over the value order within each group.
-    The running sum is a window over the distinct values of a group only.
+    Values are counted per distinct value (partial aggregation); the two
+    empirical CDFs are running sums over the value order within each group,
+    computed with the skew-safe distributed prefix sum (no single-task window).
     """
-    from pyspark.sql import Window
+    from glucoframe.operators.ranking import prefix_sum
     keys = _keys(by)
     ta = a.select(*keys, F.col(value).alias("v")).filter(~is_missing("v")).withColumn("_t", F.lit(0))
     tb = b.select(*keys, F.col(value).alias("v")).filter(~is_missing("v")).withColumn("_t", F.lit(1))
@@ -250,9 +250,7 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None) ->
     cnt = both.groupBy(*keys, "v").agg(F.count_if(F.col("_t") == 0).alias("ca"),
                                         F.count_if(F.col("_t") == 1).alias("cb"))
     tot = cnt.groupBy(*keys).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
-    w = (Window.partitionBy(*keys).orderBy("v") if keys else Window.orderBy("v")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    cum = cnt.select(*keys, "v", F.sum("ca").over(w).alias("ra"), F.sum("cb").over(w).alias("rb"))
+    cum = prefix_sum(cnt, keys, ["v"], ["ca", "cb"], ["ra", "rb"])
     j = cum.join(tot, keys) if keys else cum.crossJoin(F.broadcast(tot))
     gap = F.abs(F.try_divide(F.col("ra"), F.col("na")) - F.try_divide(F.col("rb"), F.col("nb")))
     d = j.groupBy(*keys, "na", "nb").agg(F.max(gap).alias("ks_stat"))
@@ -262,19 +260,15 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None) ->
 
 
 def sampling_quality(a_arr: DataFrame, b_arr: DataFrame, arr: str = "input_ids",
-                     sample: str = "sample_id", nlags: int = 20) -> DataFrame:
-    """KS of per-series means, variances and lag-1 autocorrelation between two sets."""
+                     sample: str = "sample_id") -> DataFrame:
+    """KS of per-series means, variances and lag-1 autocorrelation between two
+    sets of series, all three in one keyed KS pass."""
     def per_series(df):
         lg = df.select(sample, F.posexplode(arr).alias("pos", "value"))
         mo = series_moments(lg, sample)
         ac = acf(lg, nlags=1, sample=sample).filter("lag = 1")
-        return (mo.select(sample, F.col("mean"), F.col("var"))
-                .join(ac.select(sample, F.col("acf").alias("acf1")), sample, "left"))
-
-    sa, sb = per_series(a_arr), per_series(b_arr)
-    out = None
-    for stat in ("mean", "var", "acf1"):
-        r = ks_two_sample(sa.select(F.col(stat).alias("value")), sb.select(F.col(stat).alias("value")))
-        r = r.withColumn("stat", F.lit(stat))
-        out = r if out is None else out.unionByName(r)
-    return out.select("stat", "na", "nb", "ks_stat", "p_value")
+        st = mo.select(sample, "mean", "var").join(ac.select(sample, F.col("acf").alias("acf1")), sample, "left")
+        return st.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("value"))
+                                             for c in ("mean", "var", "acf1")])))
+    r = ks_two_sample(per_series(a_arr), per_series(b_arr), by="stat")
+    return r.select("stat", "na", "nb", "ks_stat", "p_value")

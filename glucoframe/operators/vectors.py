@@ -28,9 +28,13 @@ def l2norm(a) -> Column:
 
 
 def unit(a) -> Column:
-    """a / |a|; the zero vector stays zero (its cosine with anything is 0)."""
-    n = l2norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    """a / |a|; the zero vector stays zero (its cosine with anything is 0).
+
+    The norm is evaluated once per row (``array_repeat``), not once per element
+    inside the lambda."""
+    a = _c(a)
+    return F.zip_with(a, F.array_repeat(l2norm(a), F.size(a)),
+                      lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
 def to_long_vec(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
@@ -99,8 +103,12 @@ def _scored(targets: DataFrame, refs: DataFrame, key: str, cluster: str, vec: st
         raise ValueError(f"cluster_similarity: {k} clusters exceed the broadcast bound {max_clusters}")
     one = cents.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("centroid").alias("v")))
                     .alias("_cents"))
-    t = targets.select(key, unit(vec).alias("_u")).crossJoin(F.broadcast(one))
-    sims = F.transform("_cents", lambda c: F.struct(c["c"].alias(cluster), dot("_u", c["v"]).alias("sim")))
+    # cos(t, centroid) = (t . centroid) / |t|; |t| once per row, dots once per centroid
+    t = targets.select(key, F.col(vec).alias("_t"), l2norm(vec).alias("_n")).crossJoin(F.broadcast(one))
+    raw = F.transform("_cents", lambda c: F.struct(c["c"].alias("c"), dot("_t", c["v"]).alias("d")))
+    t = t.select(key, "_n", raw.alias("_raw"))
+    sims = F.zip_with("_raw", F.array_repeat(F.col("_n"), F.size("_raw")), lambda r, n: F.struct(
+        r["c"].alias(cluster), F.when(n > 0, r["d"] / n).otherwise(F.lit(0.0)).alias("sim")))
     return t.select(key, sims.alias("_sims"))
 
 

@@ -39,7 +39,7 @@ def q_to_array(spark, sf_dir):
     arr = shape.to_array(B.readings(spark, sf_dir), "sample_id")
     present = F.filter("input_ids", lambda x: ~is_missing(x))
     return arr.select("sample_id", F.size("input_ids").alias("n_slots"),
-                      shape.filled_positions("input_ids").alias("filled_pos"),
+                      shape.filled_positions("input_ids", 288).alias("filled_pos"),
                       F.aggregate(present, F.lit(0.0), lambda a, x: a + x).alias("sum_value"))
 
 
