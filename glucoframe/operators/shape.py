@@ -63,18 +63,20 @@ def to_array(df: DataFrame, key: str | Sequence[str], pos: str = "pos", value: s
     fields = {f.name: f for f in df.schema.fields}
     vtype = fields[value].dataType
     inside = df.filter((F.col(pos) >= 0) & (F.col(pos) < length))
-    g = inside.groupBy(*keys).agg(F.collect_list(F.col(pos).cast("int")).alias("_p"),
-                                  F.collect_list(F.col(value)).alias("_v"))
+    # one list of structs keeps positions and (possibly null) values aligned
+    g = inside.groupBy(*keys).agg(F.collect_list(F.struct(F.col(pos).cast("int").alias("p"),
+                                                          F.col(value).alias("v"))).alias("_pv"))
     schema = T.StructType([fields[k] for k in keys] + [T.StructField(out, T.ArrayType(vtype))])
     nk = len(keys)
 
     def scatter(batches):
         for b in batches:
             n = b.num_rows
-            p, v = b.column(nk), b.column(nk + 1)
-            rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(p.offsets.to_numpy()))
-            flat_v = v.flatten()
-            idx = rows * length + p.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            pv = b.column(nk)
+            rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(pv.offsets.to_numpy()))
+            entries = pv.flatten()
+            flat_v = entries.field("v")
+            idx = rows * length + entries.field("p").to_numpy(zero_copy_only=False).astype(np.int64)
             dense = np.zeros(n * length, dtype=flat_v.type.to_pandas_dtype())
             valid = np.zeros(n * length, dtype=bool)
             dense[idx] = flat_v.to_numpy(zero_copy_only=False)
