@@ -32,37 +32,43 @@ def token_counts(rd: DataFrame, scope: Column | str | None = None, sample: str =
     base = rd.select(sc.alias("scope"), sample, encode_value(value).alias("token"))
     tf = base.groupBy("scope", sample, "token").agg(F.count("*").alias("tf"))
     n = base.groupBy("scope", sample).agg(F.count("*").alias("_n"))
-    pads = n.filter(F.col("_n") < length).select("scope", sample, F.lit(PAD_ID).alias("token"),
-                                                 (F.lit(length) - F.col("_n")).alias("tf"))
-    cls = n.select("scope", sample, F.lit(CLS_ID).alias("token"), F.lit(1).cast("long").alias("tf"))
-    # readings already hold no <pad>, so the pad row is the only one for that token
-    return tf.unionByName(pads).unionByName(cls)
+    extra = F.array(F.struct(F.lit(PAD_ID).alias("token"), (F.lit(length) - F.col("_n")).alias("tf")),
+                    F.struct(F.lit(CLS_ID).alias("token"), F.lit(1).cast("long").alias("tf")))
+    # one <pad> row (count of empty slots, if any) and one <cls> row per sample;
+    # readings hold neither token, so these are their only rows
+    specials = n.select("scope", sample, F.inline(extra)).filter(F.col("tf") > 0)
+    return tf.unionByName(specials)
 
 
 def mask_prob_tfidf(counts: DataFrame, sample: str = "sample_id", min_token_chars: int = 2) -> DataFrame:
     """M1: per (scope, token) probability from tf-idf column sums (scikit-learn defaults).
 
-    idf = ln((1 + n) / (1 + df)) + 1; each sample's tf-idf row is L2-normalised;
-    column sums are divided by the scope maximum and clipped to 0.45..0.60.
-    Tokens shorter than ``min_token_chars`` characters are not terms (Q6), so
-    their weight is 0 and the clip lifts them to 0.45.
+    idf = ln((1 + n) / (1 + df)) + 1 with n = documents in the scope; each
+    sample's tf-idf row is L2-normalised; column sums are divided by the scope
+    maximum and clipped to 0.45..0.60. Tokens shorter than ``min_token_chars``
+    characters are not terms (Q6), so their weight is 0 and the clip lifts them
+    to 0.45.
+
+    Plan: one grouped aggregate gives document frequencies (and the token
+    list), one gives n; the row norm is a window over one sample's tokens
+    (bounded by the vocabulary), so ``counts`` is read three times, not once
+    per intermediate.
     """
-    term = counts.filter(F.length(F.col("token").cast("string")) >= min_token_chars)
-    n = term.groupBy("scope").agg(F.countDistinct(sample).alias("_n"))
-    df_ = term.groupBy("scope", "token").agg(F.count("*").alias("_df"))
-    idf = df_.join(n, "scope").select(
-        "scope", "token", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0).alias("_idf"))
-    w = term.join(idf, ["scope", "token"]).withColumn(
-        "_w", F.col("tf") * F.col("_idf"))
-    norm = w.groupBy("scope", sample).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    col = (w.join(norm, ["scope", sample])
-           .groupBy("scope", "token").agg(F.sum(F.col("_w") / F.col("_norm")).alias("_s")))
-    top = col.groupBy("scope").agg(F.max("_s").alias("_max"))
-    out = col.join(top, "scope").withColumn("tfidf", F.col("_s") / F.col("_max"))
-    allt = counts.select("scope", "token").distinct()
-    out = allt.join(out.select("scope", "token", "tfidf"), ["scope", "token"], "left")
-    p = F.least(F.greatest(F.coalesce(F.col("tfidf"), F.lit(0.0)), F.lit(TFIDF_LO)), F.lit(TFIDF_HI))
-    return out.select("scope", "token", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"), p.alias("prob"))
+    from pyspark.sql import Window
+    is_term = F.length(F.col("token").cast("string")) >= min_token_chars
+    toks = counts.groupBy("scope", "token").agg(F.count("*").alias("_df"))
+    n = counts.groupBy("scope").agg(F.countDistinct(sample).alias("_n"))
+    idf = (toks.filter(is_term).join(n, "scope")
+           .select("scope", "token", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0).alias("_idf")))
+    w = counts.filter(is_term).join(idf, ["scope", "token"]).withColumn("_w", F.col("tf") * F.col("_idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("scope", sample)))
+    col = (w.withColumn("_x", F.col("_w") / norm)
+           .groupBy("scope", "token").agg(F.sum("_x").alias("_s")))
+    col = col.withColumn("tfidf", F.col("_s") / F.max("_s").over(Window.partitionBy("scope")))
+    out = toks.select("scope", "token").join(col.select("scope", "token", "tfidf"), ["scope", "token"], "left")
+    t = F.coalesce(F.col("tfidf"), F.lit(0.0))
+    return out.select("scope", "token", t.alias("tfidf"),
+                      F.least(F.greatest(t, F.lit(TFIDF_LO)), F.lit(TFIDF_HI)).alias("prob"))
 
 
 def _band(token: Column) -> Column:
