@@ -156,16 +156,20 @@ def crosstab(df: DataFrame, row: str, col: str, row_values: Sequence[str] | None
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mutual information (natural log) of two labelings and its arithmetic-mean
-    normalisation, from contingency counts (one grouped aggregate + marginals)."""
+    normalisation, from contingency counts.
+
+    One grouped aggregate gives the cells; marginals and n are windows over the
+    cells (a table bounded by the two label cardinalities), so the input is read
+    once. H(a) = -sum_cells (n_ij / n) ln(a_i / n), likewise H(b).
+    """
+    from pyspark.sql import Window
     cells = df.groupBy(a, b).agg(F.count("*").alias("_nij"))
-    ra = cells.groupBy(a).agg(F.sum("_nij").alias("_ai"))
-    rb = cells.groupBy(b).agg(F.sum("_nij").alias("_bj"))
-    n = cells.agg(F.sum("_nij").alias("_n"))
-    j = cells.join(ra, a).join(rb, b).crossJoin(F.broadcast(n))
-    term = (F.col("_nij") / F.col("_n")) * F.log(F.col("_n") * F.col("_nij") / (F.col("_ai") * F.col("_bj")))
-    mi = j.agg(F.sum(term).alias("mi"))
-    ha = ra.crossJoin(F.broadcast(n)).agg(F.sum(-(F.col("_ai") / F.col("_n")) * F.log(F.col("_ai") / F.col("_n"))).alias("h_a"))
-    hb = rb.crossJoin(F.broadcast(n)).agg(F.sum(-(F.col("_bj") / F.col("_n")) * F.log(F.col("_bj") / F.col("_n"))).alias("h_b"))
-    out = mi.crossJoin(ha).crossJoin(hb)
+    cells = (cells.withColumn("_ai", F.sum("_nij").over(Window.partitionBy(a)))
+             .withColumn("_bj", F.sum("_nij").over(Window.partitionBy(b)))
+             .withColumn("_n", F.sum("_nij").over(Window.partitionBy())))
+    p = F.col("_nij") / F.col("_n")
+    out = cells.agg(F.sum(p * F.log(F.col("_n") * F.col("_nij") / (F.col("_ai") * F.col("_bj")))).alias("mi"),
+                    F.sum(-p * F.log(F.col("_ai") / F.col("_n"))).alias("h_a"),
+                    F.sum(-p * F.log(F.col("_bj") / F.col("_n"))).alias("h_b"))
     return out.select("mi", "h_a", "h_b",
                       F.try_divide(F.col("mi"), (F.col("h_a") + F.col("h_b")) / 2.0).alias("nmi"))

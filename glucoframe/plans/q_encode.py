@@ -217,7 +217,8 @@ def q_decode_tokens(spark, sf_dir):
            array_to_string(list_slice(list(gene ORDER BY v DESC, gene), 1, 2048), ',') AS tokens
     FROM v GROUP BY cell""", views=("gene_counts", "cell_qc"))
 def q_tokenize_rank_values(spark, sf_dir):
-    """QC filter, normalise by cell total and gene factor, rank genes per cell."""
+    """QC filter, normalise by cell total and gene factor, rank genes per cell,
+    truncate to 2048 with the length."""
     counts = B.gene_counts(spark, sf_dir)
     qc = encode.qc_pass(B.cell_qc(spark, sf_dir)).select("cell")
     counts = counts.join(qc, "cell", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glucoframe.functions.hashing import u, u_sql
 from glucoframe.operators import models as X
+from glucoframe.operators import shape
 from glucoframe.operators import vectors as V
 from glucoframe.plans.registry import query
 from glucoframe.sources import bindings as B
@@ -230,3 +231,26 @@ def q_pca(spark, sf_dir):
     """First 8 principal components of all vectors (long output)."""
     p = X.pca(B.vectors(spark, sf_dir).select("vec_id", "vec"), 8)
     return p.select("vec_id", F.posexplode("pcs").alias("k", "pc"))
+
+
+# ---- J1 / J2 -------------------------------------------------------------------------------------
+@query("align", f"""
+    WITH {_TV_SQL}, v AS (SELECT sample_id, avg(x) AS m0 FROM tv WHERE dim = 0 GROUP BY 1)
+    SELECT v.sample_id, l.types, l.hba1c, v.m0 FROM v JOIN sample_labels l ON v.sample_id = l.sample_id""",
+       views=("weights", "sample_labels"), round_cols=["hba1c", "m0"])
+def q_align(spark, sf_dir):
+    """Pooled sample vectors aligned with their label rows by key (strict: none missing)."""
+    v = V.sample_mean_pool(_token_vecs(spark, sf_dir))
+    lab = B.sample_labels(spark, sf_dir).select("sample_id", "types", "hba1c")
+    a = shape.align(v, lab, "sample_id", strict=True)
+    return a.select("sample_id", "types", "hba1c", F.element_at("vec", 1).alias("m0"))
+
+
+@query("attach_label", f"""WITH {_ASSIGN_SQL}
+    SELECT b.vec_id, b.cluster, 'L' || CAST(v.label AS VARCHAR) AS true_label
+    FROM best b LEFT JOIN vectors v ON v.vec_id = b.vec_id""", views=("vectors",))
+def q_attach_label(spark, sf_dir):
+    """Look the true label of each assigned target up by id (left join, every row kept)."""
+    t, r = _split(spark, sf_dir)
+    summary = t.select("vec_id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("true_label"))
+    return shape.attach_label(V.assign_cluster(t, r).select("vec_id", "cluster"), summary, "vec_id")
