@@ -39,6 +39,16 @@ def band_counts(rd: DataFrame, value: str = "value", by=None) -> DataFrame:
              .withColumn("share_high", F.try_divide(F.col("n_high"), F.col("n"))))
 
 
+def combine_band_counts(counts: DataFrame, by) -> DataFrame:
+    """Roll band counts (n_low, n_in_range, n_high, n) up to coarser groups and
+    recompute the shares: pre-aggregate per fine key (e.g. person), join the
+    small result to labels, then combine."""
+    g = counts.groupBy(*_keys(by)).agg(*[F.sum(c).alias(c) for c in ("n_low", "n_in_range", "n_high", "n")])
+    for c in ("low", "in_range", "high"):
+        g = g.withColumn(f"share_{c}", F.try_divide(F.col(f"n_{c}"), F.col("n")))
+    return g
+
+
 def low_share(rd: DataFrame, sample: str = "sample_id", value: str = "value",
               threshold: float = LOW, share_inclusive: bool = True,
               filter_inclusive: bool = False) -> DataFrame:

@@ -23,10 +23,12 @@ SHARES = ["share_low", "share_in_range", "share_high"]
     FROM readings r JOIN persons p ON r.person = p.person GROUP BY p.types""",
        views=("readings", "persons"), round_cols=SHARES)
 def band_shares_by_class(spark, sf_dir):
-    """A1 by class: readings joined to the person label table, one grouped aggregate."""
+    """A1 by class: band counts pre-aggregated per person (partial aggregation, so a very
+    active person is reduced map-side), joined to the per-person label table, rolled up."""
     rd = B.readings(spark, sf_dir)
+    per_person = stats.band_counts(rd, by="person").select("person", "n_low", "n_in_range", "n_high", "n")
     lab = B.persons(spark, sf_dir).select("person", "types")
-    return stats.band_counts(rd.join(lab, "person"), by="types")
+    return stats.combine_band_counts(per_person.join(lab, "person"), by="types")
 
 
 # ---- S3 / S4 / S5 / S7 --------------------------------------------------------------
