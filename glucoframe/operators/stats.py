@@ -111,22 +111,31 @@ def acf(rd: DataFrame, nlags: int = 20, sample: str = "sample_id", pos: str = "p
     acf_k = sum over present pairs (x_t - m)(x_{t+k} - m) / sum over present
     (x_t - m)^2, m = mean of the present readings (statsmodels' default
     estimator on a gap-free series); a lag without pairs gives 0, zero variance
-    gives null. Pairs come from an equi-join of the lag-exploded readings on
-    (sample, position), all in whole-stage codegen; nothing is collected per series.
+    gives null.
+
+    Plan: mean and variance are two windows over one sample's slots (one
+    shuffle by sample, bounded by 288 rows); pairs come from an equi-join of
+    the lag-exploded readings on (sample, position); one aggregate per sample
+    sums every lag (lag 0 always pairs a reading with itself, so every sample
+    is present without a frame join). All in whole-stage codegen.
     """
     from pyspark.sql import Window
+    w = Window.partitionBy(sample)
     ok = rd.filter(~is_missing(value))
-    d = ok.select(sample, pos, (F.col(value) - F.avg(value).over(Window.partitionBy(sample))).alias("x"))
-    den = d.groupBy(sample).agg(F.sum(F.col("x") * F.col("x")).alias("_den"))
-    lagged = d.select(sample, F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"),
-                      F.col(pos).alias("_p"), F.col("x").alias("xa"))
+    d = ok.select(sample, pos, (F.col(value) - F.avg(value).over(w)).alias("x"))
+    d = d.withColumn("_den", F.sum(F.col("x") * F.col("x")).over(w))
+    lagged = d.select(sample, "_den", F.col(pos).alias("_p"), F.col("x").alias("xa"),
+                      F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"))
     lagged = lagged.withColumn(pos, F.col("_p") + F.col("lag"))
-    pairs = lagged.join(d.withColumnRenamed("x", "xb"), [sample, pos])
-    num = pairs.groupBy(sample, "lag").agg(F.sum(F.col("xa") * F.col("xb")).alias("_num"))
-    frame = den.select(sample, "_den", F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"))
-    out = frame.join(num, [sample, "lag"], "left")
-    return out.select(sample, "lag", F.try_divide(F.coalesce(F.col("_num"), F.lit(0.0)),
-                                                  F.when(F.col("_den") != 0, F.col("_den"))).alias("acf"))
+    pairs = lagged.join(d.select(sample, pos, F.col("x").alias("xb")), [sample, pos])
+    prod = F.col("xa") * F.col("xb")
+    agg = pairs.groupBy(sample).agg(F.first("_den").alias("_den"),
+                                    *[F.sum(F.when(F.col("lag") == k, prod)).alias(f"_s{k}")
+                                      for k in range(nlags + 1)])
+    sums = F.array(*[F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) for k in range(nlags + 1)])
+    out = agg.select(sample, "_den", F.posexplode(sums).alias("lag", "_num"))
+    return out.select(sample, F.col("lag").cast("int"),
+                      F.try_divide(F.col("_num"), F.when(F.col("_den") != 0, F.col("_den"))).alias("acf"))
 
 
 # ---- A9 / A10: numpy in Arrow batches ------------------------------------------------
