@@ -72,15 +72,17 @@ def mean_in_segment(long: DataFrame, intervals: DataFrame, value: str, group: Se
                     sample: str = "sample_id", pos: str = "pos", empty: float | None = 0.0) -> DataFrame:
     """Mean of ``value`` inside each stage per (sample, group..., stage).
 
-    Every (sample, group) of ``long`` gets a row for each stage the sample has;
-    a stage without positions averages to ``empty`` (Q10: 0.0; None keeps null).
+    Every row meets the intervals of its own sample (an equi-join with a
+    bounded fan-out: at most eight intervals per sample); one conditional
+    average per (sample, group, stage) then counts a position once per
+    interval holding it. Every (sample, group) gets a row for each stage the
+    sample has; a stage without positions averages to ``empty`` (Q10: 0.0;
+    None keeps null).
     """
     g = list(group)
-    hits = segment_join(long, intervals, sample, pos)
-    means = hits.groupBy(sample, *g, "stage").agg(F.avg(value).alias("mean"))
-    frame = (long.select(sample, *g).distinct()
-             .join(intervals.select(sample, "stage").distinct(), sample))
-    out = frame.join(means, [sample, *g, "stage"], "left")
+    j = long.join(intervals.select(sample, "stage", "lo", "hi"), sample)
+    inside = (F.col(pos) >= F.col("lo")) & (F.col(pos) < F.col("hi"))
+    out = j.groupBy(sample, *g, "stage").agg(F.avg(F.when(inside, F.col(value))).alias("mean"))
     if empty is not None:
         out = out.withColumn("mean", F.coalesce(F.col("mean"), F.lit(float(empty))))
     return out
