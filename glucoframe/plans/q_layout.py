@@ -215,7 +215,7 @@ def q_wear_days_bmi(spark, sf_dir):
 
 
 @query("compose_parse_id", """
-    SELECT id, 'Zhao_' || type || '_' || replace(CAST(Rawid AS VARCHAR) || '_x', '_', '') AS new_id,
+    SELECT id, 'CohortB_' || type || '_' || replace(CAST(Rawid AS VARCHAR) || '_x', '_', '') AS new_id,
            split_part(id, '_', 1) AS cohort, split_part(id, '_', 2) AS type, split_part(id, '_', 3) AS raw
     FROM clinical""", views=("clinical",))
 def q_compose_parse_id(spark, sf_dir):
@@ -223,6 +223,6 @@ def q_compose_parse_id(spark, sf_dir):
     c = B.clinical(spark, sf_dir)
     raw = F.concat(F.col("Rawid").cast("string"), F.lit("_x"))
     parts = shape.parse_id("id")
-    return c.select("id", shape.compose_id("Zhao", F.col("type"), raw, strip=True).alias("new_id"),
+    return c.select("id", shape.compose_id("CohortB", F.col("type"), raw, strip=True).alias("new_id"),
                     parts["cohort"].alias("cohort"), parts["type"].alias("type"),
                     parts["raw"].alias("raw"))

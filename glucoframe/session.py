@@ -37,9 +37,14 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, choosing a local one only if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="glucoframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - some deployments refuse runtime changes of core settings
+            pass
     spark.sparkContext.setCheckpointDir(path)
     return path
 

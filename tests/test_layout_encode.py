@@ -103,7 +103,7 @@ def test_assemble_strict_raises(spark):
 
 
 def test_ids_course_bmi(spark):
-    df = spark.createDataFrame([("Zhao_T2D_12", 70.0, 1.75, 100, 15)], "id string, wt double, ht double, n int, g int")
+    df = spark.createDataFrame([("CohortB_T2D_12", 70.0, 1.75, 100, 15)], "id string, wt double, ht double, n int, g int")
     r = df.select(shape.type_from_id("id").alias("t"), shape.course_from_type(shape.type_from_id("id")).alias("c"),
                   shape.bmi("wt", "ht").alias("b"), shape.wear_days("n", "g").alias("d")).collect()[0]
     assert r.t == "T2D" and r.c == 1.0 and math.isclose(r.b, 70 / 1.75 ** 2) and math.isclose(r.d, 100 * 15 / 1440)
