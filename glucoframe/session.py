@@ -35,17 +35,26 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a local one only if unset."""
+    """Return the shared checkpoint folder (``spark.checkpoint.dir``).
+
+    The cluster's setting is used as is; a private local folder is chosen only
+    when nothing is configured (local tests).
+    """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="glucoframe-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - some deployments refuse runtime changes of core settings
-            pass
-    spark.sparkContext.setCheckpointDir(path)
+    if path:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(path)
+        return path
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
+    path = tempfile.mkdtemp(prefix="glucoframe-ckpt-")
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # noqa: BLE001 - some deployments refuse runtime changes of core settings
+        pass
+    sc.setCheckpointDir(path)
     return path
 
 
