@@ -44,7 +44,11 @@ def run_available_now(df: DataFrame, name: str) -> tuple[DataFrame, StreamingQue
 
 
 def late_rows(q: StreamingQuery) -> int:
-    """Rows dropped as later than the watermark, summed over the query's progress."""
+    """Rows dropped as later than the watermark, summed over the query's progress.
+
+    Spark counts them where they reach the stateful operator, i.e. after the
+    map-side partial aggregation (several late readings of one group in one
+    micro-batch count once)."""
     n = 0
     for p in q.recentProgress:
         for op in p.get("stateOperators", []):
