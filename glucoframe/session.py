@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
-              app: str = "glucoframe", driver_memory: str = "16g") -> SparkSession:
+              app: str = "glucoframe", driver_memory: str = "16g",
+              extra_conf: dict | None = None) -> SparkSession:
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master).appName(app)
+        builder.master(master).appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
