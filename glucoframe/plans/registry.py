@@ -45,7 +45,8 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
             # round(x, d) goes through the decimal text and differs on half-way values)
             scale = float(10 ** digits)
             c = F.nanvl(c, F.lit(None).cast("double"))
-            cols.append((F.round(c * scale, 0) / scale).alias(f.name))
+            # "+ 0.0" turns a negative zero into +0.0 (same in the SQL twin)
+            cols.append((F.round(c * scale, 0) / scale + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -55,7 +56,7 @@ def oracle(sql: str, views: Sequence[str] = (), round_cols: Sequence[str] = (),
     body = with_views(sql, *views)
     if not round_cols:
         return body
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in round_cols)
+    rep = ", ".join(f"(round({c}, {digits}) + 0.0) AS {c}" for c in round_cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) q"
 
 
