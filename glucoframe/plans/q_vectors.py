@@ -254,3 +254,30 @@ def q_attach_label(spark, sf_dir):
     t, r = _split(spark, sf_dir)
     summary = t.select("vec_id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("true_label"))
     return shape.attach_label(V.assign_cluster(t, r).select("vec_id", "cluster"), summary, "vec_id")
+
+
+@query("adjusted_mutual_information", f"""WITH {_ASSIGN_SQL},
+    j AS (SELECT b.cluster AS a, 'L' || CAST(v.label AS VARCHAR) AS b FROM best b JOIN vectors v ON v.vec_id = b.vec_id),
+    cells AS (SELECT a, b, count(*) AS nij FROM j GROUP BY 1, 2),
+    ra AS (SELECT a, CAST(sum(nij) AS BIGINT) AS ai FROM cells GROUP BY a),
+    rb AS (SELECT b, CAST(sum(nij) AS BIGINT) AS bj FROM cells GROUP BY b),
+    n AS (SELECT CAST(sum(nij) AS BIGINT) AS n FROM cells),
+    mi AS (SELECT sum((nij / n) * ln(n * nij / (ai * bj))) AS mi
+           FROM cells JOIN ra ON cells.a = ra.a JOIN rb ON cells.b = rb.b, n),
+    ha AS (SELECT sum(-(ai / n) * ln(ai / n)) AS h_a FROM ra, n),
+    hb AS (SELECT sum(-(bj / n) * ln(bj / n)) AS h_b FROM rb, n),
+    t AS (SELECT ai, bj, n, k FROM ra, rb, n, LATERAL (SELECT unnest(range(greatest(1, ai + bj - n), least(ai, bj) + 1)) AS k) r),
+    e AS (SELECT coalesce(sum((k / n) * (ln(n * k) - ln(ai * bj)) * exp(
+                   lgamma(ai + 1) + lgamma(bj + 1) + lgamma(n - ai + 1) + lgamma(n - bj + 1) - lgamma(n + 1)
+                   - lgamma(k + 1) - lgamma(ai - k + 1) - lgamma(bj - k + 1) - lgamma(n - ai - bj + k + 1))), 0.0) AS emi
+          FROM t)
+    SELECT mi, emi, mi / ((h_a + h_b) / 2.0) AS nmi,
+           CASE WHEN h_a = 0 AND h_b = 0 THEN 1.0
+                ELSE (mi - emi) / greatest((h_a + h_b) / 2.0 - emi, 2.220446049250313e-16) END AS ami
+    FROM mi, ha, hb, e""", views=("vectors",), round_cols=["mi", "emi", "nmi", "ami"])
+def q_adjusted_mutual_information(spark, sf_dir):
+    """A24 (adjusted): AMI of assigned cluster versus true label (expected MI under fixed marginals)."""
+    t, r = _split(spark, sf_dir)
+    a = V.assign_cluster(t, r).join(t.select("vec_id", "label"), "vec_id")
+    a = a.withColumn("true_label", F.concat(F.lit("L"), F.col("label").cast("string")))
+    return V.adjusted_mutual_information(a, "cluster", "true_label")

@@ -159,3 +159,37 @@ def test_regression_and_masked_accuracy(spark):
     assert math.isclose(K.masked_token_accuracy(m).collect()[0].accuracy, 0.5)
     none = spark.createDataFrame([(-100, 5)], "label int, pred int")
     assert K.masked_token_accuracy(none).collect()[0].accuracy is None
+
+
+def test_log_factorial_matches_lgamma(spark):
+    df = spark.createDataFrame([(n,) for n in [0, 1, 2, 5, 9, 10, 11, 50, 1000, 123456]], "n long")
+    for r in df.select("n", V.log_factorial("n").alias("lf")).collect():
+        assert math.isclose(r.lf, math.lgamma(r.n + 1), rel_tol=1e-13, abs_tol=1e-12)
+
+
+def _ami_ref(x, y):
+    """Adjusted MI (arithmetic normalisation) in plain Python, scikit-learn's definition."""
+    from collections import Counter
+    n = len(x)
+    cells, ca, cb = Counter(zip(x, y)), Counter(x), Counter(y)
+    mi = sum(c / n * math.log(n * c / (ca[i] * cb[j])) for (i, j), c in cells.items())
+    ha = -sum(c / n * math.log(c / n) for c in ca.values())
+    hb = -sum(c / n * math.log(c / n) for c in cb.values())
+    lg = math.lgamma
+    emi = 0.0
+    for ai in ca.values():
+        for bj in cb.values():
+            for k in range(max(1, ai + bj - n), min(ai, bj) + 1):
+                g = (lg(ai + 1) + lg(bj + 1) + lg(n - ai + 1) + lg(n - bj + 1) - lg(n + 1) - lg(k + 1)
+                     - lg(ai - k + 1) - lg(bj - k + 1) - lg(n - ai - bj + k + 1))
+                emi += k / n * math.log(n * k / (ai * bj)) * math.exp(g)
+    return (mi - emi) / ((ha + hb) / 2 - emi)
+
+
+def test_adjusted_mutual_information_matches_reference(spark):
+    rng = np.random.default_rng(5)
+    x = [f"c{v}" for v in rng.integers(0, 4, size=60)]
+    y = [f"l{(v + (i % 3 == 0)) % 3}" for i, v in enumerate(rng.integers(0, 3, size=60))]
+    df = spark.createDataFrame(list(zip(x, y)), "a string, b string")
+    r = V.adjusted_mutual_information(df, "a", "b").collect()[0]
+    assert math.isclose(r.ami, _ami_ref(x, y), rel_tol=1e-9, abs_tol=1e-12)
