@@ -229,12 +229,20 @@ def q_tokenize_rank_values(spark, sf_dir):
 
 
 # ---- V1 / V2 ----------------------------------------------------------------------------------
-@query("vocab_fixed", """
-    SELECT CAST(range AS VARCHAR) AS token, CAST(range - 39 AS INTEGER) AS id FROM range(39, 302)
-    UNION ALL SELECT '<mask>', 263 UNION ALL SELECT '<pad>', 264 UNION ALL SELECT '<cls>', 265""")
+@query("vocab_fixed", f"""
+    WITH v AS (SELECT CAST(range AS VARCHAR) AS token, CAST(range - 39 AS INTEGER) AS id FROM range(39, 302)
+               UNION ALL SELECT '<mask>', 263 UNION ALL SELECT '<pad>', 264 UNION ALL SELECT '<cls>', 265),
+    c AS (SELECT {tok_sql('value')} AS id, count(*) AS n FROM readings GROUP BY 1)
+    SELECT v.token, v.id, coalesce(c.n, 0) AS n_readings FROM v LEFT JOIN c ON v.id = c.id""",
+       views=("readings",))
 def q_vocab_fixed(spark, sf_dir):
-    """V1: readings 39..301 -> 0..262, then <mask>, <pad>, <cls>."""
-    return vocab.build_vocab_fixed(spark)
+    """V1: readings 39..301 -> 0..262, then <mask>, <pad>, <cls>; with the number of readings
+    that encode to each id (token usage of the corpus; the 266-row table is broadcast)."""
+    v = vocab.build_vocab_fixed(spark)
+    used = encode.encode_tokens_long(B.readings(spark, sf_dir)).groupBy(F.col("token").alias("id")).agg(
+        F.count("*").alias("n_readings"))
+    out = used.join(F.broadcast(v), "id", "right")
+    return out.select("token", "id", F.coalesce("n_readings", F.lit(0)).alias("n_readings"))
 
 
 @query("vocab_learned", """
