@@ -6,8 +6,6 @@ Multi-metric operators compute everything from one grouped aggregate
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

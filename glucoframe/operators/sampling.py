@@ -8,8 +8,6 @@ cost what they hold, not 288 slots.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

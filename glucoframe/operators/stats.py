@@ -7,7 +7,6 @@ aggregation before the shuffle), per-series work is bounded by one day.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd

@@ -1,14 +1,12 @@
 import math
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from glucoframe.operators import clinical as C
 from glucoframe.operators import metrics as K
 from glucoframe.operators import segments as S
 from glucoframe.operators import stats, vectors as V
-from tests.conftest import rows
 
 
 def test_low_share_inclusive_rules(spark):
