@@ -116,3 +116,20 @@ def test_tokenize_rank_values_order(spark):
     out = {r.cell: r for r in encode.tokenize_rank_values(counts, factors).collect()}
     assert out[1].input_ids == [10, 11] and out[1].length == 2      # zero count dropped
     assert out[2].input_ids == [10]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(min_value=0.0, max_value=600.0)), min_size=1, max_size=40))
+def test_encode_decode_round_trip(spark, values):
+    df = spark.createDataFrame([(values,)], "x array<double>")
+    r = df.select(encode.decode_array(encode.encode_array("x")).alias("d"),
+                  encode.encode_array("x").alias("t")).collect()[0]
+    for v, d, t in zip(values, r.d, r.t):
+        if v is None:
+            assert t == G.PAD_ID and d is None
+        else:
+            assert d == int(min(max(v, 39.0), 301.0))
