@@ -278,15 +278,22 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None) ->
 
 
 def sampling_quality(a_arr: DataFrame, b_arr: DataFrame, arr: str = "input_ids",
-                     sample: str = "sample_id") -> DataFrame:
+                     sample: str = "sample_id", digits: int | None = 9) -> DataFrame:
     """KS of per-series means, variances and lag-1 autocorrelation between two
-    sets of series, all three in one keyed KS pass."""
+    sets of series, all three in one keyed KS pass. Statistics are compared at
+    ``digits`` decimals (round(x * 10^d) / 10^d), so last-bit noise of the sums
+    cannot split equal values."""
     def per_series(df):
         lg = df.select(sample, F.posexplode(arr).alias("pos", "value"))
         mo = series_moments(lg, sample)
         ac = acf(lg, nlags=1, sample=sample).filter("lag = 1")
         st = mo.select(sample, "mean", "var").join(ac.select(sample, F.col("acf").alias("acf1")), sample, "left")
-        return st.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).alias("value"))
+        def rnd(c):
+            if digits is None:
+                return F.col(c)
+            scale = float(10 ** digits)
+            return F.round(F.col(c) * scale, 0) / scale
+        return st.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), rnd(c).alias("value"))
                                              for c in ("mean", "var", "acf1")])))
     r = ks_two_sample(per_series(a_arr), per_series(b_arr), by="stat")
     return r.select("stat", "na", "nb", "ks_stat", "p_value")
