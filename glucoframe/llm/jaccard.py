@@ -12,7 +12,9 @@ both prefixes cover, the tokens that only one of them has are part of the
 symmetric difference, whose size the threshold bounds. Both are necessary
 conditions, so no link is lost. The first order is indexed; the candidates of a
 bucket are filtered by size and position, then by the prefixes under all
-orders, and what is left is verified on the texts.
+orders. A parity sketch (each token flips one of ``PARITY_BITS`` bits) differs in
+no more bits than the sets differ in tokens, which drops near misses, again
+without losing a link. What is left is verified on the texts.
 
 Hot buckets: up to ``ALL_PAIRS`` classes are paired directly. In a larger bucket
 a few leaders are paired with the others, which joins a group of near copies
@@ -50,7 +52,8 @@ CELLS = 1 << CELL_BITS
 SKETCH_PARTS = 16
 ORDERS = 3
 ALL_PAIRS = 64
-LEADERS = 8
+LEADERS = 4
+PARITY_BITS = 1024
 SLICE_BYTES = 4 << 20
 KEY_BITS = 58
 
@@ -147,6 +150,17 @@ def order_keys(shingles: np.ndarray, classes: np.ndarray, order: int) -> np.ndar
     return (cls << np.uint64(KEY_BITS)) | (seeded(shingles, 20 + order) >> np.uint64(64 - KEY_BITS))
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Each token flips one bit: two sketches differ in at most as many bits as the sets in tokens."""
+    at = (seeded(shingles, 40) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Parity sketches as rows of 64-bit numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
 def _prefixes(batches, k: int, num: int, den: int, table):
     """One row per class that a task sees: its prefixes under all orders."""
     classes = table.value
@@ -161,14 +175,15 @@ def _prefixes(batches, k: int, num: int, den: int, table):
                 seen.add(key)
             p = prefix_length(len(s), num, den)
             sides = [np.sort(order_keys(s, classes, o))[:p] for o in range(ORDERS)]
-            rows.append((key, len(s), sides[0].astype(np.int64), sides[1:]))
+            rows.append((key, len(s), sides[0].astype(np.int64), sides[1:], parity(s)))
         lists = [_lists([r[2] for r in rows], pa.int64())]
         for o in range(ORDERS - 1):
             # later orders only filter, 31 bits are enough (equal tokens stay equal)
             lists.append(_lists([_short(r[3][o]) for r in rows], pa.int32()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *lists],
-            ["cls", "n", *(f"o{i}" for i in range(ORDERS))])
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+             pa.array([r[4] for r in rows], pa.binary()), *lists],
+            ["cls", "n", "odd", *(f"o{i}" for i in range(ORDERS))])
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
@@ -285,7 +300,8 @@ def _filter_orders(batches, num: int, den: int):
         n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
         both = least_shared(n, m, num, den)
         only_x, only_y = n - both, m - both
-        keep = np.ones(len(batch), bool)
+        apart = np.bitwise_count(_sketches(batch.column("xodd")) ^ _sketches(batch.column("yodd"))).sum(axis=1, dtype=np.int64)
+        keep = apart <= only_x + only_y
         for o in range(ORDERS):
             x, y = batch.column(f"x{o}"), batch.column(f"y{o}")
             xo, yo = x.offsets.to_numpy(), y.offsets.to_numpy()
@@ -320,9 +336,9 @@ def _verify(batches, k: int, num: int, den: int):
 def _links(pairs: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFrame, k, num, den,
            scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b) -> stored links (a, b)."""
-    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), *(F.col(f"o{o}").alias(f"x{o}") for o in range(ORDERS)))
-    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), *(F.col(f"o{o}").alias(f"y{o}") for o in range(ORDERS)))
-    cand = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", *(f"{s}{o}" for o in range(ORDERS) for s in "xy"))
+    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("odd").alias("xodd"), *(F.col(f"o{o}").alias(f"x{o}") for o in range(ORDERS)))
+    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("yodd"), *(F.col(f"o{o}").alias(f"y{o}") for o in range(ORDERS)))
+    cand = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xodd", "yodd", *(f"{s}{o}" for o in range(ORDERS) for s in "xy"))
     cand = scratch.stored(cand.mapInArrow(partial(_filter_orders, num=num, den=den), "a long, b long"))
     wanted = cand.select(F.col("a").alias("cls")).unionByName(cand.select(F.col("b").alias("cls"))).distinct()
     wanted = wanted.join(reps, "cls")
@@ -337,15 +353,15 @@ def _links(pairs: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFram
     return links
 
 
-def _across(tok: int, cls, n, root, odd, offs, flat, opens, num: int, den: int):
+def _across(tok: int, cls, n, root, stray, sketch, offs, flat, opens, num: int, den: int):
     """Pairs of one open bucket: each class outside its largest component against the
-    classes of other components, by the tokens that both prefixes cover."""
+    classes of other components, by the tokens that both prefixes cover and by parity."""
     uniq, inv = np.unique(flat, return_inverse=True)
     lens = np.diff(offs)
     last = flat[offs[1:] - 1]
     mark = np.zeros(len(uniq), bool)
     out = []
-    for x in np.flatnonzero(odd):
+    for x in np.flatnonzero(stray):
         own = inv[offs[x]:offs[x + 1]]
         mark[own] = True
         shared = np.add.reduceat(mark[inv], offs[:-1], dtype=np.int64)
@@ -354,7 +370,8 @@ def _across(tok: int, cls, n, root, odd, offs, flat, opens, num: int, den: int):
         in_y = np.add.reduceat(flat <= np.repeat(end, lens), offs[:-1], dtype=np.int64)
         in_x = np.searchsorted(flat[offs[x]:offs[x + 1]], end, side="right")
         both = least_shared(n[x], n, num, den)
-        ok = ((root != root[x]) & (in_x - shared <= n[x] - both) & (in_y - shared <= n - both)
+        apart = np.bitwise_count(sketch ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        ok = ((root != root[x]) & (apart <= n + n[x] - 2 * both) & (in_x - shared <= n[x] - both) & (in_y - shared <= n - both)
               & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])))
         # a pair is sent from the first of its open buckets only
         out += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for y in np.flatnonzero(ok)
@@ -372,8 +389,8 @@ def _open_pairs(batches, num: int, den: int):
         offs = o0.offsets.to_numpy().astype(np.int64)
         flat = o0.values.to_numpy()[offs[0]:offs[-1]]
         opens = [set(v) for v in t.column("opens").to_pylist()]
-        pairs = _across(t.column("token")[0].as_py(), *(t.column(c).to_numpy() for c in ("cls", "n", "root", "odd")),
-                        offs - offs[0], flat, opens, num, den)
+        pairs = _across(t.column("token")[0].as_py(), *(t.column(c).to_numpy() for c in ("cls", "n", "root", "stray")),
+                        _sketches(t.column("odd")), offs - offs[0], flat, opens, num, den)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
@@ -399,8 +416,8 @@ def _open_rows(index: DataFrame, opened: DataFrame, roots: DataFrame, classes: D
     rows = rows.join(top.where("roots > 1"), "token")
     # at most a prefix long
     opens = rows.groupBy("cls").agg(F.collect_list("token").alias("opens"))
-    return (rows.join(opens, "cls").join(classes.select("cls", "n", "o0"), "cls")
-            .select("token", "cls", "n", "root", (F.col("root") != F.col("top")).alias("odd"), "opens", "o0"))
+    return (rows.join(opens, "cls").join(classes.select("cls", "n", "odd", "o0"), "cls")
+            .select("token", "cls", "n", "root", (F.col("root") != F.col("top")).alias("stray"), "odd", "opens", "o0"))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -420,7 +437,7 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
         cells[r["part"] * step:(r["part"] + 1) * step] = np.frombuffer(
             zstandard.ZstdDecompressor().decompress(r["cells"]), np.int32)
     table = spark.sparkContext.broadcast(frequency_classes(cells))
-    fields = "cls long, n long, " + ", ".join(f"o{o} array<{'long' if o == 0 else 'int'}>" for o in range(ORDERS))
+    fields = "cls long, n long, odd binary, " + ", ".join(f"o{o} array<{'long' if o == 0 else 'int'}>" for o in range(ORDERS))
     classes = scratch.stored(docs.mapInArrow(partial(_prefixes, k=k, num=num, den=den, table=table), fields)
                              .dropDuplicates(["cls"]))
     reps = docs_cls.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
