@@ -40,8 +40,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucoframe.llm.components import components
 from glucoframe.llm.scratch import Scratch
@@ -420,9 +421,8 @@ def _open_rows(index: DataFrame, opened: DataFrame, roots: DataFrame, classes: D
             .select("token", "cls", "n", "root", (F.col("root") != F.col("top")).alias("stray"), "odd", "opens", "o0"))
 
 
-def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row per document of ``docs(doc_id, text)``: doc_id, n_shingles, component_id
-    (smallest doc_id reachable by links of at least num/den)."""
+def _rooted_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls) of every document; (cls, smallest doc_id, root of the component) of every class."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -466,8 +466,39 @@ def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -
         roots = components(links, scratch)
     rooted = (reps.join(roots, F.col("cls") == F.col("v"), "left")
               .select("cls", "rep", F.coalesce("root", "cls").alias("root")))
+    return docs_cls, rooted
+
+
+def jaccard_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """One row per document of ``docs(doc_id, text)``: doc_id, n_shingles, component_id
+    (smallest doc_id reachable by links of at least num/den)."""
+    docs_cls, rooted = _rooted_classes(docs, k, num, den)
     label = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     named = rooted.join(label, "root").select("cls", "least")
     return (docs_cls.join(named, "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")))
+
+
+def _with_class(batches, k: int, names: list[str]):
+    for batch in batches:
+        key = np.zeros(len(batch), np.int64)
+        for row, s in _texts(batch, "text", k):
+            key[row] = class_key(s)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(key)], [*names, "__cls"])
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` (all columns) with one row of each group: of the class of its smallest doc_id.
+    Rows without words stay, they are linked with nothing."""
+    _, rooted = _rooted_classes(docs, k, num, den)
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "cls")).alias("m"))
+    keepers = best.select(F.col("m.cls").alias("__k"), F.col("m.rep").alias("__rep"))
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType())])
+    keyed = docs.mapInArrow(partial(_with_class, k=k, names=names), schema)
+    kept = keyed.join(keepers, (F.col("__cls") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__rep")), "left")
+    kept = kept.where("__cls = 0 OR __k IS NOT NULL")
+    # equal rows of the chosen document
+    same = Window.partitionBy("__cls", "doc_id").orderBy("text")
+    return (kept.withColumn("__r", F.row_number().over(same)).where("__cls = 0 OR __r = 1").select(*names))

@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glucoframe.llm.decontam import contamination
+from glucoframe.llm.html_main import main_texts
 from glucoframe.llm.jaccard import jaccard_groups
 from glucoframe.llm.lm import lm_scores
 from glucoframe.llm.packing import packed
+from glucoframe.llm.quality_model import quality_scores
+from glucoframe.llm.quality_rules import judged
+from glucoframe.llm.scratch import Scratch
 from glucoframe.llm.secrets import secret_spans
+from glucoframe.llm.token_counts import TOKENIZERS, Rollup, revisions, token_changes
+from glucoframe.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +46,43 @@ def op1(spark, sf_dir):
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = r"""
+WITH now AS (
+  SELECT d.source, d.lang, coalesce(CASE WHEN l.quality = 0 THEN regexp_replace(d.text, '[#*$%&|<>]+', '', 'g') ELSE d.text END, '') AS text
+  FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+  WHERE coalesce(l.toxic, 0) <> 1),
+counted AS (
+  SELECT source, lang, 'space@1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM now
+  UNION ALL
+  SELECT source, lang, 'alnum@1', len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) FROM now)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM counted GROUP BY ALL
+"""
+
+
+@query("op2_token_counts", OP2_SQL)
+def op2(spark, sf_dir):
+    """All documents come in; those of low quality are revised (symbols go); toxic ones are
+    deleted. Every batch is sent twice."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marked = docs.select("doc_id", "text", "source", "lang").join(marks.where("quality = 0 OR toxic = 1"), "doc_id")
+    cleaned = F.regexp_replace("text", r"[#*$%&|<>]+", "")
+    poor = marked.where("quality = 0")
+    gone = marked.where("toxic = 1").withColumn("text", F.when(F.col("quality") == 0, cleaned).otherwise(F.col("text")))
+    names = list(TOKENIZERS)
+    rollup = Rollup(spark, Scratch(spark, "token-counts").root)
+    for _ in range(2):
+        rollup.commit("insert-1", token_changes(docs, names))
+        rollup.commit("revise-1", revisions(poor, poor.withColumn("text", cleaned), names))
+        rollup.commit("delete-1", token_changes(gone, names, -1))
+    return rollup.totals()
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP4_SQL = r"""
 WITH words AS (
   SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -71,6 +115,16 @@ def op4(spark, sf_dir):
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_main_text")
+def op5(spark, sf_dir):
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
+@query("op6_quality_rules")
+def op6(spark, sf_dir):
+    return judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query("op7_pack")
 def op7(spark, sf_dir):
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -81,6 +135,11 @@ def op8(spark, sf_dir):
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+@query("op9_quality_model")
+def op9(spark, sf_dir):
+    return quality_scores(_table(spark, sf_dir, "documents"))
+
+
 @query("op10_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard_groups(_table(spark, sf_dir, "documents"))
