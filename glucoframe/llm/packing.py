@@ -31,9 +31,9 @@ from glucoframe.llm.textstream import SPACE, Words, slices, spans_of, text_buffe
 
 SIZE = 2048
 SEPARATOR = 0
-CACHED = 400_000
+CACHED = 120_000
 RANKED_TOGETHER = 500
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
