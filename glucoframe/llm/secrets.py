@@ -37,6 +37,8 @@ MIN_LENGTH = 16
 MIN_SAMPLE = 8
 MIN_TOTAL = 20.0
 MIN_MEAN = 0.75
+#: weight of the characters' own frequencies in the transitions
+BACK_OFF = 20.0
 SLICE_BYTES = 4 << 20
 
 #: alphabet of candidate strings: A-Z a-z 0-9 + / _ = -
@@ -144,7 +146,11 @@ def markov_ratio(docs: DataFrame) -> np.ndarray:
         counts[r["label"], r["at"]] = r["n"]
     counts = counts.reshape(2, n, n)
     counts[:, SYMBOLS, SYMBOLS] = 0
-    logs = np.log((counts + 0.5) / (counts + 0.5).sum(axis=2, keepdims=True))
+    # every string is itself part of the ordinary sample: one occurrence is left out
+    counts[0] = np.maximum(counts[0] - 1, 0)
+    alone = counts.sum(axis=1, keepdims=True) + 0.5
+    alone /= alone.sum(axis=2, keepdims=True)
+    logs = np.log((counts + BACK_OFF * alone) / (counts.sum(axis=2, keepdims=True) + BACK_OFF))
     return logs[1] - logs[0]
 
 

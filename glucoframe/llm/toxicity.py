@@ -112,8 +112,9 @@ class LabelModel:
             gain = np.log(p1 / p0)
             # voters that still go together within the classes share their weight
             e = (v == 1) - q[:, None] * p1[:, 2] - (1 - q[:, None]) * p0[:, 2]
-            sd = e.std(axis=0) + 1e-9
-            self.correlations = (e.T @ e) / len(e) / sd / sd[:, None]
+            e -= e.mean(axis=0)
+            sd = e.std(axis=0)
+            self.correlations = (e.T @ e) / len(e) / (sd * sd[:, None] + 1e-3)  # voters without a residue count as independent
             shared = np.clip(self.correlations - np.diag(np.diag(self.correlations)), 0, 1)
             self.weights = 1 / (1 + shared.sum(axis=1))
             self.accuracies, self.gain, self.prior = (p1, p0), gain, prior
