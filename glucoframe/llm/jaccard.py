@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from glucoframe.llm.components import components
 from glucoframe.llm.scratch import Scratch
-from glucoframe.llm.textstream import Words, mix, seeded, slices, text_buffers, windows, words_of
+from glucoframe.llm.textstream import Words, mix, release_memory, seeded, slices, text_buffers, windows, words_of
 
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
@@ -119,6 +119,7 @@ def _survey(batches, k: int):
             [pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()), pa.nulls(SKETCH_PARTS, pa.int64()),
              pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([z.compress(p.tobytes()) for p in parts], pa.binary())],
             ["doc_id", "n", "cls", "part", "cells"])
+    release_memory()
 
 
 def _add_parts(batches):
@@ -185,6 +186,7 @@ def _prefixes(batches, k: int, num: int, den: int, table):
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
              pa.array([r[4] for r in rows], pa.binary()), *lists],
             ["cls", "n", "odd", *(f"o{i}" for i in range(ORDERS))])
+    release_memory()
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
@@ -263,6 +265,7 @@ def _bucket_pairs(batches, num: int, den: int):
             yield from sent(pairs_in(part[whole]))
     if carry is not None and len(carry):
         yield from sent(pairs_in(carry))
+    release_memory()
 
 
 _PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()),

@@ -16,6 +16,7 @@ rows with equal ids are separate documents.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections import defaultdict
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucoframe.llm.scratch import Scratch
-from glucoframe.llm.textstream import SPACE, Words, slices, spans_of, text_buffers, words_of
+from glucoframe.llm.textstream import SPACE, Words, release_memory, slices, spans_of, text_buffers, words_of
 
 SIZE = 2048
 SEPARATOR = 0
@@ -60,8 +61,7 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class PieceCache(dict):
-    """ids (as little-endian bytes) of pieces; a bounded cache of two generations in each
-    Python worker."""
+    """ids (as little-endian bytes) of pieces; a bounded cache of two generations."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,17 +92,6 @@ class PieceCache(dict):
         return ids
 
 
-_caches: dict[str, PieceCache] = {}
-
-
-def piece_cache(path: str) -> PieceCache:
-    import os
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _caches:
-        _caches[path] = PieceCache(path)
-    return _caches[path]
-
-
 def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     """Pieces of texts, and whether one is a whole word that only the tokenizer can split.
 
@@ -159,7 +148,8 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, cache: PieceCache) -> tuple
 
 
 def _pieces(batches, path: str, size: int):
-    cache = piece_cache(path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    cache = PieceCache(path)  # a task's own: an idle worker keeps no memory
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
@@ -172,6 +162,8 @@ def _pieces(batches, path: str, size: int):
                     for k, at in enumerate(range(0, hi - lo, size))]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
+    del cache
+    release_memory()
 
 
 class SumIndex:

@@ -11,6 +11,7 @@ about 2**-64 per pair of words.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,3 +175,12 @@ def slices(offsets: np.ndarray, limit: int):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
         yield i, min(j, n)
         i = j
+
+
+def release_memory() -> None:
+    """Give freed memory back at the end of a task: Spark keeps idle Python workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
