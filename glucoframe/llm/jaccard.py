@@ -17,7 +17,7 @@ no more bits than the sets differ in tokens, which drops near misses, again
 without losing a link. What is left is verified on the texts.
 
 Hot buckets: up to ``ALL_PAIRS`` classes are paired directly. In a larger bucket
-a few leaders are paired with the others, which joins a group of near copies
+a leader is paired with the others, which joins a group of near copies
 into one component without listing its pairs; the bucket then stays open, and a
 second pass tries every class outside the bucket's largest component against the
 classes of other components. Every pair that shares an indexed token is thus
@@ -53,7 +53,7 @@ CELLS = 1 << CELL_BITS
 SKETCH_PARTS = 16
 ORDERS = 3
 ALL_PAIRS = 64
-LEADERS = 4
+LEADERS = 1
 PARITY_BITS = 1024
 SLICE_BYTES = 4 << 20
 KEY_BITS = 58
