@@ -51,19 +51,18 @@ def stack_vectors(s: pd.Series) -> np.ndarray:
 
 # ---- X2 --------------------------------------------------------------------------------------
 def mlp_forward(x: np.ndarray, layers: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """ReLU hidden layers, sigmoid output."""
+    """A sigmoid after every linear layer, hidden ones too."""
     h = x
-    for i, (w, b) in enumerate(layers):
-        h = h @ w + b
-        if i < len(layers) - 1:
-            h = np.maximum(h, 0.0)
-    return 1.0 / (1.0 + np.exp(-h))
+    for w, b in layers:
+        h = 1.0 / (1.0 + np.exp(-(h @ w + b)))
+    return h
 
 
 def severity_score(df: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray]], vec: str = "vec",
-                   out: str = "score") -> DataFrame:
+                   out: str = "score", decoder: Sequence[tuple[float, float]] = ()) -> DataFrame:
     """score = MLP(vec) in 0..1 with the given weights (broadcast once, vectorised
-    per Arrow batch in a pandas UDF)."""
+    per Arrow batch in a pandas UDF). Each (weight, bias) of ``decoder`` adds a target
+    t0, t1, ... = sigmoid(weight * score + bias)."""
     bc = df.sparkSession.sparkContext.broadcast([(np.asarray(w, float), np.asarray(b, float))
                                                  for w, b in layers])
 
@@ -74,7 +73,9 @@ def severity_score(df: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray]
         y = mlp_forward(stack_vectors(v), bc.value)
         return pd.Series(y[:, 0])
 
-    return df.withColumn(out, score(F.col(vec)))
+    scored = df.withColumn(out, score(F.col(vec)))
+    return scored.withColumns({f"t{i}": 1 / (1 + F.exp(-(F.lit(float(w)) * F.col(out) + F.lit(float(b)))))
+                               for i, (w, b) in enumerate(decoder)})
 
 
 # ---- X3-X7: Spark ML ------------------------------------------------------------------------------

@@ -20,9 +20,17 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null, so that no row with a null key is lost."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(other[f"_r_{k}"])
+    return left.join(other, cond).drop(*[f"_r_{k}" for k in keys])
+
+
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                out: str = "rank", num_partitions: int | None = None,
-                materialize: bool = True) -> DataFrame:
+                out: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based rank of each row within its ``keys`` group by ``order``.
 
     ``order`` must be a total order (add a unique tie-breaker); keys=[] gives a
@@ -40,17 +48,17 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     cols = [*keys, *names]
     r = (base.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
          .withColumn("_mid", F.monotonically_increasing_id()))
-    if materialize:
-        from glucoframe.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        r = r.checkpoint(eager=True)
+    # stored: a second evaluation might sample other range bounds
+    from glucoframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    r = r.checkpoint(eager=True)
     r = (r.withColumn("_pid", F.shiftright("_mid", 33))
          .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
     st = r.groupBy(*keys, "_pid").agg(F.count("*").alias("_cnt"), F.min("_loc").alias("_first"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     st = st.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    j = r.join(st.select(*keys, "_pid", "_off", "_first"), [*keys, "_pid"])
+    j = join_null_safe(r, st.select(*keys, "_pid", "_off", "_first"), [*keys, "_pid"])
     j = j.withColumn(out, (F.col("_off") + F.col("_loc") - F.col("_first")).cast("long"))
     return j.drop("_mid", "_pid", "_loc", "_off", "_first", *names)
 
@@ -88,7 +96,7 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
         Window.unboundedPreceding, -1)
     for v in vals:
         st = st.withColumn(f"_off_{v}", F.coalesce(F.sum(f"_tot_{v}").over(w), F.lit(0)))
-    j = r.join(st.select(*keys, "_pid", *[f"_off_{v}" for v in vals]), [*keys, "_pid"])
+    j = join_null_safe(r, st.select(*keys, "_pid", *[f"_off_{v}" for v in vals]), [*keys, "_pid"])
     for v, o in zip(vals, outs):
         j = j.withColumn(o, F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
     drop = ["_mid", "_pid"] + [f"_loc_{v}" for v in vals] + [f"_off_{v}" for v in vals]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glucoframe.functions.glucose import DAY_SLOTS
 from glucoframe.functions.hashing import u
-from glucoframe.operators.ranking import global_rank, rank_within
+from glucoframe.operators.ranking import global_rank, join_null_safe, rank_within
 
 
 # ---- W1-W4: re-sampling of day series ----------------------------------------------------
@@ -85,7 +85,7 @@ def stratified_split(df: DataFrame, label: str, frac: float, key: str, seed: int
     """
     r = rank_within(df.withColumn("_u", u(seed, key)), [label], ["_u", key], out="_r")
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
-    r = r.join(n, label)
+    r = join_null_safe(r, n, [label])  # a null class is a class of its own
     cut = F.floor(F.col("_n") * F.lit(frac))
     return (r.withColumn(out, F.when(F.col("_r") < cut, F.lit("test")).otherwise(F.lit("train")))
             .drop("_u", "_r", "_n"))

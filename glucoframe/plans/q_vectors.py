@@ -162,6 +162,10 @@ def mlp_weights(dims=(64, 16, 8, 1)):
     return layers
 
 
+#: weight and bias of each decoded target
+MLP_DECODER = ((1.5, -0.5), (-2.0, 1.0), (0.25, 0.0))
+
+
 def _mlp_sql() -> str:
     layers = mlp_weights()
     h = "vec"
@@ -170,7 +174,7 @@ def _mlp_sql() -> str:
         units = []
         for j in range(w.shape[1]):
             z = f"(list_inner_product({h}, {_vec_sql(w[:, j])}) + {float(b[j])!r})"
-            units.append(z if li == len(layers) - 1 else f"greatest({z}, 0.0)")
+            units.append(z if li == len(layers) - 1 else f"1.0 / (1.0 + exp(-({z})))")
         exprs.append(units)
         h = f"h{li}"
     sel = []
@@ -181,14 +185,16 @@ def _mlp_sql() -> str:
         ctes.append(f"l{li} AS (SELECT vec_id, [{', '.join(units)}] AS h{li} FROM {src})")
         src = f"l{li}"
     final = exprs[-1][0]
-    return ("WITH " + ", ".join(ctes) + f" SELECT vec_id, 1.0 / (1.0 + exp(-{final})) AS score FROM {src}")
+    targets = ", ".join(f"1.0 / (1.0 + exp(-({w} * score + {b}))) AS t{i}" for i, (w, b) in enumerate(MLP_DECODER))
+    return ("WITH " + ", ".join(ctes) + f", scored AS (SELECT vec_id, 1.0 / (1.0 + exp(-({final}))) AS score FROM {src})"
+            f" SELECT vec_id, score, {targets} FROM scored")
 
 
-@query("severity_score", _mlp_sql(), views=("vectors",), round_cols=["score"])
+@query("severity_score", _mlp_sql(), views=("vectors",), round_cols=["score", "t0", "t1", "t2"])
 def q_severity_score(spark, sf_dir):
-    """64-16-8-1 network (ReLU, sigmoid) with broadcast weights in a pandas UDF."""
+    """64-16-8-1 network, sigmoid after every layer, with broadcast weights in a pandas UDF."""
     v = B.vectors(spark, sf_dir).select("vec_id", "vec")
-    return X.severity_score(v, mlp_weights()).select("vec_id", "score")
+    return X.severity_score(v, mlp_weights(), decoder=MLP_DECODER).select("vec_id", "score", "t0", "t1", "t2")
 
 
 # ---- X3-X7 (Spark ML; rows-only checks) -----------------------------------------------------------

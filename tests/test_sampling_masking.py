@@ -132,3 +132,15 @@ def test_apply_mask_never_hits_specials(spark):
             assert r.label == r.token
     replaced = sum(r.input_id == G.MASK_ID for r in out if r.label != -100)
     assert 0.6 < replaced / sum(r.label != -100 for r in out) < 0.95
+
+
+def test_rows_with_a_null_class_stay(spark):
+    from glucoframe.operators.ranking import rank_within
+    from glucoframe.operators.sampling import stratified_split
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "a") for i in range(20)], "k long, label string")
+    out = stratified_split(df, "label", 0.4, "k").collect()
+    assert len(out) == 20
+    assert sum(r["split"] == "test" for r in out if r["label"] is None) == 2
+    for n in (1, 4, 16):
+        ranks = rank_within(df, ["label"], ["k"], num_partitions=n).collect()
+        assert sorted(r["rank"] for r in ranks if r["label"] is None) == list(range(5)) and len(ranks) == 20
