@@ -16,7 +16,7 @@ from glucoframe.llm.quality_model import quality_scores
 from glucoframe.llm.quality_rules import judged
 from glucoframe.llm.scratch import Scratch
 from glucoframe.llm.secrets import secret_spans
-from glucoframe.llm.token_counts import TOKENIZERS, Rollup, revisions, token_changes
+from glucoframe.llm.token_counts import TOKENIZERS, Rollup, changes_of, counted
 from glucoframe.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,16 +65,17 @@ def op2(spark, sf_dir):
     deleted. Every batch is sent twice."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    marked = docs.select("doc_id", "text", "source", "lang").join(marks.where("quality = 0 OR toxic = 1"), "doc_id")
-    cleaned = F.regexp_replace("text", r"[#*$%&|<>]+", "")
-    poor = marked.where("quality = 0")
-    gone = marked.where("toxic = 1").withColumn("text", F.when(F.col("quality") == 0, cleaned).otherwise(F.col("text")))
     names = list(TOKENIZERS)
-    rollup = Rollup(spark, Scratch(spark, "token-counts").root)
+    scratch = Scratch(spark, "token-counts")
+    counts = scratch.stored(counted(docs, names, ["doc_id"], n=F.col("text"), revised=F.regexp_replace("text", r"[#*$%&|<>]+", "")))
+    marked = counts.join(marks.where("quality = 0 OR toxic = 1"), "doc_id")
+    poor = marked.where("quality = 0")
+    gone = marked.where("toxic = 1").withColumn("n", F.when(F.col("quality") == 0, F.col("revised")).otherwise(F.col("n")))
+    rollup = Rollup(spark, f"{scratch.root}/rollup")
     for _ in range(2):
-        rollup.commit("insert-1", token_changes(docs, names))
-        rollup.commit("revise-1", revisions(poor, poor.withColumn("text", cleaned), names))
-        rollup.commit("delete-1", token_changes(gone, names, -1))
+        rollup.commit("insert-1", changes_of(counts))
+        rollup.commit("revise-1", changes_of(poor, "n", -1).unionByName(changes_of(poor, "revised")))
+        rollup.commit("delete-1", changes_of(gone, "n", -1))
     return rollup.totals()
 
 

@@ -31,12 +31,22 @@ TOKENIZERS = {
 }
 
 
-def token_changes(docs: DataFrame, tokenizers: Sequence[str], sign: int | Column = 1) -> DataFrame:
-    """Signed counts of documents: (source, lang, tokenizer, docs, tokens), summed up."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counted = docs.select("source", "lang", F.lit(sign).alias("sign") if isinstance(sign, int) else sign.alias("sign"), F.inline(F.array(*(
-        F.struct(F.lit(t).alias("tokenizer"), TOKENIZERS[t](text).cast("long").alias("n")) for t in tokenizers))))
-    return counted.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("n")).cast("long").alias("tokens"))
+def counted(docs: DataFrame, tokenizers: Sequence[str], keep: Sequence[str] = (), **texts: Column) -> DataFrame:
+    """Counts per document and tokenizer: one column for each of ``texts`` (default: n, of text).
+    Small rows: join these, not the texts."""
+    texts = {k: F.coalesce(t, F.lit("")) for k, t in (texts or {"n": F.col("text")}).items()}
+    rows = F.array(*(F.struct(F.lit(t).alias("tokenizer"), *(TOKENIZERS[t](x).cast("long").alias(k) for k, x in texts.items()))
+                     for t in tokenizers))
+    return docs.select(*keep, "source", "lang", F.inline(rows))
+
+
+def changes_of(counts: DataFrame, n: str = "n", sign: int = 1) -> DataFrame:
+    """Signed totals of counted documents: (source, lang, tokenizer, docs, tokens)."""
+    return counts.groupBy(*KEYS).agg((F.count(F.lit(1)) * sign).alias("docs"), (F.sum(n) * sign).alias("tokens"))
+
+
+def token_changes(docs: DataFrame, tokenizers: Sequence[str], sign: int = 1) -> DataFrame:
+    return changes_of(counted(docs, tokenizers), sign=sign)
 
 
 def revisions(old: DataFrame, new: DataFrame, tokenizers: Sequence[str]) -> DataFrame:
