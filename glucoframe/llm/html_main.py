@@ -29,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glucoframe.llm.scratch import Scratch
+
 LEAST_RUN = 8
 PAGES = 256
+BROADCAST_HOSTS = 100_000
 MAIN, PLAIN, FURNITURE = 0, 1, 2
 
 _TOKEN = re.compile(
@@ -184,8 +187,13 @@ def main_texts(pages: DataFrame, part_pages: int = PAGES) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    sizes = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / part_pages).cast("int").alias("parts"))
-    blocks = (pages.join(sizes, "host").select("page_id", "url", "html", "host", "parts")
+    # only hosts of several parts; their table is broadcast if it is small, so that pages move once
+    sizes = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / part_pages).cast("int").alias("parts")).where("parts > 1")
+    sizes = Scratch(pages.sparkSession, "main-text").stored(sizes)
+    if sizes.count() <= BROADCAST_HOSTS:
+        sizes = F.broadcast(sizes)
+    blocks = (pages.join(sizes, "host", "left")
+              .select("page_id", "url", "html", "host", F.coalesce("parts", F.lit(1)).alias("parts"))
               .mapInArrow(_parse, "page_id long, url string, host string, parts int, blocks array<string>, zones array<int>"))
     part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts"))
     return (blocks.withColumn("part", part).groupBy("host", "part")
