@@ -9,7 +9,7 @@ stored.
 A batch has an id. It is written as one partition of a log that names it; a batch
 whose partition is already committed is skipped, and a half-written one is
 overwritten as a whole, so a batch may be sent any number of times. Totals are the
-sum of the committed partitions; ``compacted`` folds them into one.
+sum of the committed partitions.
 
 Defined results: null text has no tokens but is a document; null source or
 language is a group of its own; groups whose documents are all gone vanish.
