@@ -67,7 +67,8 @@ def op2(spark, sf_dir):
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     names = list(TOKENIZERS)
     scratch = Scratch(spark, "token-counts")
-    counts = scratch.stored(counted(docs, names, ["doc_id"], n=F.col("text"), revised=F.regexp_replace("text", r"[#*$%&|<>]+", "")))
+    counts = scratch.stored(counted(docs, names, ["doc_id"], n=F.col("text"), revised=F.regexp_replace("text", r"[#*$%&|<>]+", "")),
+                            "snappy")
     marked = counts.join(marks.where("quality = 0 OR toxic = 1"), "doc_id")
     poor = marked.where("quality = 0")
     gone = marked.where("toxic = 1").withColumn("n", F.when(F.col("quality") == 0, F.col("revised")).otherwise(F.col("n")))

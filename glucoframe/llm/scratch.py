@@ -38,10 +38,12 @@ class Scratch:
         self.count = 0
         self.paths: dict[int, str] = {}
 
-    def stored(self, df: DataFrame) -> DataFrame:
+    def stored(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
+        """``df`` written and read again; small numbers in many files do better with snappy,
+        which takes no native memory per file."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
