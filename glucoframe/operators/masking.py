@@ -2,8 +2,8 @@
 
 Token rows are long: (scope, sample_id, tpos, token). ``scope`` is the unit a
 plan is fitted on (a batch id, a fold, or a constant for the whole corpus).
-Per-scope token weights are at most ``VOCAB_SIZE`` rows per scope, so they are
-broadcast back to the token rows.
+Per-scope token weights are at most ``VOCAB_SIZE`` rows per scope; they are
+broadcast to the token rows behind a check of their number.
 
 Fixed values: tf-idf probabilities are clipped to 0.45..0.60; frequency
 probabilities to 0.30..0.60 with bands id <= 31, 31 < id < 141, id >= 141;
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from glucoframe.functions.glucose import CLS_ID, DAY_SLOTS, MASK_ID, PAD_ID, VOCAB_SIZE, encode_value
 from glucoframe.functions.hashing import u
+from glucoframe.operators.shape import to_array
 
+#: up to so many (scope, token) rows are broadcast to the token rows
+MAX_PROBS = 500_000
 TFIDF_LO, TFIDF_HI = 0.45, 0.60
 FREQ_LO, FREQ_HI = 0.30, 0.60
 UNIFORM_P = 0.45
@@ -108,11 +111,40 @@ def apply_mask(tokens: DataFrame, seed: int = 7, sample: str = "sample_id",
     """
     special = (F.col(tpos) == 0) | F.col("token").isin(MASK_ID, PAD_ID, CLS_ID)
     p = F.when(special, F.lit(0.0)).otherwise(F.col("prob"))
-    drawn = u(seed, sample, tpos, F.lit("draw")) < p
+    drawn = F.col("_drawn")
     replaced = drawn & (u(seed, sample, tpos, F.lit("mask")) < 0.8)
-    rnd = drawn & ~replaced & (u(seed, sample, tpos, F.lit("rand")) < 0.5)
+    rnd = drawn & (u(seed, sample, tpos, F.lit("rand")) < 0.5)
     rid = F.floor(u(seed, sample, tpos, F.lit("id")) * vocab_size).cast("int")
-    return tokens.select(
-        "*",
+    return tokens.withColumn("_drawn", u(seed, sample, tpos, F.lit("draw")) < p).select(
+        *tokens.columns,
         F.when(replaced, F.lit(MASK_ID)).when(rnd, rid).otherwise(F.col("token")).alias("input_id"),
         F.when(drawn, F.col("token")).otherwise(F.lit(-100)).alias("label"))
+
+
+def attach_probs(tokens: DataFrame, probs: DataFrame, most: int = MAX_PROBS, salt: int = 64,
+                 sample: str = "sample_id", tpos: str = "tpos") -> DataFrame:
+    """Token rows with the ``prob`` of their (scope, token); without one it is null (never drawn).
+
+    The table is written once and counted. Up to ``most`` rows it is broadcast; a larger one
+    is repeated ``salt`` times, as a frequent token would land in one task."""
+    from glucoframe.session import cut_lineage
+    probs = cut_lineage(probs.select("scope", "token", "prob"))
+    if probs.count() <= most:
+        return tokens.join(F.broadcast(probs), ["scope", "token"], "left")
+    spread = probs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    dealt = tokens.withColumn("_salt", F.pmod(F.xxhash64(sample, tpos), F.lit(salt)).cast("int"))
+    return dealt.join(spread, ["scope", "token", "_salt"], "left").drop("_salt")
+
+
+def masked_rows(masked: DataFrame, sample: str = "sample_id", tpos: str = "tpos",
+                length: int = DAY_SLOTS) -> DataFrame:
+    """M4 as training rows (sample, input_ids, labels) of ``length`` + 1 positions: <cls>, then
+    the readings at ``tpos`` 1..length of ``masked``; other positions are <pad>, and neither
+    has a label (-100). One grouped pass carries both numbers of a position in one."""
+    both = F.col("input_id") * F.lit(1 << 16) + F.col("label") + F.lit(100)
+    days = to_array(masked.select(sample, (F.col(tpos) - 1).alias("pos"), both.cast("int").alias("value")),
+                    sample, length=length, out="_both")
+    ids = F.transform("_both", lambda x: F.coalesce(F.shiftright(x, 16), F.lit(PAD_ID)))
+    labels = F.transform("_both", lambda x: F.coalesce(x.bitwiseAND(F.lit((1 << 16) - 1)) - 100, F.lit(-100)))
+    return days.select(sample, F.concat(F.array(F.lit(CLS_ID)), ids).alias("input_ids"),
+                       F.concat(F.array(F.lit(-100)), labels).alias("labels"))

@@ -43,7 +43,7 @@ def unpivot_slots(df: DataFrame, key: str | Sequence[str], slots: Sequence[str],
 
 
 def to_array(df: DataFrame, key: str | Sequence[str], pos: str = "pos", value: str = "value",
-             length: int = DAY_SLOTS, out: str = "input_ids") -> DataFrame:
+             length: int = DAY_SLOTS, out: str = "input_ids", out_of_range: str = "raise") -> DataFrame:
     """Long -> fixed-length array per key; missing positions are null.
 
     One ``groupBy(key)`` collects the (bounded, <= ``length``) positions and
@@ -51,9 +51,9 @@ def to_array(df: DataFrame, key: str | Sequence[str], pos: str = "pos", value: s
     with numpy (``mapInArrow``): one vectorised pass, O(length) per key whatever
     the density. Spark's built-in alternatives look every slot up in a map or
     list (O(length x readings), boxed) or build a 288-column pivot that
-    overflows generated code inside larger stages. Positions outside
-    [0, length) are dropped; positions are unique per key (readings are slot
-    means), otherwise one of the duplicates is kept.
+    overflows generated code inside larger stages. A null position, a position
+    outside [0, length) and a repeated position raise; ``out_of_range="drop"``
+    leaves rows outside out (a key without other rows then has no array).
     """
     import numpy as np
     import pyarrow as pa
@@ -62,7 +62,9 @@ def to_array(df: DataFrame, key: str | Sequence[str], pos: str = "pos", value: s
     keys = [key] if isinstance(key, str) else list(key)
     fields = {f.name: f for f in df.schema.fields}
     vtype = fields[value].dataType
-    inside = df.filter((F.col(pos) >= 0) & (F.col(pos) < length))
+    if out_of_range not in ("raise", "drop"):
+        raise ValueError("to_array: out_of_range is 'raise' or 'drop'")
+    inside = df.filter((F.col(pos) >= 0) & (F.col(pos) < length)) if out_of_range == "drop" else df
     # one list of structs keeps positions and (possibly null) values aligned
     g = inside.groupBy(*keys).agg(F.collect_list(F.struct(F.col(pos).cast("int").alias("p"),
                                                           F.col(value).alias("v"))).alias("_pv"))
@@ -76,7 +78,12 @@ def to_array(df: DataFrame, key: str | Sequence[str], pos: str = "pos", value: s
             rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(pv.offsets.to_numpy()))
             entries = pv.flatten()
             flat_v = entries.field("v")
-            idx = rows * length + entries.field("p").to_numpy(zero_copy_only=False).astype(np.int64)
+            at = entries.field("p").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            if ((at < 0) | (at >= length)).any():
+                raise ValueError(f"to_array: a position is null or outside 0..{length - 1}")
+            idx = rows * length + at
+            if len(idx) and np.bincount(idx).max() > 1:
+                raise ValueError("to_array: a position repeats within a key")
             dense = np.zeros(n * length, dtype=flat_v.type.to_pandas_dtype())
             valid = np.zeros(n * length, dtype=bool)
             dense[idx] = flat_v.to_numpy(zero_copy_only=False)

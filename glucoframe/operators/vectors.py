@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLUSTERS = 10_000  # size bound checked before centroids are broadcast
-MAX_LABEL_PAIRS = 100_000  # size bound of the marginal pairs of the adjusted MI
+MAX_CLUSTERS = 10_000  # up to so many centroids are broadcast, more are joined in blocks
+MAX_SIZES = 100_000  # up to so many class sizes are broadcast (adjusted MI), more are joined in blocks
+MI_STEP = 10_000  # terms of the expected MI that one row expands into
 
 
 def _c(x) -> Column:
@@ -95,22 +96,31 @@ def cluster_centroids(refs: DataFrame, cluster: str = "cluster", vec: str = "vec
     return mean_vectors(refs.select(cluster, unit(vec).alias("u")), [cluster], "u", out="centroid")
 
 
+def _blocks(df: DataFrame, most: int) -> int:
+    """Number of blocks of about ``most`` rows, 1 or more."""
+    return max(1, -(-df.count() // most))
+
+
 def _scored(targets: DataFrame, refs: DataFrame, key: str, cluster: str, vec: str,
             max_clusters: int) -> DataFrame:
-    """Targets with ``_sims`` = array of (cluster, mean cosine), one entry per cluster."""
+    """Targets with ``_sims`` = array of (cluster, mean cosine), one entry per cluster; beyond
+    ``max_clusters`` one row per target and block of clusters."""
     cents = cluster_centroids(refs, cluster, vec)
-    k = cents.count()
-    if k > max_clusters:
-        raise ValueError(f"cluster_similarity: {k} clusters exceed the broadcast bound {max_clusters}")
-    one = cents.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("centroid").alias("v")))
-                    .alias("_cents"))
+    blocks = _blocks(cents, max_clusters)
+    entries = F.collect_list(F.struct(F.col(cluster).alias("c"), F.col("centroid").alias("v"))).alias("_cents")
+    t = targets.select(key, F.col(vec).alias("_t"), l2norm(vec).alias("_n"))
+    if blocks == 1:
+        t = t.crossJoin(F.broadcast(cents.agg(entries)))  # one row
+    else:
+        parts = cents.groupBy(F.pmod(F.xxhash64(cluster), F.lit(blocks)).alias("_block")).agg(entries)
+        t = t.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(parts, "_block")
     # cos(t, centroid) = (t . centroid) / |t|; |t| once per row, dots once per centroid
-    t = targets.select(key, F.col(vec).alias("_t"), l2norm(vec).alias("_n")).crossJoin(F.broadcast(one))
     raw = F.transform("_cents", lambda c: F.struct(c["c"].alias("c"), dot("_t", c["v"]).alias("d")))
-    t = t.select(key, "_n", raw.alias("_raw"))
+    block = ["_block"] if blocks > 1 else []
+    t = t.select(key, *block, "_n", raw.alias("_raw"))
     sims = F.zip_with("_raw", F.array_repeat(F.col("_n"), F.size("_raw")), lambda r, n: F.struct(
         r["c"].alias(cluster), F.when(n > 0, r["d"] / n).otherwise(F.lit(0.0)).alias("sim")))
-    return t.select(key, sims.alias("_sims"))
+    return t.select(key, *block, sims.alias("_sims"))
 
 
 def cluster_similarity(targets: DataFrame, refs: DataFrame, key: str = "vec_id",
@@ -121,7 +131,8 @@ def cluster_similarity(targets: DataFrame, refs: DataFrame, key: str = "vec_id",
     No target x reference pairs: mean_r cos(t, r) = unit(t) . mean_r unit(r),
     so each target meets only the k cluster centroids. The k centroids are
     counted (size check) and broadcast as one row holding an array; every
-    target row then scores them in place. Output long (key, cluster, sim).
+    target row then scores them in place. More than ``max_clusters`` are dealt
+    into blocks, and targets meet block by block. Output long (key, cluster, sim).
     """
     return _scored(targets, refs, key, cluster, vec, max_clusters).select(key, F.inline("_sims"))
 
@@ -131,15 +142,19 @@ def assign_cluster(targets: DataFrame, refs: DataFrame, key: str = "vec_id",
                    max_clusters: int = MAX_CLUSTERS) -> DataFrame:
     """The cluster with the highest mean cosine per target; ties -> smallest name.
 
-    The argmax runs inside each target row over its k scores (no shuffle).
+    The argmax runs inside each target row over its k scores (no shuffle). With
+    more than ``max_clusters`` clusters the winners of the blocks meet in one
+    grouped minimum, for which the key must be unique.
     """
     t = _scored(targets, refs, key, cluster, vec, max_clusters)
     best = F.aggregate(
-        F.slice("_sims", 2, max_clusters), F.element_at("_sims", 1),
+        "_sims", F.get("_sims", F.lit(0)),
         lambda acc, x: F.when((x["sim"] > acc["sim"])
                               | ((x["sim"] == acc["sim"]) & (x[cluster] < acc[cluster])), x).otherwise(acc))
-    return t.select(key, best.alias("_b")).select(key, F.col("_b")[cluster].alias(cluster),
-                                                 F.col("_b")["sim"].alias("sim"))
+    won = t.select(key, best.alias("_b"))
+    if "_block" in t.columns:
+        won = won.groupBy(key).agg(F.min_by("_b", F.struct(-F.col("_b")["sim"], F.col("_b")[cluster])).alias("_b"))
+    return won.select(key, F.col("_b")[cluster].alias(cluster), F.col("_b")["sim"].alias("sim"))
 
 
 # ---- A23 / A24 ------------------------------------------------------------------------------
@@ -159,15 +174,16 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mutual information (natural log) of two labelings and its arithmetic-mean
     normalisation, from contingency counts.
 
-    One grouped aggregate gives the cells; marginals and n are windows over the
-    cells (a table bounded by the two label cardinalities), so the input is read
-    once. H(a) = -sum_cells (n_ij / n) ln(a_i / n), likewise H(b).
+    One grouped aggregate gives the cells; marginals are windows over the cells of
+    one class, n is a one-row aggregate that is broadcast.
+    H(a) = -sum_cells (n_ij / n) ln(a_i / n), likewise H(b).
     """
     from pyspark.sql import Window
     cells = df.groupBy(a, b).agg(F.count("*").alias("_nij"))
+    total = cells.agg(F.sum("_nij").alias("_n"))
     cells = (cells.withColumn("_ai", F.sum("_nij").over(Window.partitionBy(a)))
              .withColumn("_bj", F.sum("_nij").over(Window.partitionBy(b)))
-             .withColumn("_n", F.sum("_nij").over(Window.partitionBy())))
+             .crossJoin(F.broadcast(total)))
     p = F.col("_nij") / F.col("_n")
     out = cells.agg(F.sum(p * F.log(F.col("_n") * F.col("_nij") / (F.col("_ai") * F.col("_bj")))).alias("mi"),
                     F.sum(-p * F.log(F.col("_ai") / F.col("_n"))).alias("h_a"),
@@ -191,32 +207,39 @@ def log_factorial(n) -> Column:
 
 
 def adjusted_mutual_information(df: DataFrame, a: str, b: str,
-                                max_pairs: int = MAX_LABEL_PAIRS) -> DataFrame:
+                                max_sizes: int = MAX_SIZES, step: int = MI_STEP) -> DataFrame:
     """A24 (adjusted): AMI = (MI - E[MI]) / (mean(H(a), H(b)) - E[MI]) with E[MI] under
     the hypergeometric model of fixed marginals (arithmetic mean, as scikit-learn).
 
     E[MI] sums, for every pair of classes (i, j) of the two marginals, over
-    n_ij = max(1, a_i + b_j - N) .. min(a_i, b_j): an explode bounded by the
-    smaller class size. The pairs table (k x l rows) is count-checked before
-    it is broadcast.
+    n_ij = max(1, a_i + b_j - N) .. min(a_i, b_j). Classes of equal size share
+    their terms, so only distinct sizes are paired: those of b are broadcast up to
+    ``max_sizes``, beyond it joined in blocks. A row expands into at most ``step``
+    terms at a time.
     """
     base = mutual_information(df, a, b)
     cells = df.groupBy(a, b).agg(F.count("*").alias("_nij"))
-    ra = cells.groupBy(a).agg(F.sum("_nij").alias("_ai"))
-    rb = cells.groupBy(b).agg(F.sum("_nij").alias("_bj"))
-    n_pairs = ra.count() * rb.count()
-    if n_pairs > max_pairs:
-        raise ValueError(f"adjusted_mutual_information: {n_pairs} class pairs exceed {max_pairs}")
-    n = ra.agg(F.sum("_ai").alias("_n"))
-    pairs = ra.crossJoin(F.broadcast(rb)).crossJoin(F.broadcast(n))
+    ra = cells.groupBy(a).agg(F.sum("_nij").alias("_ai")).groupBy("_ai").agg(F.count("*").alias("_ma"))
+    rb = cells.groupBy(b).agg(F.sum("_nij").alias("_bj")).groupBy("_bj").agg(F.count("*").alias("_mb"))
+    n = cells.agg(F.sum("_nij").alias("_n"))  # one row
+    blocks = _blocks(rb, max_sizes)
+    if blocks == 1:
+        pairs = ra.crossJoin(F.broadcast(rb))
+    else:
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        pairs = ra.withColumn("_block", every).join(
+            rb.withColumn("_block", F.pmod(F.xxhash64("_bj"), F.lit(blocks))), "_block")
+    pairs = pairs.crossJoin(F.broadcast(n))
     lo = F.greatest(F.lit(1).cast("long"), F.col("_ai") + F.col("_bj") - F.col("_n"))
     hi = F.least(F.col("_ai"), F.col("_bj"))
-    terms = pairs.filter(lo <= hi).select("_ai", "_bj", "_n", F.explode(F.sequence(lo, hi)).alias("_k"))
+    fixed = ["_ai", "_bj", "_n", "_ma", "_mb"]
+    starts = pairs.filter(lo <= hi).select(*fixed, hi.alias("_hi"), F.explode(F.sequence(lo, hi, F.lit(step).cast("long"))).alias("_from"))
+    terms = starts.select(*fixed, F.explode(F.sequence("_from", F.least("_hi", F.col("_from") + (step - 1)))).alias("_k"))
     ai, bj, nn, k = F.col("_ai"), F.col("_bj"), F.col("_n"), F.col("_k")
     gln = (log_factorial(ai) + log_factorial(bj) + log_factorial(nn - ai) + log_factorial(nn - bj)
            - log_factorial(nn) - log_factorial(k) - log_factorial(ai - k) - log_factorial(bj - k)
            - log_factorial(nn - ai - bj + k))
-    term = (k / nn) * (F.log(nn * k) - F.log(ai * bj)) * F.exp(gln)
+    term = F.col("_ma") * F.col("_mb") * (k / nn) * (F.log(nn * k) - F.log(ai * bj)) * F.exp(gln)
     emi = terms.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("emi"))
     out = base.crossJoin(emi)
     norm = (F.col("h_a") + F.col("h_b")) / 2.0

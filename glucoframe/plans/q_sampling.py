@@ -312,15 +312,19 @@ def q_mask_prob_uniform(spark, sf_dir):
                  {u_sql(7, 'sample_id', 'tpos', "'mask'")} < 0.8 AS rep,
                  {u_sql(7, 'sample_id', 'tpos', "'rand'")} < 0.5 AS rnd,
                  CAST(floor({u_sql(7, 'sample_id', 'tpos', "'id'")} * 266) AS INTEGER) AS rid FROM tp)
-    SELECT sample_id, tpos, token,
-           CASE WHEN rep THEN 263 WHEN rnd THEN rid ELSE token END AS input_id, token AS label
-    FROM d WHERE drawn""", views=("readings", "persons"))
+    SELECT g.sample_id,
+           string_agg(CAST(CASE WHEN g.tpos = 0 THEN 265 WHEN d.token IS NULL THEN 264 WHEN NOT drawn THEN token
+                                WHEN rep THEN 263 WHEN rnd THEN rid ELSE token END AS VARCHAR), ',' ORDER BY g.tpos) AS input_ids,
+           string_agg(CAST(CASE WHEN drawn THEN token ELSE -100 END AS VARCHAR), ',' ORDER BY g.tpos) AS labels
+    FROM (SELECT sample_id, unnest(range(289)) AS tpos FROM (SELECT DISTINCT sample_id FROM t) s) g
+    LEFT JOIN d ON d.sample_id = g.sample_id AND d.tpos = g.tpos
+    GROUP BY g.sample_id""", views=("readings", "persons"))
 def q_apply_mask(spark, sf_dir):
     """M4: draw positions with the tf-idf plan; 80 % <mask>, 10 % random id, 10 % kept.
 
-    Only drawn positions are returned (all others keep their token, label -100).
+    One training row per sample: input ids and labels of all 289 positions.
     """
-    probs = M.mask_prob_tfidf(_counts(spark, sf_dir)).select("scope", "token", "prob")
-    t = _tokens(spark, sf_dir).join(probs, ["scope", "token"])
-    m = M.apply_mask(t, seed=7)
-    return m.filter(F.col("label") != -100).select("sample_id", "tpos", "token", "input_id", "label")
+    t = M.attach_probs(_tokens(spark, sf_dir), M.mask_prob_tfidf(_counts(spark, sf_dir)))
+    m = M.masked_rows(M.apply_mask(t, seed=7))
+    return m.select("sample_id", F.array_join("input_ids", ",").alias("input_ids"),
+                    F.array_join("labels", ",").alias("labels"))

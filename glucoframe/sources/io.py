@@ -12,6 +12,20 @@ from glucoframe.functions.glucose import DAY_SLOTS
 from glucoframe.operators.shape import unpivot_slots
 
 
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The columns of ``schema`` of CSV files, found by header name in any order; other columns are
+    left out. A missing column, a malformed value and a file whose header differs from the
+    first one's raise."""
+    want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = spark.read.csv(path, header=True).columns
+    if missing := [f.name for f in want if f.name not in names]:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    types = {f.name: f.dataType for f in want}
+    by_file = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+    df = spark.read.csv(path, header=True, schema=by_file, enforceSchema=False, mode="FAILFAST")
+    return df.select(*want.fieldNames())
+
+
 def day_matrix_schema(key: str = "key", n_slots: int = DAY_SLOTS, prefix: str = "s") -> T.StructType:
     return T.StructType([T.StructField(key, T.StringType())]
                         + [T.StructField(f"{prefix}{i}", T.DoubleType()) for i in range(n_slots)])
@@ -19,10 +33,10 @@ def day_matrix_schema(key: str = "key", n_slots: int = DAY_SLOTS, prefix: str =
 
 def read_day_matrix(spark: SparkSession, path: str, key: str = "key", n_slots: int = DAY_SLOTS,
                     prefix: str = "s", long: bool = True) -> DataFrame:
-    """Wide CSV, first column the key, then one column per slot (explicit schema).
+    """Wide CSV with a key column and one column per slot, found by header name.
 
     ``long=True`` melts it to (key, pos, value) with missing slots dropped (S3)."""
-    df = spark.read.csv(path, header=True, schema=day_matrix_schema(key, n_slots, prefix))
+    df = read_csv_by_name(spark, path, day_matrix_schema(key, n_slots, prefix))
     if not long:
         return df
     return unpivot_slots(df, key, [f"{prefix}{i}" for i in range(n_slots)])
@@ -38,8 +52,8 @@ def write_day_matrix(rd: DataFrame, path: str, key: str = "sample_id", pos: str
 
 
 def read_labels(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Label / clinical / split / cluster CSV with a declared schema."""
-    return spark.read.csv(path, header=True, schema=schema)
+    """Label / clinical / split / cluster CSV; the declared columns by header name."""
+    return read_csv_by_name(spark, path, schema)
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -80,7 +94,7 @@ def read_embeddings(spark: SparkSession, path: str, keys: Sequence[tuple[str, st
                     vec: str = "vec") -> DataFrame:
     """Inverse of :func:`write_embeddings` for CSV: columns -> one array column."""
     schema = ", ".join([f"{k} {t}" for k, t in keys] + [f"d{i} double" for i in range(dim)])
-    df = spark.read.csv(path, header=True, schema=schema)
+    df = read_csv_by_name(spark, path, schema)
     return df.select(*[k for k, _ in keys], F.array(*[F.col(f"d{i}") for i in range(dim)]).alias(vec))
 
 

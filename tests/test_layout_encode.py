@@ -17,7 +17,7 @@ def long_frame(spark, data):
 def test_to_array_gaps_and_bounds(spark):
     df = long_frame(spark, [("a", 0, 100.0), ("a", 2, 50.0), ("a", 300, 1.0), ("b", 287, 7.0),
                             ("c", 1, None)])
-    arr = {r.sample_id: r.input_ids for r in shape.to_array(df, "sample_id").collect()}
+    arr = {r.sample_id: r.input_ids for r in shape.to_array(df, "sample_id", out_of_range="drop").collect()}
     assert len(arr["a"]) == 288 and arr["a"][0] == 100.0 and arr["a"][1] is None and arr["a"][2] == 50.0
     assert arr["b"][287] == 7.0 and sum(x is not None for x in arr["b"]) == 1
     assert all(x is None for x in arr["c"])          # a null reading stays a gap
