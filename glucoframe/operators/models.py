@@ -2,7 +2,7 @@
 and Spark ML fits on embedding vectors.
 
 Transformer training itself is not rebuilt (see README); a trained model is
-applied through :func:`batch_score`, which loads it once per Python worker and
+applied through :func:`batch_score`, which loads it once per task and
 scores Arrow batches.
 """
 
@@ -25,8 +25,7 @@ def batch_score(df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFram
                 cache_key: str | None = None) -> DataFrame:
     """Apply a user model to rows in batches; ``keep`` columns ride along.
 
-    ``model_factory()`` is called once per Python worker (cached under
-    ``cache_key``) and returns ``model(pdf) -> pdf`` with one result row per
+    ``model_factory()`` is called once per task and returns ``model(pdf) -> pdf`` with one result row per
     input row. Pass large weights through ``spark.sparkContext.broadcast``
     and read them inside the factory.
     """
