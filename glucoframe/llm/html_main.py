@@ -2,7 +2,9 @@
 
 Pages become blocks of words, each with the zone it stands in: the article (or
 main element), page furniture (menus, footers, adverts, forms, ... by element,
-role or class name), or neither. The word streams of a host's pages are put one
+role or class name), or neither. Names count as whole tokens and not on html, body,
+article and main; a main element, and an article with more words than the page has
+in its main zone otherwise, ends furniture that only a name opened. The word streams of a host's pages are put one
 after another and their suffixes are sorted by prefix doubling to the depth of
 ``LEAST_RUN`` words; suffixes with equal ranks are substrings of that length, and
 neighbouring ones unite to longer runs. A run that stands on two or more distinct
@@ -35,6 +37,7 @@ LEAST_RUN = 8
 PAGES = 256
 BROADCAST_HOSTS = 100_000
 MAIN, PLAIN, FURNITURE = 0, 1, 2
+_NAMED, _NESTED = 3, 4  # while parsing: furniture by its name alone, an article in it
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -50,10 +53,18 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav footer aside form menu button dialog fieldset".split())
 _MAIN = frozenset(("article", "main"))
-_NAMED = re.compile(
-    r"\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?(?<![a-z])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|"
-    r"cookies?|disqus|footer|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|related|share|sidebar|social|"
-    r"sponsor\w*|subscribe|toolbar|widget)(?![a-z])", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: a whole class, id or role; "has-sidebar" or "related-posts-on" say something about another element
+_NAME = re.compile(
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary)[-_])?"
+    r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|menu|modal|nav|navbar|"
+    r"navigation|newsletter|notices?|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+    r"(?:[-_](?:bar|box|inner|links|list|widget))?", re.I)
+_UNNAMED = frozenset(("html", "body", "article", "main"))
+
+
+def named_furniture(attributes: str) -> bool:
+    return any(_NAME.fullmatch(token) for m in _ATTRIBUTE.finditer(attributes) for token in (m[1] or m[2] or m[3] or "").split())
 
 
 def page_blocks(page: str) -> list[tuple[int, str]]:
@@ -104,12 +115,17 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
                 zone = stack.pop()[1]
             stack.append((tag, zone))
             if zone != FURNITURE:
-                if tag in _FURNITURE or tag == "header" and zone != MAIN or _NAMED.search(m[4]):
+                if tag in _FURNITURE or tag == "header" and zone not in (MAIN, _NESTED):
                     zone = FURNITURE
                 elif tag in _MAIN:
-                    zone = MAIN
+                    zone = _NESTED if tag == "article" and zone in (_NAMED, _NESTED) else MAIN
+                elif tag not in _UNNAMED and zone != _NAMED and named_furniture(m[4]):
+                    zone = _NAMED
     close()
-    return out
+    # the page's article in a wrapper with an unlucky name, or teasers in a list of related pages
+    length = {z: sum(t.count(" ") + 1 for y, t in out if y == z) for z in (MAIN, _NESTED)}
+    final = {_NAMED: FURNITURE, _NESTED: MAIN if length[_NESTED] > length[MAIN] else FURNITURE}
+    return [(final.get(z, z), t) for z, t in out]
 
 
 def _parse(batches):

@@ -195,6 +195,19 @@ def test_main_text(spark):
     assert page_blocks('<div class="comments"><p>no</p></div><p>yes') == [(2, "no"), (1, "yes")]
 
 
+def test_names_of_wrappers_leave_the_article():
+    from glucoframe.llm.html_main import page_blocks
+    kept = lambda page: [t for z, t in page_blocks(page) if z == 0]
+    for page in ('<body class="single has-sidebar"><article>a b</article>', '<article class="post related-posts-on">a b</article>',
+                 '<div class="page with-menu"><main>a b</main></div>', '<div class="page menu"><article>a b</article></div>',
+                 '<body class=sidebar><div id="sidebar"><main class="widget">a b</main></div>',
+                 "<main>a b<div class='x ads'>no</div></main>", '<article>a b</article><div class="related"><article>c</article></div>'):
+        assert kept(page) == ["a b"], page
+    for page in ('<div class="x site-footer">f</div>', "<p id=menu>f", '<div role="contentinfo">f</div>', "<div class='ad'>f</div>"):
+        assert page_blocks(page) == [(2, "f")], page
+    assert page_blocks('<div data-class="ad">f</div>') == [(1, "f")]
+
+
 def test_suffix_ranks_are_those_of_sorted_prefixes():
     from glucoframe.llm.html_main import suffix_ranks
     t = np.random.default_rng(0).integers(0, 3, 200)
