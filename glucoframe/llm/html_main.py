@@ -1,30 +1,36 @@
-"""Main text of web pages with a suffix array per host.
+"""Main text of web pages by the repeats of each whole host.
 
 Pages become blocks of words, each with the zone it stands in: the article (or
 main element), page furniture (menus, footers, adverts, forms, ... by element,
 role or class name), or neither. Names count as whole tokens and not on html, body,
 article and main; a main element, and an article with more words than the page has
-in its main zone otherwise, ends furniture that only a name opened. The word streams of a host's pages are put one
-after another and their suffixes are sorted by prefix doubling to the depth of
-``LEAST_RUN`` words; suffixes with equal ranks are substrings of that length, and
-neighbouring ones unite to longer runs. A run that stands on two or more distinct
-pages, and mostly outside articles, is boilerplate: its words are removed wherever
-they occur. Repeats between articles (copied passages) stay. Of what is left, the
-text is the unique runs of the article, or of all but the furniture on pages
-without an article.
-
-A host is worked off in parts of about ``PAGES`` pages, dealt by a hash of the
-page, so that a host with a third of all pages is many small groups; furniture
-repeats on so many pages that each part shows it.
+in its main zone otherwise, ends furniture that only a name opened. The text is the
+blocks of the article, or of all but the furniture on pages without an article; there,
+less the blocks that repeat over the host.
+
+Repeats are those of the host's suffix array, sorted to the depth of ``LEAST_RUN``
+words: suffixes of equal rank (``suffix_ranks``) are equal windows of that length. The
+array itself is never put together. Every page sends the hashes of its windows, Spark
+counts the distinct pages of each (host, window), and neighbouring repeated windows
+unite to runs again when the pages are read a second time; so a host of any size is
+counted whole, in groups that are aggregated before they move. Pages with the same
+text zone are copies and count once.
+
+Outside articles a block goes if runs cover all of its words that stand outside articles
+on two of the host's distinct pages; parts of blocks stay.
 
 Defined results: null html is empty; a null or odd url has the host ""; pages with
-equal ids are separate pages; unclosed elements end with their parent.
+equal ids are separate pages; unclosed elements end with their parent; words compare
+by 64-bit hashes, without the case of A to Z in windows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glucoframe.llm.scratch import Scratch
+from glucoframe.llm.textstream import mix, release_memory, seeded, slices, text_buffers, windows, word_stream
 
 LEAST_RUN = 8
 PAGES = 256
-BROADCAST_HOSTS = 100_000
+BROADCAST_UNITS = 1_000_000
+SLICE_BYTES = 4 << 20
 MAIN, PLAIN, FURNITURE = 0, 1, 2
 _NAMED, _NESTED = 3, 4  # while parsing: furniture by its name alone, an article in it
 
@@ -128,16 +136,6 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
     return [(final.get(z, z), t) for z, t in out]
 
 
-def _parse(batches):
-    for batch in batches:
-        rows = [page_blocks(h) if h else [] for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("parts"),
-             pa.array([[t for _, t in r] for r in rows], pa.list_(pa.string())),
-             pa.array([[z for z, _ in r] for r in rows], pa.list_(pa.int32()))],
-            ["page_id", "url", "host", "parts", "blocks", "zones"])
-
-
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Rank of each suffix by its first ``depth`` tokens (a power of two), by prefix doubling.
     Negative tokens are separators: each is different from all others."""
@@ -151,66 +149,167 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, zone: np.ndarray, depth: int = LEAST_RUN) -> np.ndarray:
-    """Flags of the tokens in runs that repeat across pages and mostly stand outside articles."""
-    if len(tokens) < depth:
-        return np.zeros(len(tokens), bool)
-    rank = suffix_ranks(tokens, depth)
-    whole = np.ones(len(tokens), bool)
-    sep = np.flatnonzero(tokens < 0)
-    nearest = np.searchsorted(sep, np.arange(len(tokens)))
-    ahead = np.append(sep, len(tokens))[nearest]
-    whole &= ahead - np.arange(len(tokens)) >= depth  # no separator within the window
-    at = np.flatnonzero(whole)
-    if not len(at):
-        return np.zeros(len(tokens), bool)
-    order = at[np.lexsort((page[at], rank[at]))]  # the suffix array, pages in order among equals
-    r, p = rank[order], page[order]
-    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    size = np.diff(np.r_[start, len(r)])
-    pages = np.add.reduceat(np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])].astype(np.int64), start)
-    inside = np.add.reduceat((zone[order] == MAIN).astype(np.int64), start)
-    boiler = np.repeat((pages > 1) & (2 * inside < size), size)
-    edge = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(edge, order[boiler], 1)
-    np.add.at(edge, order[boiler] + depth, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _main_texts(pages: pd.DataFrame) -> pd.DataFrame:
-    """Texts of the pages of one part of a host."""
-    ids: dict[str, int] = {}
-    tokens, page, zone, owner, words = [], [], [], [], []
-    for i, (blocks, zones) in enumerate(zip(pages["blocks"], pages["zones"])):
-        last = None
-        for b, (text, z) in enumerate(zip(blocks, zones)):
-            if z != last:  # runs do not go on from one zone into another, nor into the next page
-                tokens.append(-1 - len(tokens)), page.append(i), zone.append(z), owner.append(-1), words.append("")
-                last = z
-            for w in text.split(" "):
-                tokens.append(ids.setdefault(w, len(ids))), page.append(i), zone.append(z), owner.append(b), words.append(w)
-    out = covered(np.array(tokens, np.int64), np.array(page, np.int64), np.array(zone, np.int64)) if tokens else np.zeros(0, bool)
-    kept: list[dict[int, list[str]]] = [{} for _ in range(len(pages))]
-    has_main = [MAIN in set(z) for z in pages["zones"]]
-    for gone, i, z, b, w in zip(out.tolist(), page, zone, owner, words):
-        if b >= 0 and (z == MAIN if has_main[i] else z == PLAIN and not gone):
-            kept[i].setdefault(b, []).append(w)
-    texts = ["\n".join(" ".join(ws) for _, ws in sorted(k.items())) for k in kept]
+#: what is counted: windows outside articles, whole blocks in and outside articles, pages
+WINDOW, INSIDE, OUTSIDE, PAGE = range(4)
+
+
+class _Slice:
+    """Blocks of some pages, with the keys of what can repeat."""
+
+    def __init__(self, pages: list[str | None], hosts: np.ndarray):
+        self.pages = [page_blocks(h) if h else [] for h in pages]
+        self.main = [any(z == MAIN for z, _ in blocks) for blocks in self.pages]
+        self.hosts = hosts
+        self.page = np.repeat(np.arange(len(pages)), [len(blocks) for blocks in self.pages])
+        self.zone = np.array([z for blocks in self.pages for z, _ in blocks], np.int64)
+        self.texts = [t for blocks in self.pages for _, t in blocks]
+
+    def bodies(self) -> np.ndarray:
+        """Key of the zone that the text of each page is taken from."""
+        return np.array([_key("\n".join([str(m), *(t for z, t in blocks if z == (MAIN if m else PLAIN))]))
+                         for m, blocks in zip(self.main, self.pages)], np.uint64)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, key) of each window outside articles; the first word of each block and the end.
+        Windows do not go on from one zone into another, nor into the next page."""
+        words = word_stream(pa.array(self.texts, pa.large_string()))
+        block = np.repeat(np.arange(len(self.texts)), words.counts)
+        stretch = np.cumsum(np.r_[True, (np.diff(self.page) != 0) | (np.diff(self.zone) != 0)])[block] if len(block) else block
+        last = LEAST_RUN - 1
+        if len(block) <= last:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), words.first
+        at = np.flatnonzero((stretch[last:] == stretch[:-last]) & (self.zone[block[:-last]] != MAIN))
+        return at, self._of_host(windows(words.hashes, LEAST_RUN)[at], block[at], WINDOW), words.first
+
+    def blocks(self, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(number, key) of the blocks of ``LEAST_RUN`` or more words."""
+        at = np.array([i for i, (t, z) in enumerate(zip(self.texts, self.zone.tolist()))
+                       if (z == MAIN) == inside and t.count(" ") >= LEAST_RUN - 1], np.int64)
+        return at, self._of_host(np.array([_key(self.texts[i]) for i in at], np.uint64), at, INSIDE)
+
+    def _of_host(self, hashes: np.ndarray, block: np.ndarray, seed: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(hashes + seeded(self.hosts[self.page[block]].view(np.uint64), 50 + seed))
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _slices(batch: pa.RecordBatch):
+    """(first page, pages) in slices of bounded size."""
+    html = batch.column("html")
+    hosts = batch.column("host").to_numpy()
+    for i, j in slices(text_buffers(html)[1], SLICE_BYTES):
+        yield i, _Slice(html.slice(i, j - i).to_pylist(), hosts[i:j])
+
+
+def _units(batches):
+    """Rows (host, kind, unit, body): what can repeat, once per page."""
+    for batch in batches:
+        for _, part in _slices(batch):
+            body = part.bodies()
+            at, key, first = part.windows()
+            block = np.searchsorted(first, at, side="right") - 1
+            found = [(WINDOW, part.page[block], key)]
+            for kind in (INSIDE, OUTSIDE):
+                at, key = part.blocks(kind == INSIDE)
+                found.append((kind, part.page[at], key))
+            found.append((PAGE, np.arange(len(body)), np.zeros(len(body), np.uint64)))
+            for kind, page, key in found:
+                rows = np.unique(np.stack([page.astype(np.uint64), key]), axis=1)
+                page = rows[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.hosts[page]), pa.array(np.full(len(page), kind, np.int32)), pa.array(rows[1].view(np.int64)),
+                     pa.array(body[page].view(np.int64))], ["host", "kind", "unit", "body"])
+    release_memory()
+
+
+def _main_texts(part: _Slice, gone: dict[int, np.ndarray]) -> list[str]:
+    """Texts of the pages; ``gone`` has the sorted keys of repeated windows, of blocks that
+    go in articles, and of blocks that stay outside them."""
+    drop = np.zeros(len(part.texts), bool)
+    if len(gone[WINDOW]):
+        at, key, first = part.windows()
+        edge = np.zeros(first[-1] + 1, np.int64)
+        hit = at[_among(key, gone[WINDOW])]
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + LEAST_RUN, -1)
+        covered = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
+        drop = (covered[first[1:]] - covered[first[:-1]] == np.diff(first)) & (part.zone != MAIN)
+        at, key = part.blocks(False)
+        drop[at[_among(key, gone[OUTSIDE])]] = False
+    if len(gone[INSIDE]):
+        at, key = part.blocks(True)
+        drop[at[_among(key, gone[INSIDE])]] = True
+    kept: list[list[str]] = [[] for _ in part.pages]
+    for i, z, text, d in zip(part.page.tolist(), part.zone.tolist(), part.texts, drop.tolist()):
+        if not d and z == (MAIN if part.main[i] else PLAIN):
+            kept[i].append(text)
+    return ["\n".join(k) for k in kept]
+
+
+def _among(keys: np.ndarray, those: np.ndarray) -> np.ndarray:
+    if not len(those):
+        return np.zeros(len(keys), bool)
+    return those[np.minimum(np.searchsorted(those, keys), len(those) - 1)] == keys
+
+
+def _sorted_keys(kind: np.ndarray, unit: np.ndarray) -> dict[int, np.ndarray]:
+    return {k: np.sort(unit[kind == k].view(np.uint64)) for k in (WINDOW, INSIDE, OUTSIDE)}
+
+
+def _texts_by_broadcast(batches, table):
+    gone = table.value
+    for batch in batches:
+        texts = [t for _, part in _slices(batch) for t in _main_texts(part, gone)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+             pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    release_memory()
+
+
+def _texts_of_part(pages: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
+    """The same for one part of a host."""
+    gone = _sorted_keys(units["kind"].to_numpy(), units["unit"].to_numpy(np.int64))
+    batch = pa.RecordBatch.from_pandas(pages[["html", "host"]], preserve_index=False).cast(
+        pa.schema([("html", pa.string()), ("host", pa.int64())]))
+    texts = [t for _, part in _slices(batch) for t in _main_texts(part, gone)]
     return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
-def main_texts(pages: DataFrame, part_pages: int = PAGES) -> DataFrame:
+def least_pages(n):
+    """Distinct pages of ``n`` on which a run outside articles is furniture."""
+    return F.lit(2) + 0 * n
+
+
+def _gone(counts: DataFrame) -> DataFrame:
+    """(host, kind, unit): windows and blocks in articles that go, blocks outside that stay."""
+    sizes = counts.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("n"))
+    windows_ = counts.where(F.col("kind") == WINDOW).join(sizes, "host").where(F.col("pages") >= least_pages(F.col("n")))
+    return windows_.select("host", "kind", "unit")
+
+
+def main_texts(pages: DataFrame, part_pages: int = PAGES, broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
+    scratch = Scratch(pages.sparkSession, "main-text")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    # only hosts of several parts; their table is broadcast if it is small, so that pages move once
-    sizes = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / part_pages).cast("int").alias("parts")).where("parts > 1")
-    sizes = Scratch(pages.sparkSession, "main-text").stored(sizes)
-    if sizes.count() <= BROADCAST_HOSTS:
-        sizes = F.broadcast(sizes)
-    blocks = (pages.join(sizes, "host", "left")
-              .select("page_id", "url", "html", "host", F.coalesce("parts", F.lit(1)).alias("parts"))
-              .mapInArrow(_parse, "page_id long, url string, host string, parts int, blocks array<string>, zones array<int>"))
-    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts"))
-    return (blocks.withColumn("part", part).groupBy("host", "part")
-            .applyInPandas(_main_texts, "page_id long, url string, text string, n_chars long"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("host"))
+    units = pages.select("html", "host").mapInArrow(_units, "host long, kind int, unit long, body long")
+    counts = units.groupBy("host", "kind", "unit").agg(F.countDistinct("body").alias("pages"))
+    # one page decides nothing, but for blocks that stand outside articles once or twice
+    counts = scratch.stored(counts.where((F.col("pages") > 1) | (F.col("kind") == OUTSIDE)))
+    gone = scratch.stored(_gone(counts))
+    schema = "page_id long, url string, text string, n_chars long"
+    if gone.count() <= broadcast_units:
+        rows = gone.toArrow()
+        keys = _sorted_keys(rows.column("kind").to_numpy(), rows.column("unit").to_numpy())
+        table = pages.sparkSession.sparkContext.broadcast(keys)
+        return pages.mapInArrow(partial(_texts_by_broadcast, table=table), schema)
+    # a host's repeated units are few next to its pages: they go to all of its parts
+    parts = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / part_pages).cast("int").alias("parts"))
+    dealt = (pages.join(F.broadcast(parts.where("parts > 1")) if parts.count() <= broadcast_units else parts, "host", "left")
+             .withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"))
+    copies = gone.join(parts, "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return (dealt.groupBy("host", "part").cogroup(copies.groupBy("host", "part"))
+            .applyInPandas(_texts_of_part, schema))

@@ -208,6 +208,27 @@ def test_names_of_wrappers_leave_the_article():
     assert page_blocks('<div data-class="ad">f</div>') == [(1, "f")]
 
 
+def main_text_of(spark, bodies, **limits):
+    from glucoframe.llm.html_main import main_texts
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{b}") for i, b in enumerate(bodies)]
+    got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), **limits).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    return [r["text"] for r in sorted(got, key=lambda r: r["page_id"])]
+
+
+def random_line(seed):
+    rng = random.Random(seed)
+    return lambda n: " ".join(f"t{rng.randrange(10 ** 6)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("limit", [{}, {"broadcast_units": 0}])
+def test_main_text_counts_a_host_over_all_parts(spark, limit):
+    line = random_line(1)
+    notice, texts = line(12), [line(20) for _ in range(400)]
+    out = main_text_of(spark, [f"<p>{t}</p><div>{notice if i % 50 == 0 else line(12)}</div>" for i, t in enumerate(texts)], part_pages=4, **limit)
+    assert all((out[i] == texts[i]) == (i % 50 == 0) and notice not in out[i] for i in range(400))
+
+
 def test_suffix_ranks_are_those_of_sorted_prefixes():
     from glucoframe.llm.html_main import suffix_ranks
     t = np.random.default_rng(0).integers(0, 3, 200)
