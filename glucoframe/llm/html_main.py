@@ -16,8 +16,11 @@ unite to runs again when the pages are read a second time; so a host of any size
 counted whole, in groups that are aggregated before they move. Pages with the same
 text zone are copies and count once.
 
-Outside articles a block goes if runs cover all of its words that stand outside articles
-on two of the host's distinct pages; parts of blocks stay.
+* Outside articles a block goes if runs cover all of its words that stand outside
+  articles on ``least_pages`` of the host's distinct pages: one in ``PLAIN_SHARE``, at
+  least five, on small hosts more than half and at least three. It stays if it is a
+  block of as many articles: a copied passage, not furniture.
+Passages shared by fewer pages stay, and so do parts of blocks.
 
 Defined results: null html is empty; a null or odd url has the host ""; pages with
 equal ids are separate pages; unclosed elements end with their parent; words compare
@@ -42,6 +45,7 @@ from glucoframe.llm.textstream import mix, release_memory, seeded, slices, text_
 
 LEAST_RUN = 8
 PAGES = 256
+PLAIN_SHARE = 1000
 BROADCAST_UNITS = 1_000_000
 SLICE_BYTES = 4 << 20
 MAIN, PLAIN, FURNITURE = 0, 1, 2
@@ -280,14 +284,19 @@ def _texts_of_part(pages: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
 
 def least_pages(n):
     """Distinct pages of ``n`` on which a run outside articles is furniture."""
-    return F.lit(2) + 0 * n
+    few = F.least(F.lit(5), F.greatest(F.lit(3), F.floor(n / 2) + 1))
+    return F.greatest(few, F.ceil(n / PLAIN_SHARE))
 
 
 def _gone(counts: DataFrame) -> DataFrame:
     """(host, kind, unit): windows and blocks in articles that go, blocks outside that stay."""
     sizes = counts.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("n"))
     windows_ = counts.where(F.col("kind") == WINDOW).join(sizes, "host").where(F.col("pages") >= least_pages(F.col("n")))
-    return windows_.select("host", "kind", "unit")
+    inside = counts.where(F.col("kind") == INSIDE)
+    outside = counts.where(F.col("kind") == OUTSIDE).select("host", "unit", F.col("pages").alias("out"))
+    copied = (outside.join(inside, ["host", "unit"]).where("pages >= out")
+              .select("host", F.lit(OUTSIDE).alias("kind"), "unit"))
+    return (windows_.select("host", "kind", "unit").unionByName(copied))
 
 
 def main_texts(pages: DataFrame, part_pages: int = PAGES, broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
@@ -297,8 +306,8 @@ def main_texts(pages: DataFrame, part_pages: int = PAGES, broadcast_units: int =
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("host"))
     units = pages.select("html", "host").mapInArrow(_units, "host long, kind int, unit long, body long")
     counts = units.groupBy("host", "kind", "unit").agg(F.countDistinct("body").alias("pages"))
-    # one page decides nothing, but for blocks that stand outside articles once or twice
-    counts = scratch.stored(counts.where((F.col("pages") > 1) | (F.col("kind") == OUTSIDE)))
+    # fewer than three pages decide nothing, but for blocks that stand outside articles once or twice
+    counts = scratch.stored(counts.where((F.col("pages") > 2) | (F.col("kind") == OUTSIDE)))
     gone = scratch.stored(_gone(counts))
     schema = "page_id long, url string, text string, n_chars long"
     if gone.count() <= broadcast_units:

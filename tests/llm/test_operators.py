@@ -229,6 +229,23 @@ def test_main_text_counts_a_host_over_all_parts(spark, limit):
     assert all((out[i] == texts[i]) == (i % 50 == 0) and notice not in out[i] for i in range(400))
 
 
+def test_main_text_keeps_copied_pages_and_shared_passages(spark):
+    line = random_line(2)
+    copy, quote, foot, press = line(30), line(20), line(12), line(25)
+    bodies = [f"<p>{copy}</p>"] * 9 + [f"<p>{line(9)} {quote} {line(9)}</p>" for _ in range(9)]
+    bodies += [f"<p>{line(9)}</p><p>{quote}</p>" for _ in range(4)] + [f"<p>{line(9)}</p><div>{foot}</div>" for _ in range(6)]
+    bodies += [f"<p>{line(9)}</p><p>{press}</p>" for _ in range(5)] + [f"<article>{line(9)}<p>{press}</p></article>" for _ in range(6)]
+    plain = [re.sub("(?:<[^>]*>)+", "\n", b).strip("\n") for b in bodies]
+    out = main_text_of(spark, bodies)
+    assert out[:18] == plain[:18]
+    # outside articles the quotation repeats on 13 pages: it goes as a block, and stays in paragraphs
+    assert [quote in x for x in out[18:22]] == [False] * 4
+    assert all(x == p.replace("\n" + foot, "") != p for x, p in zip(out[22:28], plain[22:28]))
+    assert out[28:] == plain[28:]
+    few = [f"<p>{line(9)}</p><p>{quote}</p>" for _ in range(2)] + [f"<p>{line(30)}</p>" for _ in range(9)]
+    assert all(quote in x for x in main_text_of(spark, few)[:2])
+
+
 def test_suffix_ranks_are_those_of_sorted_prefixes():
     from glucoframe.llm.html_main import suffix_ranks
     t = np.random.default_rng(0).integers(0, 3, 200)
