@@ -5,8 +5,8 @@ main element), page furniture (menus, footers, adverts, forms, ... by element,
 role or class name), or neither. Names count as whole tokens and not on html, body,
 article and main; a main element, and an article with more words than the page has
 in its main zone otherwise, ends furniture that only a name opened. The text is the
-blocks of the article, or of all but the furniture on pages without an article; there,
-less the blocks that repeat over the host.
+blocks of the article, or of all but the furniture on pages without an article, less
+the blocks that repeat over the host.
 
 Repeats are those of the host's suffix array, sorted to the depth of ``LEAST_RUN``
 words: suffixes of equal rank (``suffix_ranks``) are equal windows of that length. The
@@ -20,6 +20,9 @@ text zone are copies and count once.
   articles on ``least_pages`` of the host's distinct pages: one in ``PLAIN_SHARE``, at
   least five, on small hosts more than half and at least three. It stays if it is a
   block of as many articles: a copied passage, not furniture.
+* In articles a block of ``LEAST_RUN`` or more words goes if it is a block of the
+  articles of more than half of the host's distinct pages, and of five at least.
+
 Passages shared by fewer pages stay, and so do parts of blocks.
 
 Defined results: null html is empty; a null or odd url has the host ""; pages with
@@ -293,10 +296,11 @@ def _gone(counts: DataFrame) -> DataFrame:
     sizes = counts.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("n"))
     windows_ = counts.where(F.col("kind") == WINDOW).join(sizes, "host").where(F.col("pages") >= least_pages(F.col("n")))
     inside = counts.where(F.col("kind") == INSIDE)
+    common = inside.join(sizes, "host").where((F.col("pages") >= 5) & (2 * F.col("pages") > F.col("n")))
     outside = counts.where(F.col("kind") == OUTSIDE).select("host", "unit", F.col("pages").alias("out"))
     copied = (outside.join(inside, ["host", "unit"]).where("pages >= out")
               .select("host", F.lit(OUTSIDE).alias("kind"), "unit"))
-    return (windows_.select("host", "kind", "unit").unionByName(copied))
+    return (windows_.select("host", "kind", "unit").unionByName(common.select("host", "kind", "unit")).unionByName(copied))
 
 
 def main_texts(pages: DataFrame, part_pages: int = PAGES, broadcast_units: int = BROADCAST_UNITS) -> DataFrame:

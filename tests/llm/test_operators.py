@@ -246,6 +246,15 @@ def test_main_text_keeps_copied_pages_and_shared_passages(spark):
     assert all(quote in x for x in main_text_of(spark, few)[:2])
 
 
+def test_main_text_drops_notices_of_a_host_in_articles(spark):
+    line = random_line(3)
+    notice, passage, own = line(15), line(40), [line(30) for _ in range(20)]
+    bodies = [f"<article><p>{o}</p><div>{notice}</div>{f'<p>{passage}</p>' if i < 8 else ''}<h2>In short</h2></article>" for i, o in enumerate(own)]
+    want = ["\n".join([o, *([passage] if i < 8 else []), "In short"]) for i, o in enumerate(own)]
+    assert main_text_of(spark, bodies) == main_text_of(spark, bodies, part_pages=3, broadcast_units=0) == want
+    assert notice in main_text_of(spark, bodies[:4])[0]
+
+
 def test_suffix_ranks_are_those_of_sorted_prefixes():
     from glucoframe.llm.html_main import suffix_ranks
     t = np.random.default_rng(0).integers(0, 3, 200)
