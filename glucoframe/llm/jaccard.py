@@ -20,7 +20,9 @@ Hot buckets: up to ``ALL_PAIRS`` classes are paired directly. In a larger bucket
 a leader is paired with the others, which joins a group of near copies
 into one component without listing its pairs; the bucket then stays open, and a
 second pass tries every class outside the bucket's largest component against the
-classes of other components. Every pair that shares an indexed token is thus
+classes of other components. The rows of a bucket pass through the first task one batch
+at a time; in the second pass the classes outside the largest component and all classes
+are dealt into blocks, and each pair of blocks is a group of its own. Every pair that shares an indexed token is thus
 either tried or known to be connected.
 
 The order is any fixed total order for the result to be right; the sketch only
@@ -53,9 +55,10 @@ CELLS = 1 << CELL_BITS
 SKETCH_PARTS = 16
 ORDERS = 3
 ALL_PAIRS = 64
-LEADERS = 1
 PARITY_BITS = 1024
 SLICE_BYTES = 4 << 20
+BLOCK_ROWS = 2048
+BLOCK_TOKENS = 1 << 20
 KEY_BITS = 58
 
 
@@ -210,20 +213,17 @@ def _close(na, nb, i, j, num, den):
 
 
 def _bucket_pairs(batches, num: int, den: int):
-    """Rows (token, cls, n, pos), sorted by token -> candidate pairs; (token) of open buckets."""
-    carry: pd.DataFrame | None = None
+    """Rows (token, cls, n, pos), sorted by token and in a fixed order within it -> candidate
+    pairs; (token) of open buckets. The first row of an open bucket is its leader; no more
+    than a batch and a small bucket is held."""
+    names = ("token", "cls", "n", "pos")
 
-    def pairs_in(part: pd.DataFrame):
-        """Pairs of whole buckets."""
-        tok, cls, n, pos = (part[c].to_numpy() for c in ("token", "cls", "n", "pos"))
+    def small_pairs(tok, cls, n, pos):
+        """Pairs of whole buckets of up to ALL_PAIRS classes."""
         order = np.lexsort((cls, tok))
         tok, cls, n, pos = tok[order], cls[order], n[order], pos[order]
-        new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
-        tok, cls, n, pos = tok[new], cls[new], n[new], pos[new]
         start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         size = np.diff(np.r_[start, len(tok)])
-        out, opened = [], []
         # small buckets of one size at a time: all their pairs in one go
         for z in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
             at = start[size == z]
@@ -233,38 +233,50 @@ def _bucket_pairs(batches, num: int, den: int):
                 a = (at[s:s + step, None] + ii).ravel()
                 b = (at[s:s + step, None] + jj).ravel()
                 ok = _close(n[a], n[b], pos[a], pos[b], num, den)
-                out.append((a[ok], b[ok], False))
-        for s, z in zip(start[size > ALL_PAIRS], size[size > ALL_PAIRS]):
-            rows = np.arange(s, s + z)
-            rank = seeded(cls[rows].view(np.uint64) ^ tok[s:s + 1].view(np.uint64), 5)
-            lead = rows[np.argpartition(rank, LEADERS)[:LEADERS]]
-            for x in lead:
-                ok = rows[_close(n[rows], n[x], pos[rows], pos[x], num, den) & (rows != x)]
-                out.append((np.minimum(ok, x), np.maximum(ok, x), True))
-            opened.append(tok[s])
-        frames = [pd.DataFrame({"a": cls[a], "b": cls[b], "na": n[a], "nb": n[b], "i": pos[a], "j": pos[b],
-                                "forced": f, "token": None}) for a, b, f in out if len(a)]
-        if opened:
-            frames.append(pd.DataFrame({"token": np.array(opened, np.int64)}))
-        return frames
-
-    def sent(frames):
-        for f in frames:
-            yield pa.RecordBatch.from_pandas(
-                f.reindex(columns=["a", "b", "na", "nb", "i", "j", "forced", "token"]), schema=_PAIR_SCHEMA, preserve_index=False)
-
+                a, b = a[ok], b[ok]
+                yield pd.DataFrame({"a": cls[a], "b": cls[b], "na": n[a], "nb": n[b], "i": pos[a], "j": pos[b], "forced": False})
+
+    def leader_pairs(lead, cls, n, pos):
+        """Rows of an open bucket with its leader."""
+        _, c, m, p = lead
+        ok = _close(n, m, pos, p, num, den) & (cls != c)
+        cls, n, pos = cls[ok], n[ok], pos[ok]
+        less = cls < c
+        return pd.DataFrame({"a": np.where(less, cls, c), "b": np.where(less, c, cls), "na": np.where(less, n, m), "nb": np.where(less, m, n),
+                             "i": np.where(less, pos, p), "j": np.where(less, p, pos), "forced": True})
+
+    def sent(f):
+        return pa.RecordBatch.from_pandas(
+            f.reindex(columns=["a", "b", "na", "nb", "i", "j", "forced", "token"]), schema=_PAIR_SCHEMA, preserve_index=False)
+
+    carry, lead = None, None
     for batch in batches:
-        part = batch.to_pandas()
+        rows = [batch.column(c).to_numpy() for c in names]
+        if lead is not None:
+            go = int(np.searchsorted(rows[0], lead[0], side="right"))
+            yield sent(leader_pairs(lead, *(r[:go] for r in rows[1:])))
+            rows = [r[go:] for r in rows]
         if carry is not None:
-            part = pd.concat([carry, part], ignore_index=True)
-        if not len(part):
+            rows = [np.concatenate([c, r]) for c, r in zip(carry, rows)]
+        if not len(rows[0]):
             continue
-        whole = part["token"].to_numpy() != part["token"].iloc[-1]
-        carry = part[~whole]
-        if whole.any():
-            yield from sent(pairs_in(part[whole]))
-    if carry is not None and len(carry):
-        yield from sent(pairs_in(carry))
+        lead = None
+        new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+        rows = [r[new] for r in rows]
+        start = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        ends = np.r_[start[1:], len(rows[0])]
+        opened = np.flatnonzero(ends - start > ALL_PAIRS)
+        for s, e in zip(start[opened], ends[opened]):
+            lead = tuple(r[s] for r in rows)
+            yield sent(leader_pairs(lead, *(r[s:e] for r in rows[1:])))
+        if len(opened):
+            yield sent(pd.DataFrame({"token": rows[0][start[opened]]}))
+        if lead is not None and lead[0] != rows[0][-1]:
+            lead = None
+        carry = None if lead is not None else [r[start[-1]:] for r in rows]
+        yield from map(sent, small_pairs(*(r[:start[-1]] for r in rows)))
+    if carry is not None:
+        yield from map(sent, small_pairs(*carry))
     release_memory()
 
 
@@ -357,15 +369,21 @@ def _links(pairs: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFram
     return links
 
 
-def _across(tok: int, cls, n, root, stray, sketch, offs, flat, opens, num: int, den: int):
-    """Pairs of one open bucket: each class outside its largest component against the
-    classes of other components, by the tokens that both prefixes cover and by parity."""
+def _across(tok: int, cls, n, root, stray, member, sketch, offs, flat, opens, num: int, den: int):
+    """Pairs of one block of an open bucket: each stray class (outside its largest component)
+    against the members of other components, by the tokens that both prefixes cover and by parity."""
     uniq, inv = np.unique(flat, return_inverse=True)
     lens = np.diff(offs)
     last = flat[offs[1:] - 1]
     mark = np.zeros(len(uniq), bool)
     out = []
     for x in np.flatnonzero(stray):
+        both = least_shared(n[x], n, num, den)
+        apart = np.bitwise_count(sketch ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        ok = (member & (root != root[x]) & (apart <= n + n[x] - 2 * both)
+              & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])))
+        if not ok.any():
+            continue
         own = inv[offs[x]:offs[x + 1]]
         mark[own] = True
         shared = np.add.reduceat(mark[inv], offs[:-1], dtype=np.int64)
@@ -373,55 +391,75 @@ def _across(tok: int, cls, n, root, stray, sketch, offs, flat, opens, num: int,
         end = np.minimum(last, last[x])
         in_y = np.add.reduceat(flat <= np.repeat(end, lens), offs[:-1], dtype=np.int64)
         in_x = np.searchsorted(flat[offs[x]:offs[x + 1]], end, side="right")
-        both = least_shared(n[x], n, num, den)
-        apart = np.bitwise_count(sketch ^ sketch[x]).sum(axis=1, dtype=np.int64)
-        ok = ((root != root[x]) & (apart <= n + n[x] - 2 * both) & (in_x - shared <= n[x] - both) & (in_y - shared <= n - both)
-              & (den * np.minimum(n, n[x]) >= num * np.maximum(n, n[x])))
+        ok &= (in_x - shared <= n[x] - both) & (in_y - shared <= n - both)
         # a pair is sent from the first of its open buckets only
-        out += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for y in np.flatnonzero(ok)
-                if min(opens[x] & opens[y]) == tok]
+        before = opens(x)
+        before = before[before < tok]
+        out += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for y in np.flatnonzero(ok) if not np.isin(before, opens(y)).any()]
     return out
 
 
 def _open_pairs(batches, num: int, den: int):
-    """Rows of open buckets, sorted by token -> candidate pairs."""
+    """Rows of blocks (token, i, j), sorted by them -> candidate pairs."""
     held: list[pa.RecordBatch] = []
+    last = None
 
     def done():
         t = pa.Table.from_batches(held).combine_chunks()
-        o0 = t.column("o0").combine_chunks()
-        offs = o0.offsets.to_numpy().astype(np.int64)
-        flat = o0.values.to_numpy()[offs[0]:offs[-1]]
-        opens = [set(v) for v in t.column("opens").to_pylist()]
-        pairs = _across(t.column("token")[0].as_py(), *(t.column(c).to_numpy() for c in ("cls", "n", "root", "stray")),
-                        _sketches(t.column("odd")), offs - offs[0], flat, opens, num, den)
+        o0, opens = t.column("o0").combine_chunks(), t.column("opens").combine_chunks()
+        offs, of = (c.offsets.to_numpy().astype(np.int64) for c in (o0, opens))
+        flat, tokens = o0.values.to_numpy()[offs[0]:offs[-1]], opens.values.to_numpy()
+        pairs = _across(last[0], *(t.column(c).to_numpy() for c in ("cls", "n", "root", "stray", "member")),
+                        _sketches(t.column("odd")), offs - offs[0], flat, lambda x: tokens[of[x]:of[x + 1]], num, den)
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        tok = batch.column("token").to_numpy()
-        cuts = [0, *(np.flatnonzero(tok[1:] != tok[:-1]) + 1), len(tok)]
-        for i, j in zip(cuts, cuts[1:]):
-            if held and j > i and held[-1].column("token")[0].as_py() != tok[i]:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("token", "i", "j")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), len(batch)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e == s:
+                continue
+            key = tuple(keys[:, s].tolist())
+            if held and key != last:
                 yield done()
                 held = []
-            if j > i:
-                held.append(batch.slice(i, j - i))
+            last = key
+            held.append(batch.slice(s, e - s))
     if held:
         yield done()
+    release_memory()
 
 
-def _open_rows(index: DataFrame, opened: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of the open buckets that hold more than one component, with the prefix of each class."""
-    rows = (index.select("token", "cls").join(opened, "token", "left_semi")
+def _open_rows(index: DataFrame, opened: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of the open buckets that hold more than one component, with the prefix of each class,
+    in blocks (token, i, j): the i-th block of the classes outside the largest component with
+    the j-th block of all classes."""
+    rows = (index.select("token", "cls", "n").join(opened, "token", "left_semi")
             .join(roots, F.col("cls") == F.col("v"), "left")
-            .select("token", "cls", F.coalesce("root", "cls").alias("root")))
-    per = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-    rows = rows.join(top.where("roots > 1"), "token")
+            .select("token", "cls", F.coalesce("root", "cls").alias("root"),
+                    (F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(den) - 1e-9) + 1).alias("p")))
+    per = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("p").alias("w"))
+    top = per.groupBy("token").agg(F.max(F.struct("c", "root", "w")).alias("top"), F.count(F.lit(1)).alias("roots"),
+                                   F.sum("c").alias("c"), F.sum("w").alias("w")).where("roots > 1")
+
+    def blocks(c, w):
+        return F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(w / BLOCK_TOKENS))
+
+    top = top.select("token", F.col("top.root").alias("top"), blocks(F.col("c"), F.col("w")).alias("nj"),
+                     blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("ni"))
+    rows = rows.join(top, "token")
     # at most a prefix long
     opens = rows.groupBy("cls").agg(F.collect_list("token").alias("opens"))
+    rows = (rows.withColumn("stray", F.col("root") != F.col("top"))
+            .withColumn("own_i", F.pmod(F.xxhash64("cls", F.lit(1)), "ni")).withColumn("own_j", F.pmod(F.xxhash64("cls", F.lit(2)), "nj")))
+    zero = F.lit(0).cast("long")
+    as_member = F.transform(F.sequence(zero, F.col("ni") - 1), lambda i: F.struct(
+        i.alias("i"), F.col("own_j").alias("j"), F.lit(True).alias("member"), (F.col("stray") & (i == F.col("own_i"))).alias("stray")))
+    as_stray = F.transform(F.filter(F.sequence(zero, F.col("nj") - 1), lambda j: F.col("stray") & (j != F.col("own_j"))), lambda j: F.struct(
+        F.col("own_i").alias("i"), j.alias("j"), F.lit(False).alias("member"), F.lit(True).alias("stray")))
+    rows = rows.select("token", "cls", "root", F.explode(F.concat(as_member, as_stray)).alias("b"))
     return (rows.join(opens, "cls").join(classes.select("cls", "n", "odd", "o0"), "cls")
-            .select("token", "cls", "n", "root", (F.col("root") != F.col("top")).alias("stray"), "odd", "opens", "o0"))
+            .select("token", "b.i", "b.j", "cls", "n", "root", "b.stray", "b.member", "odd", "opens", "o0"))
 
 
 def _rooted_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -445,7 +483,8 @@ def _rooted_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
                              .dropDuplicates(["cls"]))
     reps = docs_cls.where("cls != 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     index = classes.select("cls", "n", F.posexplode("o0").alias("pos", "token"))
-    found = scratch.stored(index.select("token", "cls", "n", "pos").repartition("token").sortWithinPartitions("token")
+    found = scratch.stored(index.select("token", "cls", "n", "pos").repartition("token")
+                           .sortWithinPartitions("token", F.xxhash64("cls", "token"))
                            .mapInArrow(partial(_bucket_pairs, num=num, den=den), _PAIRS))
     # a pair that meets in whole buckets only: the shared tokens are all counted
     pairs = found.where("token is null").groupBy("a", "b").agg(
@@ -462,8 +501,8 @@ def _rooted_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     opened = scratch.stored(found.where("token is not null").select("token").distinct())
     roots = components(links, scratch)
     if not opened.isEmpty():
-        rows = _open_rows(index, opened, roots, classes)
-        more = (rows.repartition("token").sortWithinPartitions("token")
+        rows = _open_rows(index, opened, roots, classes, num, den)
+        more = (rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
                 .mapInArrow(partial(_open_pairs, num=num, den=den), "a long, b long").distinct())
         links = links.unionByName(_links(more, classes, reps, docs, k, num, den, scratch))
         roots = components(links, scratch)

@@ -431,6 +431,46 @@ def test_jaccard_against_brute_force(make, monkeypatch, k, num, den, pairs):
     assert collect(jaccard.jaccard_groups(make(texts), k, num, den)) == jaccard_brute(texts, k, num, den)
 
 
+@pytest.mark.parametrize("k,num,den,pairs", [(3, 90, 100, 4), (3, 80, 100, 2)])
+def test_open_buckets_are_dealt_into_blocks(make, monkeypatch, k, num, den, pairs):
+    from glucoframe.llm import jaccard
+    texts = near_copies(5 * k)
+    sizes, before, bucket = [], jaccard._open_rows, jaccard._bucket_pairs
+
+    def rows_of(*args):
+        rows = before(*args)
+        sizes.append([rows.groupBy(*by).count().agg(F.max("count")).head()[0] for by in (["token"], ["token", "i", "j"])])
+        return rows
+
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(jaccard, "ALL_PAIRS", pairs)
+    # no attribute of its module: sent to the workers with the limits set here
+    monkeypatch.setattr(jaccard, "_bucket_pairs", lambda batches, num, den: bucket(batches, num, den))
+    monkeypatch.setattr(jaccard, "_open_rows", rows_of)
+    assert collect(jaccard.jaccard_groups(make(texts), k, num, den)) == jaccard_brute(texts, k, num, den)
+    assert sizes and sizes[0][1] < sizes[0][0] / 2, sizes
+
+
+def test_large_buckets_pass_in_batches():
+    from glucoframe.llm.jaccard import _bucket_pairs
+    read = []
+
+    def batches():
+        for i in range(50):
+            read.append(i)
+            tok = np.full(100, 7 if i else 3)
+            yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(np.arange(100) * 31 % 101 + 1000 * i), pa.array(np.full(100, 50)),
+                                              pa.array(np.zeros(100, np.int32))], ["token", "cls", "n", "pos"])
+
+    out = []
+    for b in _bucket_pairs(batches(), 90, 100):
+        assert b.num_rows <= 100
+        out += [(r, len(read)) for r in b.to_pylist()]
+    assert out[0][1] == 1 and [r["token"] for r, _ in out if r["token"] is not None] == [3, 7]
+    pairs = {(r["a"], r["b"]) for r, _ in out if r["token"] is None}
+    assert len(pairs) == 99 + 4899 and all(a < b and (a == 0 or b == 0 or 1000 in (a, b)) for a, b in pairs)
+
+
 def test_one_of_each_group(make):
     from glucoframe.llm.jaccard import one_of_each_group
     texts = near_copies(77)
