@@ -327,16 +327,6 @@ def _filter_orders(batches, num: int, den: int):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _own_class(batches, k: int):
-    """Drop texts that are not of the class they are looked up for (repeated ids)."""
-    for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        want = batch.column("cls").to_numpy()
-        for row, s in _texts(batch, "text", k):
-            keep[row] = class_key(s) == want[row]
-        yield batch.filter(pa.array(keep))
-
-
 def _verify(batches, k: int, num: int, den: int):
     """Exact Jaccard test of (a, b, text_a, text_b)."""
     for batch in batches:
@@ -358,8 +348,11 @@ def _links(pairs: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFram
     cand = scratch.stored(cand.mapInArrow(partial(_filter_orders, num=num, den=den), "a long, b long"))
     wanted = cand.select(F.col("a").alias("cls")).unionByName(cand.select(F.col("b").alias("cls"))).distinct()
     wanted = wanted.join(reps, "cls")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
-    texts = texts.mapInArrow(partial(_own_class, k=k), "cls long, text string").dropDuplicates(["cls"])
+    # rows of the wanted ids, each once, then those of a wanted class (repeated and null ids)
+    ids = wanted.select("rep").distinct()
+    texts = (docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
+             .mapInArrow(partial(_with_class, k=k, names=["text"]), "text string, __cls long").withColumnRenamed("__cls", "cls"))
+    texts = texts.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "text")
     texts = scratch.stored(texts)
     both = (cand.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")

@@ -471,6 +471,28 @@ def test_large_buckets_pass_in_batches():
     assert len(pairs) == 99 + 4899 and all(a < b and (a == 0 or b == 0 or 1000 in (a, b)) for a, b in pairs)
 
 
+def test_texts_of_one_id_are_looked_up_once(make, spark, monkeypatch):
+    from glucoframe.llm import jaccard
+    seen, before = spark.sparkContext.accumulator(0), jaccard._with_class
+
+    def counted(batches, k, names):
+        def passed():
+            for b in batches:
+                seen.add(len(b))
+                yield b
+        return before(passed(), k, names)
+
+    monkeypatch.setattr(jaccard, "_with_class", counted)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(20):
+        w = [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+        texts += [" ".join(w), " ".join([*w, "more"])]
+    docs = make(texts).withColumn("doc_id", F.lit(None).cast("long"))
+    assert docs.count() == jaccard.jaccard_groups(docs).count() == 40
+    assert 0 < seen.value <= 40
+
+
 def test_one_of_each_group(make):
     from glucoframe.llm.jaccard import one_of_each_group
     texts = near_copies(77)
