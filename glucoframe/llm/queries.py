@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glucoframe.llm.decontam import contamination
+from glucoframe.llm.hard_negatives import hard_negatives
 from glucoframe.llm.html_main import main_texts
 from glucoframe.llm.jaccard import jaccard_groups
 from glucoframe.llm.lm import lm_scores
+from glucoframe.llm.merkle import manifest
 from glucoframe.llm.packing import packed
 from glucoframe.llm.quality_model import quality_scores
 from glucoframe.llm.quality_rules import judged
 from glucoframe.llm.scratch import Scratch
 from glucoframe.llm.secrets import secret_spans
+from glucoframe.llm.token_files import token_digests
 from glucoframe.llm.token_counts import TOKENIZERS, Rollup, changes_of, counted
 from glucoframe.llm.toxicity import toxicity_scores
 
@@ -145,3 +148,84 @@ def op9(spark, sf_dir):
 @query("op10_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a, rows r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_token_files")
+def op12(spark, sf_dir):
+    return token_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def _merkle_sql(levels: int = 8, over: int = 3) -> str:
+    """Trees of up to 8 ** levels leaves under up to 8 ** over languages, one step per level."""
+    def tree(name: str, steps: int) -> list[str]:
+        out = []
+        for k in range(steps):
+            run = f"PARTITION BY t, idx // 8 ORDER BY idx ROWS BETWEEN"
+            out += [f"""{name}_side{k} AS (SELECT t, idx,
+              coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+              coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE h > {k})""",
+                    f"""{name}{k + 1} AS (SELECT t, idx // 8 AS idx, any_value(h) AS h, sha256(string_agg(digest, '' ORDER BY idx)) AS digest
+              FROM {name}{k} WHERE h > {k} GROUP BY t, idx // 8)"""]
+        return out + [f"{name}_root AS ({' UNION ALL '.join(f'SELECT t, digest FROM {name}{k} WHERE h = {k}' for k in range(steps + 1))})"]
+
+    def path(name: str, steps: int, place: str, start: int) -> list[str]:
+        return [f"""path{start + k + 1} AS (SELECT p.* EXCLUDE (cur, proof), proof || coalesce(s.l || s.r, '') AS proof,
+              CASE WHEN s.t IS NULL THEN cur ELSE sha256(s.l || cur || s.r) END AS cur
+              FROM path{start + k} p LEFT JOIN {name}_side{k} s ON s.t = {'p.t' if name == 'node' else '0'} AND s.idx = {place} // {8 ** k})"""
+                for k in range(steps)]
+
+    height = "list_count(list_filter([8, 64, 512, 4096, 32768, 262144, 2097152, 16777216], lambda p: p < n)) + CAST(n > 1 AS INTEGER)"
+    fields = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = "sha256({} || coalesce(strlen({}) || ':' || {}, '-'))"
+    text = "CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    bits = "list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, xor(c, b))"
+    parts = [
+        f"""marked AS (SELECT *, xor(list_reduce(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '-'), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+              lambda c, b: {bits}, 4294967295), 4294967295) AS crc FROM documents)""",
+        f"leaves AS (SELECT doc_id, lang, {leaf.format(' || '.join(fields), 'text', 'text')} AS leaf, "
+        f"{leaf.format(' || '.join(fields), 'changed', 'changed')} AS tampered FROM (SELECT *, {text} AS changed FROM marked))",
+        "langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, n FROM (SELECT lang, count(*) AS n FROM leaves GROUP BY lang))",
+        f"""placed AS (SELECT l.*, t, {height} AS h, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+              FROM leaves l JOIN langs g ON l.lang IS NOT DISTINCT FROM g.lang)""",
+        "node0 AS (SELECT t, idx, h, leaf AS digest FROM placed)", *tree("node", levels),
+        f"over0 AS (SELECT 0 AS t, r.t AS idx, {height} AS h, digest FROM node_root r, (SELECT count(*) AS n FROM langs))", *tree("over", over),
+        "path0 AS (SELECT doc_id, t, idx, leaf, tampered AS cur, '' AS proof FROM placed)",
+        *path("node", levels, "p.idx", 0), *path("over", over, "p.t", levels)]
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, n.digest AS subroot, o.digest AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = o.digest AS verified
+FROM path{levels + over} p JOIN node_root n USING (t), over_root o"""
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark, sf_dir):
+    return manifest(_table(spark, sf_dir, "documents"))
