@@ -1,9 +1,9 @@
 """Token ids in ORC files: integer run-length encoding, row indexes, Bloom filters.
 
 A document is one row, or several if it has more than ``PIECE`` ids, so a batch of rows is
-bounded however long a text is: ``(doc_id, doc_no, piece, pieces, start, ids)``. ``doc_no``
-counts the documents of a file and ``start`` the ids before the piece in its file. Rows stand
-in the order of doc_id, within and across files, so the ORC writer's own encodings do the
+bounded however long a text is: ``(doc_id, doc_no, piece, after, start, ids)``. ``doc_no``
+counts the documents of a file, ``start`` the ids before the piece in its file and ``after`` those
+of the document that follow it. Rows stand in the order of doc_id, within and across files, so the ORC writer's own encodings do the
 rest: ids and counters are run-length encoded integers, each stripe and each ``ROW_GROUP`` rows
 carry minima and maxima, and doc_id a Bloom filter. A reader that filters on doc_id skips
 files, stripes and row groups by metadata, and Spark reads stripes of one file in parallel.
@@ -11,6 +11,9 @@ files, stripes and row groups by metadata, and Spark reads stripes of one file i
 A table of (file, ids) beside the files, one row per file, gives each file's place in the
 whole stream; it is made from the files after they are written.
 
+The crc32 of a document is the exclusive or of its pieces' crc32s, each moved over the bytes
+that follow it, so pieces are digested where they are read and one grouped ``bit_xor`` ends it.
+
 Defined results: a null or empty text is the end id alone; null doc_id comes first; rows of
 one doc_id are documents of their own, in the order of their texts' hash, and rows equal in
 both may stand in either order. No documents, no rows. Extra columns are ignored.
@@ -38,8 +41,8 @@ PIECE = 1024
 ROW_GROUP = 1000
 STRIPE_BYTES = 32 << 20
 FALSE_HITS = 0.01
-SLICE_BYTES = 4 << 20
-ROWS = "doc_id long, doc_no long, piece int, pieces int, start long, ids array<int>"
+SLICE_BYTES = 6 << 20
+ROWS = "doc_id long, doc_no long, piece int, after long, start long, ids array<int>"
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], path: str, end: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -58,11 +61,12 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str, end: int, size: int)
             doc = np.repeat(np.arange(j - i), pieces)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             first = cut[:-1][doc] + piece * size
+            after = np.maximum(n[doc] - (piece + 1) * size, 0)
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i).take(pa.array(doc)), pa.array(doc_no + doc), pa.array(piece.astype(np.int32)),
-                 pa.array(pieces[doc].astype(np.int32)), pa.array(start + first),
+                 pa.array(after), pa.array(start + first),
                  pa.ListArray.from_arrays(pa.array(np.append(first, cut[-1]).astype(np.int32)), pa.array(tokens))],
-                ["doc_id", "doc_no", "piece", "pieces", "start", "ids"])
+                ["doc_id", "doc_no", "piece", "after", "start", "ids"])
             doc_no += j - i
             start += int(cut[-1])
     release_memory()
@@ -89,8 +93,8 @@ class TokenFiles:
         files = (self._rows().groupBy(name.alias("file"))
                  .agg(F.max(F.col("start") + F.size("ids")).alias("n_ids"), F.max("doc_no").alias("last_doc")))
         # the writer makes one file of a partition, numbers it, and partitions are in order
-        number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-        before = Window.partitionBy(F.lit(0)).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+        files = files.withColumn("number", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
+        before = Window.partitionBy(F.lit(0)).orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
         (files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
          .write.parquet(f"{self.path}/files"))
         return self
@@ -101,83 +105,78 @@ class TokenFiles:
     def rows(self) -> DataFrame:
         """Pieces with ``start`` in the whole stream. A filter on doc_id reaches the files'
         metadata; columns that are not asked for are not read."""
-        files = self.spark.read.schema("file string, n_ids long, last_doc long, first_id long").parquet(f"{self.path}/files")
+        files = self.spark.read.schema("file string, number long, n_ids long, last_doc long, first_id long").parquet(f"{self.path}/files")
         return (self._rows().withColumn("file", F.col("_metadata.file_name")).join(files, "file")
-                .select("file", "doc_id", "doc_no", "piece", "pieces", (F.col("start") + F.col("first_id")).alias("start"), "ids"))
+                .select(F.col("number").alias("file"), "doc_id", "doc_no", "piece", "after", (F.col("start") + F.col("first_id")).alias("start"), "ids"))
 
     def digests(self) -> DataFrame:
         """Per document, from the files: its first id's place, the number and crc32 of its ids."""
-        pieces = self.rows().mapInArrow(_digested, "file string, doc_id long, doc_no long, piece int, pieces int, start long, n long, crc long")
-        whole = pieces.where("pieces = 1").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-        parts = F.array_sort(F.collect_list(F.struct("piece", "crc", "n")))
-        long = (pieces.where("pieces > 1").groupBy("file", "doc_no")
-                .agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n"), parts.alias("parts"))
-                .select("doc_id", "start", "n", "parts.crc", F.col("parts.n").alias("sizes"))
-                .mapInArrow(_joined, "doc_id long, start long, n_tokens long, ids_crc32 long"))
-        return whole.unionByName(long)
+        pieces = self.rows().mapInArrow(_digested, "file long, doc_no long, doc_id long, start long, n long, crc long")
+        return (pieces.groupBy("file", "doc_no")
+                .agg(F.max("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+                .select("doc_id", "start", "n_tokens", "ids_crc32"))
 
     def lookup(self, *doc_ids: int) -> DataFrame:
         """The pieces of some documents, by metadata."""
         return self.rows().where(F.col("doc_id").isin(*doc_ids))
 
 
-def _digested(batches):
-    for batch in batches:
-        lists = batch.column("ids")
-        offsets = lists.offsets.to_numpy()
-        raw = lists.values.to_numpy().astype("<u4", copy=False)
-        crc = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        kept = ["file", "doc_id", "doc_no", "piece", "pieces", "start"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())],
-                                         [*kept, "n", "crc"])
-
-
 _POLYNOMIAL = 0xEDB88320
 
 
-def _times(matrix: list[int], vector: int) -> int:
-    out = 0
-    for row in matrix:
-        if not vector:
-            break
-        if vector & 1:
-            out ^= row
-        vector >>= 1
-    return out
+def _byte_tables(images: np.ndarray) -> np.ndarray:
+    """A linear map of 32 bits, given by its images of single bits, as four tables of a byte each."""
+    tables = np.zeros((4, 256), np.uint32)
+    values = np.arange(256)
+    for byte in range(4):
+        for bit in range(8):
+            tables[byte] ^= np.where(values >> bit & 1, images[8 * byte + bit], 0).astype(np.uint32)
+    return tables
 
 
-def _zero_byte() -> list[int]:
-    """The linear map that a zero byte applies to a crc, as its images of single bits."""
-    def step(c: int) -> int:
-        for _ in range(8):
-            c = (c >> 1) ^ (_POLYNOMIAL if c & 1 else 0)
-        return c
-    return [step(1 << i) for i in range(32)]
+def _mapped(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return tables[0, crc & 255] ^ tables[1, crc >> 8 & 255] ^ tables[2, crc >> 16 & 255] ^ tables[3, crc >> 24]
+
 
+class ZeroBytes:
+    """What 2 ** k zero bytes at the end do to a crc32: the map of one byte, squared k times."""
 
-def joined_crc(first: int, second: int, second_bytes: int) -> int:
-    """crc32 of two texts put together: the first's crc moved over as many zero bytes as the
-    second has, by repeated squaring of the map of one."""
-    square = _zero_byte()
-    while second_bytes:
-        if second_bytes & 1:
-            first = _times(square, first)
-        second_bytes >>= 1
-        if second_bytes:
-            square = [_times(square, row) for row in square]
-    return first ^ second
+    def __init__(self):
+        images = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        for _ in range(8):
+            images = images >> np.uint32(1) ^ np.where(images & np.uint32(1), np.uint32(_POLYNOMIAL), np.uint32(0))
+        self.tables = [_byte_tables(images)]
+
+    def power(self, k: int) -> np.ndarray:
+        while len(self.tables) <= k:
+            last = self.tables[-1]
+            self.tables.append(_byte_tables(_mapped(last, _mapped(last, np.uint32(1) << np.arange(32, dtype=np.uint32)))))
+        return self.tables[k]
+
+    def moved(self, crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+        """Each crc moved over its number of zero bytes."""
+        crc, left = crc.astype(np.uint32), zeros.astype(np.int64)
+        k = 0
+        while left.any():
+            at = np.flatnonzero(left & 1)
+            if len(at):
+                crc[at] = _mapped(self.power(k), crc[at])
+            left = left >> 1
+            k += 1
+        return crc
 
 
-def _joined(batches):
+def _digested(batches):
+    zero = ZeroBytes()
     for batch in batches:
-        out = []
-        for crcs, sizes in zip(batch.column("crc").to_pylist(), batch.column("sizes").to_pylist()):
-            total = crcs[0]
-            for crc, n in zip(crcs[1:], sizes[1:]):
-                total = joined_crc(total, crc, 4 * n)
-            out.append(total)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n")), pa.array(out, pa.int64())],
-                                         ["doc_id", "start", "n_tokens", "ids_crc32"])
+        lists = batch.column("ids")
+        offsets = lists.offsets.to_numpy()
+        raw = lists.values.to_numpy().astype("<u4", copy=False)
+        crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])), np.uint32, len(batch))
+        crc = zero.moved(crc, 4 * batch.column("after").to_numpy())
+        kept = ["file", "doc_no", "doc_id", "start"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc.astype(np.int64))],
+                                         [*kept, "n", "crc"])
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
