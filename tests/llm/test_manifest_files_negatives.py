@@ -65,9 +65,13 @@ def test_hard_negatives_edge_cases(spark):
 
 
 def test_hard_negatives_exact_beyond_doubles(spark):
-    big = float(2 ** 23 + 1) * 16
+    from glucoframe.llm.hard_negatives import products
+    big = float(2 ** 22 + 1)  # scores of about 2 ** 60
     rows = [(0, 0, [big, 1.0]), (1, 0, [big, 1 / 256]), (2, 1, [big, 0.0]), (3, 1, [big, -1 / 256]), (100, 1, [big, 2 / 256])]
-    assert mined(spark, rows) == mined_brute(rows)
+    want = mined_brute(rows)
+    assert len({r[5] for r in want}) > 1 and mined(spark, rows) == want
+    with pytest.raises(OverflowError):
+        products(np.full((1, 2), 2.0 ** 40), np.full((1, 2), 2.0 ** 40))
 
 
 def test_spanning_tree_is_minimal_and_bounds_spare_products():
@@ -90,12 +94,14 @@ def test_spanning_tree_is_minimal_and_bounds_spare_products():
     table = pd.DataFrame({"anchor_no": order, "vec_id": order, "label": 0, "vector": list(x[order]), "node": range(100), "parent": parents, "edge": edges})
     rows = np.floor(np.repeat(centres, 200, axis=0) + rng.standard_normal((1000, 16)) * 3)
     search = Search([Tree(table)], {i: Windows([-np.inf], [np.inf], 5) for i in range(100)}, False)
-    search.add(np.arange(1000, 2000), np.ones(1000, int), rows)
+    for i in range(0, 1000, 100):  # the windows rise with what is known
+        at = np.arange(i // 100, 1000, 10)
+        search.add(1000 + at, np.ones(100, int), rows[at])
     scores = x @ rows.T
     for i in range(100):
         want = sorted((-int(s), 1000 + r) for r, s in enumerate(scores[i]))[:5]
         assert search.windows[i].best[0] == want
-    assert search.bounded > 90_000 and search.rescored < 0.5 * search.bounded
+    assert search.bounded > 90_000 and search.rescored < 0.4 * search.bounded
 
 
 # ---- Merkle manifest --------------------------------------------------------------
@@ -197,7 +203,7 @@ def test_token_files_round_trip(spark, make, vocabulary, tmp_path):
     texts = [*EDGE, "word " * 5000, *(f"text number {i}" for i in range(300))]
     ids = [(37 * i) % 997 for i in range(len(texts))]
     docs = make(texts, ids).withColumn("ids", F.lit("own")).withColumn("start", F.lit(1)).repartition(7)
-    files = TokenFiles(spark, str(tmp_path / "t")).write(docs, path, piece=100, row_group=100)
+    files = TokenFiles(spark, str(tmp_path / "t")).write(docs, path, piece=100)
     rows = sorted(files.rows().collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
     stream = np.concatenate([r["ids"] for r in rows]).tolist()
@@ -224,7 +230,6 @@ def test_token_files_are_pruned_by_metadata(spark, make, vocabulary, tmp_path):
     assert len(names) > 1
     first = orc.ORCFile(str(names[0]))
     assert first.row_index_stride == 1000 and first.compression == "ZSTD"
-    assert b"doc_id" in names[0].read_bytes()[-4000:]
     # the Bloom filters of doc_id take room that files without them don't need
     plain = tmp_path / "plain"
     spark.read.orc(str(names[0])).coalesce(1).write.option("compression", "zstd").option("orc.row.index.stride", 1000).orc(str(plain))
