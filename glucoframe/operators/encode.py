@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glucoframe.functions.glucose import (CLIP_HI, CLIP_LO, CLS_ID, DAY_SLOTS, IGNORE_LABEL,
                                           MASK_ID, PAD_ID, clip_value, encode_value,
                                           is_missing)
+from glucoframe.operators.selection import grouped_median
 
 
 def _c(x) -> Column:
@@ -199,12 +200,17 @@ def normalised_counts(counts: DataFrame, cell: str = "cell", gene: str = "gene",
             .drop("_total"))
 
 
+def gene_factors_median(norm: DataFrame, gene: str = "gene") -> DataFrame:
+    """Per-gene normalisation factor: the exact median of its non-zero normalised counts, as in
+    the reference's table, selected for all genes at once (``selection``)."""
+    return grouped_median(norm.filter(F.col("norm") > 0), [gene], "norm", "factor")
+
+
 def gene_factors_mean(norm: DataFrame, gene: str = "gene") -> DataFrame:
     """Per-gene normalisation factor as the mean of non-zero normalised counts.
 
-    The reference divides by a given per-gene median table; any (gene, factor)
-    table can be passed to :func:`tokenize_rank_values`. This helper derives one
-    with a bounded (partial) aggregation.
+    A cheaper factor than the median; any (gene, factor) table can be passed to
+    :func:`tokenize_rank_values`, a given one too.
     """
     return norm.filter(F.col("norm") > 0).groupBy(gene).agg(F.avg("norm").alias("factor"))
 

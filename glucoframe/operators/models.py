@@ -1,14 +1,15 @@
 """Model-shaped work as Spark jobs (X1-X7): batch scoring, a broadcast MLP scorer,
-and Spark ML fits on embedding vectors.
+and fits on embedding vectors with the statements that certify them.
 
 Transformer training itself is not rebuilt (see README); a trained model is
-applied through :func:`batch_score`, which loads it once per task and
+applied through :func:`batch_score`, which loads it once per Python worker and
 scores Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,26 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MODEL_CACHE: dict[str, object] = {}
+from glucoframe.operators import linear, model_store
+from glucoframe.operators.vectors import mean_vectors
 
 
 # ---- X1 --------------------------------------------------------------------------------------
 def batch_score(df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
-                out_schema: T.StructType | str, keep: Sequence[str] = (), batch_rows: int = 4096,
-                cache_key: str | None = None) -> DataFrame:
+                out_schema: T.StructType | str, model_id: str, keep: Sequence[str] = (), batch_rows: int = 4096,
+                most_models: int = model_store.MOST) -> DataFrame:
     """Apply a user model to rows in batches; ``keep`` columns ride along.
 
-    ``model_factory()`` is called once per task and returns ``model(pdf) -> pdf`` with one result row per
-    input row. Pass large weights through ``spark.sparkContext.broadcast``
-    and read them inside the factory.
+    ``model_factory()`` returns ``model(pdf) -> pdf`` with one result row per input row. It is called
+    once per Python worker and ``model_id``: workers keep up to ``most_models`` models between tasks
+    (:mod:`model_store`), so the id must change with the model's content. Pass large weights
+    through ``spark.sparkContext.broadcast`` and read them inside the factory.
     """
-    key = cache_key or f"{getattr(model_factory, '__module__', '')}.{getattr(model_factory, '__qualname__', id(model_factory))}"
     keep = list(keep)
 
     def run(batches):
-        model = _MODEL_CACHE.get(key)
-        if model is None:
-            model = _MODEL_CACHE.setdefault(key, model_factory())
+        # by import: what a worker's module holds stays, what a task's closure holds does not
+        from glucoframe.operators import model_store
+        model = model_store.get(model_id, model_factory, most_models)
         for pdf in batches:
             for s in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[s:s + batch_rows].reset_index(drop=True)
@@ -77,63 +79,99 @@ def severity_score(df: DataFrame, layers: Sequence[tuple[np.ndarray, np.ndarray]
                                for i, (w, b) in enumerate(decoder)})
 
 
-# ---- X3-X7: Spark ML ------------------------------------------------------------------------------
-def _features(df: DataFrame, vec: str = "vec", out: str = "features") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    return df.withColumn(out, array_to_vector(F.col(vec)))
-
-
-def fit_classifier(train: DataFrame, test: DataFrame, label: str, vec: str = "vec",
-                   max_iter: int = 50, reg: float = 0.0):
-    """Linear head on frozen embeddings = (multinomial) logistic regression.
-
-    Returns (model, predictions of ``test`` with ``prediction`` and ``probability``)."""
-    from pyspark.ml.classification import LogisticRegression
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=reg)
-    model = lr.fit(_features(train, vec).withColumn(label, F.col(label).cast("double")))
-    pred = model.transform(_features(test, vec).withColumn(label, F.col(label).cast("double")))
-    return model, pred
-
-
-def fit_regressor(train: DataFrame, test: DataFrame, label: str, vec: str = "vec",
-                  max_iter: int = 50, reg: float = 0.0):
-    """Linear regression head on embeddings (e.g. HbA1c)."""
-    from pyspark.ml.regression import LinearRegression
-    lr = LinearRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=reg)
-    model = lr.fit(_features(train, vec).withColumn(label, F.col(label).cast("double")))
-    return model, model.transform(_features(test, vec))
-
-
-def fit_multilabel(train: DataFrame, test: DataFrame, labels: Sequence[str], key: str,
-                   vec: str = "vec", max_iter: int = 50) -> DataFrame:
-    """One independent binary logistic regression per label; long output
-    (key, label, y, prob)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    tr, te = _features(train, vec), _features(test, vec)
-    out = None
-    for lab in labels:
-        m = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=max_iter).fit(
-            tr.withColumn("_y", F.col(lab).cast("double")))
-        p = m.transform(te.withColumn("_y", F.col(lab).cast("double")))
-        p = p.select(key, F.lit(lab).alias("label"), F.col("_y").cast("int").alias("y"),
-                     vector_to_array("probability")[1].alias("prob"))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def kmeans(df: DataFrame, k: int, vec: str = "vec", seed: int = 1, out: str = "cluster") -> DataFrame:
-    """K-means clustering of embeddings (Spark ML, k-means|| init)."""
+# ---- X3-X5: linear heads --------------------------------------------------------------------------
+@dataclass
+class Head:
+    """Weights with the intercept last, one row per class, label or target (``names``)."""
+
+    names: list
+    weights: np.ndarray
+    reg: float
+
+
+def fit_classifier(train: DataFrame, test: DataFrame, label: str, vec: str = "vec", reg: float = 1e-3,
+                   tol: float = 1e-9, max_iter: int = 60) -> tuple[Head, DataFrame]:
+    """Linear head on frozen embeddings = multinomial logistic regression, fitted until the
+    gradient is at most ``tol``. Returns the head and ``test`` with ``prediction`` (the class) and
+    ``probability`` (array, classes in order)."""
+    most = linear.MOST_UNKNOWNS
+    classes = sorted(r[0] for r in train.select(label).dropna().distinct().limit(most + 1).collect())
+    head = Head(classes, linear.fit_softmax(train, label, classes, vec, reg, tol, max_iter), reg)
+    p = linear.class_probabilities(vec, head.weights)
+    best = F.array_position(F.col("probability"), F.array_max("probability")).cast("int")
+    pred = test.withColumn("probability", p).withColumn("prediction", F.element_at(F.array(*[F.lit(c) for c in classes]), best))
+    return head, pred
+
+
+def classifier_gradient(train: DataFrame, head: Head, label: str, vec: str = "vec") -> DataFrame:
+    """Certificate of X3: (name, dim, gradient) per class and dimension at the head's weights."""
+    truth = F.array(*[(F.col(label) == F.lit(c)).cast("double") for c in head.names])
+    errors = F.zip_with(linear.class_probabilities(vec, head.weights), truth, lambda p, y: p - y)
+    return linear.gradient_table(train.dropna(subset=[label, vec]), errors, head.names, head.weights, head.reg, vec)
+
+
+def fit_regressor(train: DataFrame, test: DataFrame, label: str, vec: str = "vec", reg: float = 0.0) -> tuple[Head, DataFrame]:
+    """Linear regression head on embeddings (e.g. HbA1c), by least squares in one pass."""
+    w = linear.least_squares(train, label, vec, reg)
+    return Head([label], w[None], reg), linear.predicted(test, w, vec)
+
+
+def regressor_gradient(train: DataFrame, head: Head, vec: str = "vec") -> DataFrame:
+    """Certificate of X4: residuals times inputs per dimension (zero: orthogonal), as mean values."""
+    label = head.names[0]
+    errors = F.array(linear.dot(vec, head.weights[0, :-1]) + F.lit(float(head.weights[0, -1])) - F.col(label))
+    return linear.gradient_table(train.dropna(subset=[label, vec]), errors, head.names, head.weights, head.reg, vec)
+
+
+def fit_multilabel(train: DataFrame, test: DataFrame, labels: Sequence[str], key: str, vec: str = "vec",
+                   reg: float = 1e-3, tol: float = 1e-9, max_iter: int = 60) -> tuple[Head, DataFrame]:
+    """One independent binary logistic head per label, all fitted in the same passes over the
+    rows. Returns the heads and long predictions (key, label, y, prob)."""
+    head = Head(list(labels), linear.fit_heads(train, labels, vec, reg, tol, max_iter), reg)
+    rows = F.transform(linear.head_probabilities(vec, head.weights), lambda p: p)
+    truth = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("int").alias("y")) for c in head.names])
+    out = F.zip_with(truth, rows, lambda t, p: F.struct(t["label"].alias("label"), t["y"].alias("y"), p.alias("prob")))
+    return head, test.select(key, F.inline(out))
+
+
+def multilabel_gradient(train: DataFrame, head: Head, vec: str = "vec") -> DataFrame:
+    """Certificate of X5: (name, dim, gradient) per label and dimension."""
+    truth = F.array(*[F.col(c).cast("double") for c in head.names])
+    errors = F.zip_with(linear.head_probabilities(vec, head.weights), truth, lambda p, y: p - y)
+    return linear.gradient_table(train.dropna(subset=[*head.names, vec]), errors, head.names, head.weights, head.reg, vec)
+
+
+# ---- X6 / X7 ----------------------------------------------------------------------------------------
+def kmeans(df: DataFrame, k: int, vec: str = "vec", seed: int = 1, out: str = "cluster", max_iter: int = 300) -> DataFrame:
+    """K-means clustering of embeddings (Spark ML, k-means|| init), run until no centre moves."""
     from pyspark.ml.clustering import KMeans
-    f = _features(df, vec)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=out).fit(f)
+    from pyspark.ml.functions import array_to_vector
+    f = df.withColumn("features", array_to_vector(F.col(vec)))
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=out, tol=0.0, maxIter=max_iter).fit(f)
     return model.transform(f).drop("features")
 
 
+def nearer_means(clustered: DataFrame, vec: str = "vec", cluster: str = "cluster", slack: float = 1e-9) -> DataFrame:
+    """Invariant of X6: each row with ``own`` and ``nearest``, the squared distances to the mean of its
+    own cluster and to the nearest cluster mean, and ``violated``: another mean is nearer. The means
+    are one row."""
+    means = mean_vectors(clustered, [cluster], vec, "_m").agg(F.collect_list(F.struct(cluster, "_m")).alias("_means"))
+    gap = F.transform("_means", lambda m: F.struct(
+        F.aggregate(F.zip_with(vec, m["_m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), m[cluster].alias("c")))
+    d = clustered.crossJoin(F.broadcast(means)).withColumn("_gap", gap)
+    own = F.element_at(F.filter("_gap", lambda g: g["c"] == F.col(cluster)), 1)["d"]
+    d = d.withColumn("own", own).withColumn("nearest", F.array_min("_gap")["d"])
+    return d.withColumn("violated", F.col("own") > F.col("nearest") + slack).drop("_means", "_gap")
+
+
 def pca(df: DataFrame, k: int, vec: str = "vec", out: str = "pcs") -> DataFrame:
-    """Principal components of embeddings (Spark ML PCA)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import vector_to_array
-    f = _features(df, vec)
-    model = PCA(k=k, inputCol="features", outputCol="_pc").fit(f)
-    return model.transform(f).withColumn(out, vector_to_array("_pc")).drop("features", "_pc")
+    """Coordinates of the centred vectors along their ``k`` principal axes."""
+    mean, axes, _ = linear.principal_axes(df, k, vec)
+    return linear.projected(df, mean, axes, vec, out)
+
+
+def covariance(df: DataFrame, vec: str) -> DataFrame:
+    """(i, j, cov): population covariances of the coordinates, i <= j."""
+    pairs = (df.select(F.posexplode(vec).alias("i", "a"), F.col(vec).alias("_v"))
+             .select("i", "a", F.posexplode("_v").alias("j", "b")).where("i <= j"))
+    return pairs.groupBy("i", "j").agg(F.covar_pop("a", "b").alias("cov"))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glucoframe.functions.glucose import DAY_SLOTS, LOW
@@ -68,21 +70,52 @@ def segment_join(long: DataFrame, intervals: DataFrame, sample: str = "sample_id
     return long.join(iv, cond, "inner").drop("_s")
 
 
+def prefix_arrays(long: DataFrame, keys: Sequence[str], value: str, pos: str = "pos", out: str = "prefix") -> DataFrame:
+    """One row per ``keys``: the positions in order, each with the number and the sum of the values up
+    to and including it, as an array of (p, c, s). Null values are left out.
+
+    A running sum over the group's bounded positions, then one collect on the same keys: nothing
+    is shuffled where the input already lies by a part of the keys."""
+    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    summed = long.select(*keys, F.col(pos).alias("_p"), F.count(value).over(w).alias("_c"), F.sum(value).over(w).alias("_s"))
+    return summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("_p").alias("p"), F.col("_c").alias("c"), F.coalesce("_s", F.lit(0.0)).cast("double").alias("s")))).alias(out))
+
+
+def prefix_before(prefix: Column, bound: Column, length: int = DAY_SLOTS + 1) -> Column:
+    """(c, s) of all positions below ``bound``: a binary search in an array of at most ``length``
+    entries, made by :func:`prefix_arrays`."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(length.bit_length()))])
+    n = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(
+        (lo + step <= F.size(prefix)) & (F.get(prefix, lo + step - 1)["p"] < bound), lo + step).otherwise(lo))
+    last = F.get(prefix, n - 1)
+    return F.struct(F.coalesce(last["c"], F.lit(0).cast("long")).alias("c"), F.coalesce(last["s"], F.lit(0.0)).alias("s"))
+
+
 def mean_in_segment(long: DataFrame, intervals: DataFrame, value: str, group: Sequence[str] = (),
-                    sample: str = "sample_id", pos: str = "pos", empty: float | None = 0.0) -> DataFrame:
+                    sample: str = "sample_id", pos: str = "pos", empty: float | None = 0.0,
+                    length: int = DAY_SLOTS + 1) -> DataFrame:
     """Mean of ``value`` inside each stage per (sample, group..., stage).
 
-    Every row meets the intervals of its own sample (an equi-join with a
-    bounded fan-out: at most eight intervals per sample); one conditional
-    average per (sample, group, stage) then counts a position once per
-    interval holding it. Every (sample, group) gets a row for each stage the
-    sample has; a stage without positions averages to ``empty`` (Q10: 0.0;
-    None keeps null).
+    Each (sample, group) becomes one prefix-sum array; an interval is the difference of two
+    look-ups in it, so no row meets an interval, and a position counts once per interval holding it.
+    Every (sample, group) gets a row for each stage the sample has; a stage without positions
+    averages to ``empty`` (Q10: 0.0; None keeps null). At most ``length`` positions per array.
+
+    Plan: the intervals are one array per sample (at most eight). A semi join with their samples
+    brings the rows together by sample, if they are not already, and the rest stays there.
     """
     g = list(group)
-    j = long.join(intervals.select(sample, "stage", "lo", "hi"), sample)
-    inside = (F.col(pos) >= F.col("lo")) & (F.col(pos) < F.col("hi"))
-    out = j.groupBy(sample, *g, "stage").agg(F.avg(F.when(inside, F.col(value))).alias("mean"))
+    mine = intervals.groupBy(sample).agg(F.collect_list(F.struct("stage", "lo", "hi")).alias("_iv"))
+    rows = long.join(mine.select(sample), sample, "left_semi")
+    arrays = prefix_arrays(rows, [sample, *g], value, pos, "_prefix").join(mine, sample)
+    spans = F.transform("_iv", lambda i: F.struct(
+        i["stage"].alias("stage"), prefix_before(F.col("_prefix"), i["lo"], length).alias("a"),
+        # an interval that ends before it starts is empty
+        prefix_before(F.col("_prefix"), F.greatest(i["lo"], i["hi"]), length).alias("b")))
+    sums = arrays.select(sample, *g, F.inline(spans))
+    out = sums.groupBy(sample, *g, "stage").agg(
+        F.try_divide(F.sum(F.col("b.s") - F.col("a.s")), F.sum(F.col("b.c") - F.col("a.c"))).alias("mean"))
     if empty is not None:
         out = out.withColumn("mean", F.coalesce(F.col("mean"), F.lit(float(empty))))
     return out
@@ -143,15 +176,15 @@ def mean_in_range(weights: DataFrame, lo: int = 216, hi: int = DAY_SLOTS,
     return out
 
 
-def stage_embedding_mean(token_vecs: DataFrame, intervals: DataFrame, dim: str = "dim",
-                         value: str = "x", sample: str = "sample_id", tpos: str = "tpos") -> DataFrame:
+def stage_embedding_mean(token_vecs: DataFrame, intervals: DataFrame, vec: str = "vec",
+                         sample: str = "sample_id", tpos: str = "tpos") -> DataFrame:
     """Mean token vector inside a stage: token positions [s + 1, e + 1) (<cls> shift).
 
-    ``token_vecs`` is long (sample, tpos, dim, x); result (sample, stage, vec ARRAY<DOUBLE>).
+    ``token_vecs`` holds one array per token (sample, tpos, vec); result (sample, stage, vec
+    ARRAY<DOUBLE>). A token meets its sample's intervals once, whatever its width, and vectors
+    are summed as a whole.
     """
     iv = intervals.select(sample, "stage", (F.col("lo") + 1).alias("lo"), (F.col("hi") + 1).alias("hi"))
-    j = segment_join(token_vecs, iv, sample, tpos)
-    per_dim = j.groupBy(sample, "stage", dim).agg(F.avg(value).alias("m"))
-    return per_dim.groupBy(sample, "stage").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col(dim), F.col("m")))),
-                    lambda s: s["m"]).alias("vec"))
+    j = segment_join(token_vecs.filter(F.col(vec).isNotNull()), iv, sample, tpos)
+    means = j.groupBy(sample, "stage").agg(Summarizer.mean(array_to_vector(vec)).alias("_m"))
+    return means.select(sample, "stage", vector_to_array("_m").alias("vec"))

@@ -1,4 +1,4 @@
-"""Per-series and per-cohort statistics (A1-A12) on long-form readings.
+"""Per-series and per-cohort statistics (A1-A8, A11, A12; A9 and A10 in ``spectra``) on long-form readings.
 
 Long form: (sample_id, pos, value). Aggregations are grouped (partial
 aggregation before the shuffle), per-series work is bounded by one day.
@@ -6,15 +6,12 @@ aggregation before the shuffle), per-series work is bounded by one day.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glucoframe.functions.glucose import HIGH, LOW, is_missing
+from glucoframe.operators.ranking import join_null_safe, prefix_sum
+from glucoframe.operators.spectra import kolmogorov_sf, ks_exact_p, ordered_series, welch_psd
 
 
 def _keys(by) -> list:
@@ -112,188 +109,85 @@ def acf(rd: DataFrame, nlags: int = 20, sample: str = "sample_id", pos: str = "p
     estimator on a gap-free series); a lag without pairs gives 0, zero variance
     gives null.
 
-    Plan: mean and variance are two windows over one sample's slots (one
-    shuffle by sample, bounded by 288 rows); pairs come from an equi-join of
-    the lag-exploded readings on (sample, position); one aggregate per sample
-    sums every lag (lag 0 always pairs a reading with itself, so every sample
-    is present without a frame join). All in whole-stage codegen.
+    Plan: one shuffle by sample. Mean, variance and each reading's neighbours (a range frame of
+    ``nlags`` positions) are windows over one sample's bounded slots, and the products are summed
+    per (sample, lag) where they are. The first reading adds a zero for every lag, so all are there.
     """
-    from pyspark.sql import Window
     w = Window.partitionBy(sample)
-    ok = rd.filter(~is_missing(value))
-    d = ok.select(sample, pos, (F.col(value) - F.avg(value).over(w)).alias("x"))
-    d = d.withColumn("_den", F.sum(F.col("x") * F.col("x")).over(w))
-    lagged = d.select(sample, "_den", F.col(pos).alias("_p"), F.col("x").alias("xa"),
-                      F.explode(F.sequence(F.lit(0), F.lit(nlags))).alias("lag"))
-    lagged = lagged.withColumn(pos, F.col("_p") + F.col("lag"))
-    pairs = lagged.join(d.select(sample, pos, F.col("x").alias("xb")), [sample, pos])
-    prod = F.col("xa") * F.col("xb")
-    agg = pairs.groupBy(sample).agg(F.first("_den").alias("_den"),
-                                    *[F.sum(F.when(F.col("lag") == k, prod)).alias(f"_s{k}")
-                                      for k in range(nlags + 1)])
-    sums = F.array(*[F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) for k in range(nlags + 1)])
-    out = agg.select(sample, "_den", F.posexplode(sums).alias("lag", "_num"))
-    return out.select(sample, F.col("lag").cast("int"),
-                      F.try_divide(F.col("_num"), F.when(F.col("_den") != 0, F.col("_den"))).alias("acf"))
-
-
-# ---- A9 / A10: numpy in Arrow batches ------------------------------------------------
-def _welch(x: np.ndarray, nperseg: int = 256, fs: float = 1.0):
-    """Welch PSD, Hann window, half overlap, constant detrend, density scaling, one-sided."""
-    n = len(x)
-    if n == 0:
-        return np.array([]), np.array([])
-    seg = min(nperseg, n)
-    step = seg - seg // 2
-    win = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(seg) / seg) if seg > 1 else np.ones(1)
-    scale = 1.0 / (fs * (win * win).sum())
-    starts = range(0, n - seg + 1, step)
-    spec = None
-    for s in starts:
-        part = x[s:s + seg]
-        part = (part - part.mean()) * win
-        p = np.abs(np.fft.rfft(part)) ** 2 * scale
-        spec = p if spec is None else spec + p
-    spec = spec / len(starts)
-    if seg % 2 == 0:
-        spec[1:-1] *= 2.0
-    else:
-        spec[1:] *= 2.0
-    return np.fft.rfftfreq(seg, 1.0 / fs), spec
-
-
-WELCH_SCHEMA = T.StructType([T.StructField("sample_id", T.StringType()),
-                             T.StructField("k", T.IntegerType()),
-                             T.StructField("freq", T.DoubleType()),
-                             T.StructField("psd", T.DoubleType())])
-
-
-def welch_psd(arr_df: DataFrame, sample: str = "sample_id", arr: str = "input_ids",
-              nperseg: int = 256) -> DataFrame:
-    """Welch power spectrum per series (present readings in position order).
-
-    Runs numpy in Arrow batches (mapInPandas); each row is one bounded series.
-    """
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for sid, seq in zip(pdf[sample], pdf[arr]):
-                x = np.array([v for v in seq if v is not None and not math.isnan(v)], dtype=float)
-                f, p = _welch(x, nperseg)
-                rows.extend((sid, i, float(f[i]), float(p[i])) for i in range(len(f)))
-            yield pd.DataFrame(rows, columns=["sample_id", "k", "freq", "psd"])
-    return arr_df.select(F.col(sample).alias("sample_id"), F.col(arr)).mapInPandas(run, WELCH_SCHEMA)
-
-
-def _adf_stat(x: np.ndarray, maxlag: int | None = None) -> tuple[float, int]:
-    """ADF t statistic with a constant; lag picked by AIC on a common sample, then refit."""
-    n = len(x)
-    if maxlag is None:
-        maxlag = int(np.ceil(12.0 * (n / 100.0) ** 0.25))
-    maxlag = max(0, min(maxlag, n // 2 - 2))
-    if n < 6:
-        return float("nan"), 0
-    dx = np.diff(x)
-
-    def design(lag, start):
-        y = dx[start:]
-        cols = [x[start:-1], np.ones(len(y))]
-        for j in range(1, lag + 1):
-            cols.append(dx[start - j:len(dx) - j])
-        return y, np.column_stack(cols)
-
-    best, best_lag = None, 0
-    for lag in range(maxlag + 1):
-        y, X = design(lag, maxlag)
-        if len(y) <= X.shape[1]:
-            continue
-        beta, *_ = np.linalg.lstsq(X, y, rcond=None)
-        rss = float(((y - X @ beta) ** 2).sum())
-        nobs = len(y)
-        aic = nobs * np.log(rss / nobs + 1e-300) + 2 * X.shape[1]
-        if best is None or aic < best:
-            best, best_lag = aic, lag
-    y, X = design(best_lag, best_lag)
-    if len(y) <= X.shape[1]:
-        return float("nan"), best_lag
-    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
-    resid = y - X @ beta
-    dof = len(y) - X.shape[1]
-    sigma2 = float(resid @ resid) / dof
-    cov = sigma2 * np.linalg.pinv(X.T @ X)
-    se = math.sqrt(cov[0, 0]) if cov[0, 0] > 0 else float("nan")
-    return float(beta[0] / se) if se and not math.isnan(se) else float("nan"), best_lag
-
-
-ADF_SCHEMA = T.StructType([T.StructField("sample_id", T.StringType()),
-                           T.StructField("adf_stat", T.DoubleType()),
-                           T.StructField("used_lag", T.IntegerType()),
-                           T.StructField("nobs", T.IntegerType())])
-
-
-def adf_stat(arr_df: DataFrame, sample: str = "sample_id", arr: str = "input_ids") -> DataFrame:
-    """A10: augmented Dickey-Fuller statistic per series (constant, AIC lag choice)."""
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for sid, seq in zip(pdf[sample], pdf[arr]):
-                x = np.array([v for v in seq if v is not None and not math.isnan(v)], dtype=float)
-                st, lag = _adf_stat(x)
-                rows.append((sid, None if math.isnan(st) else st, lag, len(x)))
-            yield pd.DataFrame(rows, columns=["sample_id", "adf_stat", "used_lag", "nobs"])
-    return arr_df.select(F.col(sample).alias("sample_id"), F.col(arr)).mapInPandas(run, ADF_SCHEMA)
+    ordered = w.orderBy("_p")
+    ok = rd.filter(~is_missing(value)).select(sample, F.col(pos).cast("int").alias("_p"), F.col(value).alias("_v"))
+    d = ok.select(sample, "_p", (F.col("_v") - F.avg("_v").over(w)).alias("x"))
+    near = F.collect_list(F.struct(F.col("_p").alias("q"), F.col("x").alias("y"))).over(ordered.rangeBetween(0, nlags))
+    d = d.select(sample, "_p", "x", F.sum(F.col("x") * F.col("x")).over(w).alias("_den"), F.row_number().over(ordered).alias("_i"), near.alias("_near"))
+    none = F.transform(F.sequence(F.lit(0), F.lit(nlags)), lambda k: F.struct((F.col("_p") + k).alias("q"), F.lit(0.0).alias("y")))
+    pairs = d.select(sample, "_p", "x", "_den", F.inline(F.when(F.col("_i") == 1, F.concat("_near", none)).otherwise(F.col("_near"))))
+    sums = pairs.groupBy(sample, (F.col("q") - F.col("_p")).cast("int").alias("lag")).agg(
+        F.sum(F.col("x") * F.col("y")).alias("_num"), F.first("_den").alias("_den"))
+    return sums.select(sample, "lag", F.try_divide(F.col("_num"), F.when(F.col("_den") != 0, F.col("_den"))).alias("acf"))
 
 
 # ---- A11 / A12 ----------------------------------------------------------------------
-def kolmogorov_sf(z: Column, terms: int = 100) -> Column:
-    """Asymptotic two-sided KS p-value Q(z) = 2 sum (-1)^(k-1) exp(-2 k^2 z^2)."""
-    s = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-                    lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-                    * F.exp(F.lit(-2.0) * k * k * z * z))
-    return F.when(z <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(2.0 * s, F.lit(0.0)), F.lit(1.0)))
+#: up to so large a product of the sample sizes the p-value is exact
+EXACT_UP_TO = 1_000_000
 
 
-def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None) -> DataFrame:
-    """Two-sample KS statistic D = max |F_a - F_b| and its asymptotic p-value.
+def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
+    """Two-sample KS statistic D = max |F_a - F_b| and its p-value, per ``by`` group.
 
+    The p-value is exact where na * nb <= ``exact_up_to``, asymptotic beyond (``exact`` tells).
     Values are counted per distinct value (partial aggregation); the two
     empirical CDFs are running sums over the value order within each group,
-    computed with the skew-safe distributed prefix sum (no single-task window).
+    computed with the skew-safe distributed prefix sum (no single-task window),
+    all groups in one pass. A group without rows on either side has no row.
     """
-    from glucoframe.operators.ranking import prefix_sum
     keys = _keys(by)
     ta = a.select(*keys, F.col(value).alias("v")).filter(~is_missing("v")).withColumn("_t", F.lit(0))
     tb = b.select(*keys, F.col(value).alias("v")).filter(~is_missing("v")).withColumn("_t", F.lit(1))
     both = ta.unionByName(tb)
     cnt = both.groupBy(*keys, "v").agg(F.count_if(F.col("_t") == 0).alias("ca"),
                                         F.count_if(F.col("_t") == 1).alias("cb"))
-    tot = cnt.groupBy(*keys).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
-    cum = prefix_sum(cnt, keys, ["v"], ["ca", "cb"], ["ra", "rb"])
-    j = cum.join(tot, keys) if keys else cum.crossJoin(F.broadcast(tot))
+    tot = cnt.groupBy(*keys).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).where("na > 0 AND nb > 0")
+    cum = prefix_sum(cnt, keys, ["v"], ["ca", "cb"], ["ra", "rb"], whole=True)
+    j = join_null_safe(cum, tot, keys) if keys else cum.crossJoin(F.broadcast(tot))
     gap = F.abs(F.try_divide(F.col("ra"), F.col("na")) - F.try_divide(F.col("rb"), F.col("nb")))
     d = j.groupBy(*keys, "na", "nb").agg(F.max(gap).alias("ks_stat"))
     en = F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))
     z = (F.sqrt(en) + 0.12 + 0.11 / F.sqrt(en)) * F.col("ks_stat")
-    return d.withColumn("p_value", kolmogorov_sf(z))
-
-
-def sampling_quality(a_arr: DataFrame, b_arr: DataFrame, arr: str = "input_ids",
-                     sample: str = "sample_id", digits: int | None = 9) -> DataFrame:
-    """KS of per-series means, variances and lag-1 autocorrelation between two
-    sets of series, all three in one keyed KS pass. Statistics are compared at
-    ``digits`` decimals (round(x * 10^d) / 10^d), so last-bit noise of the sums
+    few = F.col("na").cast("double") * F.col("nb") <= exact_up_to
+    # the statistic is a multiple of 1 / (na * nb)
+    steps = F.round(F.when(few, F.col("ks_stat") * F.col("na") * F.col("nb"))).cast("long")
+    p = F.when(few, ks_exact_p(steps, F.col("na"), F.col("nb"))).otherwise(kolmogorov_sf(z))
+    return d.withColumn("p_value", p).withColumn("exact", few)
+
+
+def series_measures(rd: DataFrame, nlags: int = 50, nperseg: int = 256, sample: str = "sample_id", pos: str = "pos",
+                    value: str = "value", digits: int | None = 9) -> DataFrame:
+    """(measure, value) of every series, present readings in order: ``mean``, ``var``, ``acf_k`` for
+    lags below the length, ``psd_k``, and all lags (``acf``) and bins (``psd``) taken together.
+    Values are kept at ``digits`` decimals (round(x * 10^d) / 10^d), so last-bit noise of the sums
     cannot split equal values."""
-    def per_series(df):
-        lg = df.select(sample, F.posexplode(arr).alias("pos", "value"))
-        mo = series_moments(lg, sample)
-        ac = acf(lg, nlags=1, sample=sample).filter("lag = 1")
-        st = mo.select(sample, "mean", "var").join(ac.select(sample, F.col("acf").alias("acf1")), sample, "left")
-        def rnd(c):
-            if digits is None:
-                return F.col(c)
-            scale = float(10 ** digits)
-            return F.round(F.col(c) * scale, 0) / scale
-        return st.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stat"), rnd(c).alias("value"))
-                                             for c in ("mean", "var", "acf1")])))
-    r = ks_two_sample(per_series(a_arr), per_series(b_arr), by="stat")
-    return r.select("stat", "na", "nb", "ks_stat", "p_value")
+    series = ordered_series(rd, sample, pos, value)
+
+    def rnd(c):
+        return c if digits is None else F.round(c * float(10 ** digits), 0) / float(10 ** digits)
+
+    def rows(df, *pairs):
+        return df.select(F.inline(F.array(*[F.struct(m.alias("measure"), rnd(v).alias("value")) for m, v in pairs])))
+
+    lags = acf(series, nlags, sample, "t", "value").join(series.where("t = 0").select(sample, "n"), sample).where("lag < n")
+    psd = welch_psd(series.select(sample, F.col("t").alias(pos), F.col("value").alias(value)), nperseg, sample, pos, value)
+    out = rows(series_moments(series, sample, "value"), (F.lit("mean"), F.col("mean")), (F.lit("var"), F.col("var")))
+    for df, c, k in ((lags, "acf", "lag"), (psd, "psd", "k")):
+        out = out.unionByName(rows(df, (F.lit(c), F.col(c)), (F.concat(F.lit(f"{c}_"), F.col(k).cast("string")), F.col(c))))
+    return out.where("value IS NOT NULL")
+
+
+def sampling_quality(a: DataFrame, b: DataFrame, nlags: int = 50, nperseg: int = 256, sample: str = "sample_id",
+                     pos: str = "pos", value: str = "value", digits: int | None = 9,
+                     exact_up_to: int = EXACT_UP_TO) -> DataFrame:
+    """KS of per-series means, variances, autocorrelations (each lag, and all) and spectra
+    (each bin, and all) between two sets of series: every measure is a key of one KS pass, and
+    keys are split by value range, so the pooled ones never meet in one task."""
+    r = ks_two_sample(*(series_measures(x, nlags, nperseg, sample, pos, value, digits) for x in (a, b)),
+                      by="measure", exact_up_to=exact_up_to)
+    return r.select("measure", "na", "nb", "ks_stat", "p_value", "exact")

@@ -1,14 +1,16 @@
 """Embedding vectors: pooling, cluster similarity / assignment, cross tables, MI.
 
 Vectors are ``ARRAY<DOUBLE>`` columns of a fixed small width. Cross-row work
-(means per sample, per person, per cluster) runs on the long form
-(key, dim, x) so it is a plain grouped aggregation.
+(means per sample, per person, per cluster) is an aggregate over whole vectors
+with partial sums before the shuffle: one row per key and task, not one per dimension.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,30 +41,18 @@ def unit(a) -> Column:
                       lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
-def to_long_vec(df: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
-    return df.select(*keys, F.posexplode(vec).alias("dim", "x"))
-
-
-def from_long_vec(df: DataFrame, keys: Sequence[str], dim: str = "dim", x: str = "x",
-                  out: str = "vec") -> DataFrame:
-    """(keys, dim, x) -> (keys, vec) with dims in order (bounded by the vector width)."""
-    return df.groupBy(*keys).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct(F.col(dim).alias("d"), F.col(x).alias("v")))),
-        lambda s: s["v"]).alias(out))
-
-
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str = "vec", out: str = "vec") -> DataFrame:
-    """Per-key mean vector: explode dims, grouped mean, re-assemble."""
-    lg = to_long_vec(df, keys, vec)
-    m = lg.groupBy(*keys, "dim").agg(F.avg("x").alias("x"))
-    return from_long_vec(m, keys, out=out)
+    """Per-key mean vector by an aggregate over whole arrays: partial sums per key before the
+    shuffle, one row per key in it. Null vectors are left out."""
+    m = df.filter(_c(vec).isNotNull()).groupBy(*keys).agg(Summarizer.mean(array_to_vector(_c(vec))).alias("_m"))
+    return m.select(*keys, vector_to_array("_m").alias(out))
 
 
 # ---- A20 / A31 ------------------------------------------------------------------------------
 def sample_mean_pool(token_vecs: DataFrame, sample: str = "sample_id", tpos: str = "tpos",
-                     dim: str = "dim", x: str = "x", style: str = "mean",
+                     vec: str = "vec", style: str = "mean",
                      exclude_cls: bool = False, pad_mask: DataFrame | None = None) -> DataFrame:
-    """One vector per sample from token vectors (long: sample, tpos, dim, x).
+    """One vector per sample from token vectors (sample, tpos, vec).
 
     style 'mean' averages non-pad positions (``pad_mask`` rows (sample, tpos)
     mark pads; <cls> at tpos 0 is excluded with ``exclude_cls``); style 'cls'
@@ -70,14 +60,17 @@ def sample_mean_pool(token_vecs: DataFrame, sample: str = "sample_id", tpos: str
     """
     t = token_vecs
     if style == "cls":
-        t = t.filter(F.col(tpos) == 0)
-    else:
-        if exclude_cls:
-            t = t.filter(F.col(tpos) > 0)
-        if pad_mask is not None:
-            t = t.join(pad_mask.select(sample, tpos), [sample, tpos], "left_anti")
-    m = t.groupBy(sample, dim).agg(F.avg(x).alias("x"))
-    return from_long_vec(m, [sample], dim=dim, x="x")
+        return t.filter(F.col(tpos) == 0).select(sample, vec)
+    if exclude_cls:
+        t = t.filter(F.col(tpos) > 0)
+    if pad_mask is not None:
+        t = t.join(pad_mask.select(sample, tpos), [sample, tpos], "left_anti")
+    return mean_vectors(t, [sample], vec)
+
+
+def two_layer_pool(first: DataFrame, second: DataFrame, sample: str = "sample_id", vec: str = "vec", **pool) -> DataFrame:
+    """A20 (two-layer variant): the pooled vectors of two layers, one after the other."""
+    return concat_layers(sample_mean_pool(first, sample, vec=vec, **pool), sample_mean_pool(second, sample, vec=vec, **pool), sample, vec)
 
 
 def concat_layers(a: DataFrame, b: DataFrame, key: str, vec: str = "vec") -> DataFrame:

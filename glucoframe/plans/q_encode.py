@@ -208,11 +208,20 @@ def q_decode_tokens(spark, sf_dir):
 
 
 # ---- E17-E19 --------------------------------------------------------------------------------
+@query("gene_medians", """
+    WITH tot AS (SELECT cell, sum(n) AS total FROM gene_counts GROUP BY cell)
+    SELECT gene, median(n * 10000.0 / total) AS factor FROM gene_counts JOIN tot USING (cell) WHERE n > 0 GROUP BY gene""",
+       views=("gene_counts",), round_cols=["factor"])
+def q_gene_medians(spark, sf_dir):
+    """Exact median of each gene's non-zero normalised counts over all cells."""
+    return encode.gene_factors_median(encode.normalised_counts(B.gene_counts(spark, sf_dir)))
+
+
 @query("tokenize_rank_values", """
     WITH qc AS (SELECT g.* FROM gene_counts g JOIN cell_qc q ON g.cell = q.cell WHERE q.filter_pass = 1),
     tot AS (SELECT cell, sum(n) AS total FROM qc GROUP BY cell),
     nrm AS (SELECT qc.cell, gene, n * 10000.0 / total AS norm FROM qc JOIN tot ON qc.cell = tot.cell),
-    fac AS (SELECT gene, avg(norm) AS factor FROM nrm WHERE norm > 0 GROUP BY gene),
+    fac AS (SELECT gene, (quantile_disc(norm, 0.5) + -quantile_disc(-norm, 0.5)) / 2 AS factor FROM nrm WHERE norm > 0 GROUP BY gene),
     v AS (SELECT cell, nrm.gene, norm / factor AS v FROM nrm JOIN fac ON nrm.gene = fac.gene WHERE norm / factor > 0)
     SELECT cell, CAST(least(count(*), 2048) AS INTEGER) AS length,
            array_to_string(list_slice(list(gene ORDER BY v DESC, gene), 1, 2048), ',') AS tokens
@@ -223,7 +232,7 @@ def q_tokenize_rank_values(spark, sf_dir):
     counts = B.gene_counts(spark, sf_dir)
     qc = encode.qc_pass(B.cell_qc(spark, sf_dir)).select("cell")
     counts = counts.join(qc, "cell", "left_semi")
-    factors = encode.gene_factors_mean(encode.normalised_counts(counts))
+    factors = encode.gene_factors_median(encode.normalised_counts(counts))
     t = encode.tokenize_rank_values(counts, factors, max_len=2048)
     return t.select("cell", "length", _join(F.col("input_ids")).alias("tokens"))
 

@@ -9,6 +9,7 @@ from glucoframe.operators import masking as M
 from glucoframe.operators import sampling as W
 from glucoframe.operators import shape, stats, vocab
 from glucoframe.plans.q_encode import tok_sql
+from glucoframe.plans.q_stats import ks_sql, welch_sql
 from glucoframe.plans.registry import query
 from glucoframe.sources import bindings as B
 
@@ -51,56 +52,26 @@ def q_stride_sample(spark, sf_dir):
     return out.select("sample_id", "k", "section", "value")
 
 
-_QUALITY_SQL = """WITH a_r AS (SELECT sample_id, pos, value FROM readings),
-    a_d AS (SELECT sample_id, pos, value - avg(value) OVER (PARTITION BY sample_id) AS x FROM a_r),
-    a_m AS (SELECT sample_id, avg(value) AS mean, var_pop(value) AS var FROM a_r GROUP BY 1),
-    a_den AS (SELECT sample_id, sum(x * x) AS den FROM a_d GROUP BY 1),
-    a_num AS (SELECT a.sample_id, sum(a.x * b.x) AS num FROM a_d a
-                   JOIN a_d b ON b.sample_id = a.sample_id AND b.pos = a.pos + 1 GROUP BY 1),
-    a_s AS (SELECT m.sample_id, m.mean, m.var,
-                        CASE WHEN den = 0 THEN NULL ELSE coalesce(num, 0) / den END AS acf1
-                 FROM a_m m JOIN a_den d ON d.sample_id = m.sample_id
-                 LEFT JOIN a_num n ON n.sample_id = m.sample_id),
-    a_l AS (SELECT 'mean' AS stat, round(mean * 1e9) / 1e9 AS v FROM a_s
-                 UNION ALL SELECT 'var', round(var * 1e9) / 1e9 FROM a_s
-                 UNION ALL SELECT 'acf1', round(acf1 * 1e9) / 1e9 FROM a_s WHERE acf1 IS NOT NULL),
-    b_r AS (SELECT sample_id, CAST(pos // 3 AS INTEGER) AS pos, value FROM readings WHERE pos % 3 = 0),
-    b_d AS (SELECT sample_id, pos, value - avg(value) OVER (PARTITION BY sample_id) AS x FROM b_r),
-    b_m AS (SELECT sample_id, avg(value) AS mean, var_pop(value) AS var FROM b_r GROUP BY 1),
-    b_den AS (SELECT sample_id, sum(x * x) AS den FROM b_d GROUP BY 1),
-    b_num AS (SELECT a.sample_id, sum(a.x * b.x) AS num FROM b_d a
-                   JOIN b_d b ON b.sample_id = a.sample_id AND b.pos = a.pos + 1 GROUP BY 1),
-    b_s AS (SELECT m.sample_id, m.mean, m.var,
-                        CASE WHEN den = 0 THEN NULL ELSE coalesce(num, 0) / den END AS acf1
-                 FROM b_m m JOIN b_den d ON d.sample_id = m.sample_id
-                 LEFT JOIN b_num n ON n.sample_id = m.sample_id),
-    b_l AS (SELECT 'mean' AS stat, round(mean * 1e9) / 1e9 AS v FROM b_s
-                 UNION ALL SELECT 'var', round(var * 1e9) / 1e9 FROM b_s
-                 UNION ALL SELECT 'acf1', round(acf1 * 1e9) / 1e9 FROM b_s WHERE acf1 IS NOT NULL),
-    ab AS (SELECT stat, v, 0 AS t FROM a_l UNION ALL SELECT stat, v, 1 FROM b_l),
-    cnt AS (SELECT stat, v, count(*) FILTER (WHERE t = 0) AS ca, count(*) FILTER (WHERE t = 1) AS cb
-            FROM ab GROUP BY 1, 2),
-    tot AS (SELECT stat, sum(ca) AS na, sum(cb) AS nb FROM cnt GROUP BY 1),
-    cum AS (SELECT stat, v, sum(ca) OVER w AS ra, sum(cb) OVER w AS rb FROM cnt
-            WINDOW w AS (PARTITION BY stat ORDER BY v ROWS UNBOUNDED PRECEDING)),
-    d AS (SELECT c.stat, CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, max(abs(ra / na - rb / nb)) AS ks_stat
-          FROM cum c JOIN tot t ON c.stat = t.stat GROUP BY 1, 2, 3),
-    z AS (SELECT *, (sqrt(na * nb / (na + nb)) + 0.12 + 0.11 / sqrt(na * nb / (na + nb))) * ks_stat AS z FROM d)
-    SELECT stat, na, nb, ks_stat,
-           CASE WHEN z <= 0 THEN 1.0 ELSE least(greatest(2.0 * list_sum(list_transform(range(1, 101),
-                lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * z * z))), 0.0), 1.0)
-           END AS p_value
-    FROM z"""
-
-
-@query("sampling_quality", _QUALITY_SQL, views=("readings",), round_cols=["ks_stat", "p_value"])
+_QUALITY_SQL = f"""
+    WITH x AS (SELECT src || sample_id AS series, src = 'a' AS ta, pos, value FROM (
+               SELECT 'a' AS src, * FROM month_series UNION ALL SELECT 'b', * FROM month_series WHERE pos % 2 = 0)),
+    s AS (SELECT series, ta, row_number() OVER (PARTITION BY series ORDER BY pos) - 1 AS t,
+                 count(*) OVER (PARTITION BY series) AS n, value, value - avg(value) OVER (PARTITION BY series) AS x FROM x),
+    moments AS (SELECT series, ta, avg(value) AS mean, var_pop(value) AS var, sum(x * x) AS den FROM s GROUP BY ALL),
+    lags AS (SELECT a.series, b.t - a.t AS lag, sum(a.x * b.x) AS num FROM s a JOIN s b
+             ON a.series = b.series AND b.t - a.t BETWEEN 0 AND 50 GROUP BY ALL),{welch_sql("s", 32, "series, ta")},
+    m AS (SELECT 'mean' AS measure, ta, mean AS v FROM moments UNION ALL SELECT 'var', ta, var FROM moments
+          UNION ALL SELECT unnest(['acf', 'acf_' || lag]), ta, num / den FROM lags JOIN moments USING (series) WHERE den <> 0
+          UNION ALL SELECT unnest(['psd', 'psd_' || k]), ta, psd FROM psd),
+    v AS (SELECT measure, ta, round(v * 1e6) / 1e6 AS v FROM m),""" + ks_sql("v", "measure")
+
+
+@query("sampling_quality", _QUALITY_SQL, views=("month_series",), round_cols=["ks_stat", "p_value"])
 def q_sampling_quality(spark, sf_dir):
-    """KS of means, variances and lag-1 ACF: day series versus their stride-0 sub-series."""
-    rd = B.readings(spark, sf_dir)
-    a = shape.to_array(rd, "sample_id")
-    sub = W.stride_sample(rd, window=3).filter("k = 0").select("sample_id", F.col("section").alias("pos"), "value")
-    b = shape.to_array(sub, "sample_id", length=96)
-    return stats.sampling_quality(a, b)
+    """Means, variances, 51 autocorrelations and 17 spectrum bins, each and pooled, of the
+    persons' months against the same months with every other block left out."""
+    a = B.month_series(spark, sf_dir)
+    return stats.sampling_quality(a, a.where("pos % 2 = 0"), nperseg=32, digits=6)
 
 
 # ---- W5-W12 --------------------------------------------------------------------------------

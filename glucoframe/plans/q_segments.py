@@ -131,8 +131,5 @@ def q_mean_in_segment_readings(spark, sf_dir):
     GROUP BY 1, 2, 3""", views=("weights", "stage_intervals"), round_cols=["m"])
 def q_stage_embedding_mean(spark, sf_dir):
     """Mean 4-d token vector inside each stage (token positions shifted by <cls>)."""
-    pos = _weights(spark, sf_dir).filter("layer = 0 AND head = 0").select("sample_id", "tpos")
-    tv = pos.select("sample_id", "tpos", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("dim"))
-    tv = tv.withColumn("x", u(13, "sample_id", "tpos", "dim"))
-    vec = S.stage_embedding_mean(tv, _intervals(spark, sf_dir))
+    vec = S.stage_embedding_mean(B.token_vectors(B.readings(spark, sf_dir)), _intervals(spark, sf_dir))
     return vec.select("sample_id", "stage", F.posexplode("vec").alias("dim", "m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glucoframe.operators import shape, stats
+from glucoframe.operators import shape, spectra, stats
 from glucoframe.plans.registry import query
 from glucoframe.sources import bindings as B
 
@@ -93,48 +93,100 @@ def q_acf(spark, sf_dir):
     return stats.acf(B.readings(spark, sf_dir), nlags=20)
 
 
-@query("welch_psd")
+def ks_p_sql(gap: str = "gap", na: str = "na", nb: str = "nb", stat: str = "ks_stat") -> str:
+    """p-value: exact up to na * nb = 1,000,000 by a recurrence over the diagonals of the lattice
+    of merged samples, asymptotic beyond."""
+    z = f"((sqrt({na} * {nb} / ({na} + {nb})) + 0.12 + 0.11 / sqrt({na} * {nb} / ({na} + {nb}))) * {stat})"
+    return f"""CASE WHEN {na} * {nb} > 1000000 THEN
+             CASE WHEN {z} <= 0 THEN 1.0 ELSE least(greatest(2.0 * list_sum(list_transform(range(1, 101),
+                lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * {z} * {z}))), 0.0), 1.0) END
+           WHEN {gap} <= 0 THEN 1.0
+           ELSE 1.0 - list_reduce(list_transform(range({na} + {nb}), lambda s: [CAST(s AS DOUBLE)]),
+             lambda acc, e: list_transform(acc, lambda x, i:
+               CASE WHEN abs((i - 1) * {nb} - (e[1] + 2 - i) * {na}) >= {gap} THEN 0.0
+               ELSE (x * ({nb} - e[1] + i - 1) + coalesce(acc[i - 1], 0.0) * ({na} - i + 2)) / ({na} + {nb} - e[1]) END),
+             list_transform(range({na} + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))[{na} + 1] END"""
+
+
+def ks_sql(values: str, key: str | None = None) -> str:
+    """KS of the CTE ``values`` (key, v, ta): ta tells the first sample."""
+    k = f"{key}, " if key else ""
+    part = f"PARTITION BY {key} " if key else ""
+    same = f"USING ({key})" if key else "ON true"
+    return f"""
+    cnt AS (SELECT {k}v, count(*) FILTER (WHERE ta) AS ca, count(*) FILTER (WHERE NOT ta) AS cb FROM {values} GROUP BY {k}v),
+    tot AS (SELECT {k}CAST(sum(ca) AS BIGINT) AS na, CAST(sum(cb) AS BIGINT) AS nb FROM cnt GROUP BY ALL),
+    cum AS (SELECT {k}v, sum(ca) OVER ({part}ORDER BY v ROWS UNBOUNDED PRECEDING) AS ra,
+                   sum(cb) OVER ({part}ORDER BY v ROWS UNBOUNDED PRECEDING) AS rb FROM cnt),
+    d AS (SELECT {k}na, nb, max(abs(ra / na - rb / nb)) AS ks_stat, CAST(max(abs(ra * nb - rb * na)) AS BIGINT) AS gap
+          FROM cum JOIN tot {same} WHERE na > 0 AND nb > 0 GROUP BY ALL)
+    SELECT {k}na, nb, ks_stat, {ks_p_sql()} AS p_value, na * nb <= 1000000 AS exact FROM d"""
+
+
+def welch_sql(series: str, nperseg: int, by: str = "sample_id") -> str:
+    """CTEs ending in psd (by, k, seg, psd) of a CTE ``series`` (by, t, n, value)."""
+    return f"""
+    seg AS (SELECT *, least({nperseg}, n) AS seg, least({nperseg}, n) - least({nperseg}, n) // 2 AS step FROM {series}),
+    part AS (SELECT * FROM (SELECT *, unnest(range(0, (n - seg) // step + 1)) AS part FROM seg)
+             WHERE t >= part * step AND t < part * step + seg),
+    win AS (SELECT {by}, part, seg, t - part * step AS u,
+                   (value - avg(value) OVER (PARTITION BY {by}, part))
+                   * CASE WHEN seg = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * (t - part * step) / seg) END AS x FROM part),
+    freq AS (SELECT *, unnest(range(0, seg // 2 + 1)) AS k FROM win),
+    trans AS (SELECT {by}, part, k, seg, sum(x * cos(2 * pi() * ((k * u) % seg) / seg)) AS re,
+                     sum(x * sin(2 * pi() * ((k * u) % seg) / seg)) AS im FROM freq GROUP BY ALL),
+    psd AS (SELECT {by}, k, seg, avg((re * re + im * im) * CASE WHEN k = 0 OR 2 * k = seg THEN 1 ELSE 2 END
+                   / CASE WHEN seg <= 2 THEN 1.0 ELSE 0.375 * seg END) AS psd FROM trans GROUP BY ALL)"""
+
+
+_ORDERED = """SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS t,
+               count(*) OVER (PARTITION BY sample_id) AS n, value FROM month_series"""
+
+
+@query("welch_psd", f"""
+    WITH s AS ({_ORDERED}),{welch_sql("s", 32)}
+    SELECT sample_id, CAST(k AS INTEGER) AS k, k / seg AS freq, round(psd, 3) AS psd FROM psd""",
+       views=("month_series",), round_cols=["freq", "psd"])
 def q_welch_psd(spark, sf_dir):
-    """Welch power spectrum per series (numpy in Arrow batches; rows-only check)."""
-    arr = shape.to_array(B.readings(spark, sf_dir), "sample_id")
-    return stats.welch_psd(arr)
+    """Welch power spectrum of each person's month, segments of 32 blocks."""
+    p = spectra.welch_psd(B.month_series(spark, sf_dir), nperseg=32)
+    return p.select("sample_id", "k", "freq", (F.round(F.col("psd") * 1000.0, 0) / 1000.0).alias("psd"))
 
 
 @query("adf_stat")
 def q_adf_stat(spark, sf_dir):
-    """A10: ADF statistic per series (numpy least squares in Arrow batches; rows-only check)."""
-    arr = shape.to_array(B.readings(spark, sf_dir), "sample_id")
-    return stats.adf_stat(arr)
+    """A10: ADF statistic, p-value and lag of each person's month (all series of a batch in one
+    orthogonalisation; rows-only check here, values in the unit tests)."""
+    return spectra.adf_test(B.month_series(spark, sf_dir))
 
 
-def _ks_sql(v: str) -> str:
-    return f"""
-    WITH s AS (SELECT r.sample_id, round(avg(r.value), 6) AS v, max(l.fold) = 0 AS ta
-               FROM readings r JOIN sample_labels l ON r.sample_id = l.sample_id GROUP BY 1),
-    cnt AS (SELECT v, count(*) FILTER (WHERE ta) AS ca, count(*) FILTER (WHERE NOT ta) AS cb FROM s GROUP BY v),
-    tot AS (SELECT sum(ca) AS na, sum(cb) AS nb FROM cnt),
-    cum AS (SELECT v, sum(ca) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS ra,
-                   sum(cb) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS rb FROM cnt),
-    d AS (SELECT CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, max(abs(ra / na - rb / nb)) AS ks_stat
-          FROM cum, tot GROUP BY na, nb),
-    z AS (SELECT *, (sqrt(na * nb / (na + nb)) + 0.12 + 0.11 / sqrt(na * nb / (na + nb))) * ks_stat AS z FROM d)
-    SELECT na, nb, ks_stat,
-           CASE WHEN z <= 0 THEN 1.0 ELSE least(greatest(2.0 * list_sum(list_transform(range(1, 101),
-                lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * z * z))), 0.0), 1.0)
-           END AS p_value
-    FROM z"""
-
-
-@query("ks_two_sample", _ks_sql("mean"), views=("readings", "sample_labels"),
-       round_cols=["ks_stat", "p_value"])
+_FOLD_MEANS = """
+    WITH s AS (SELECT round(avg(r.value), 6) AS v, max(l.fold) = 0 AS ta, max(types) AS types
+               FROM readings r JOIN sample_labels l ON r.sample_id = l.sample_id GROUP BY r.sample_id),"""
+
+
+def _fold_means(spark, sf_dir):
+    lab = B.sample_labels(spark, sf_dir).select("sample_id", "fold", "types")
+    return stats.series_moments(B.readings(spark, sf_dir)).join(lab, "sample_id").select(
+        F.round("mean", 6).alias("value"), "fold", "types")
+
+
+@query("ks_two_sample", _FOLD_MEANS + ks_sql("s"), views=("readings", "sample_labels"), round_cols=["ks_stat", "p_value"])
 def q_ks_two_sample(spark, sf_dir):
-    """KS statistic and asymptotic p-value between per-series means of fold 0 and the rest."""
-    rd = B.readings(spark, sf_dir)
-    lab = B.sample_labels(spark, sf_dir).select("sample_id", "fold")
-    m = stats.series_moments(rd).join(lab, "sample_id").select(
-        F.round("mean", 6).alias("value"), "fold")
-    return stats.ks_two_sample(m.filter("fold = 0"), m.filter("fold <> 0")).select(
-        "na", "nb", "ks_stat", "p_value")
+    """KS statistic and p-value between per-series means of fold 0 and the rest."""
+    m = _fold_means(spark, sf_dir)
+    return stats.ks_two_sample(m.filter("fold = 0"), m.filter("fold <> 0"))
+
+
+@query("ks_exact_by_class", """
+    WITH s AS (SELECT types, round(avg(value), 6) AS v, max(fold) = 0 AS ta
+               FROM events e JOIN persons p ON p.person = e.user_id GROUP BY user_id, types),""" + ks_sql("s", "types"),
+       views=("persons",), round_cols=["ks_stat", "p_value"])
+def q_ks_exact_by_class(spark, sf_dir):
+    """Exact p-values: per class, persons' mean values of fold 0 against the rest."""
+    means = (B.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("person")).agg(F.round(F.avg("value"), 6).alias("value"))
+             .join(B.persons(spark, sf_dir), "person"))
+    return stats.ks_two_sample(means.filter("fold = 0"), means.filter("fold <> 0"), by="types")
 
 
 @query("hstack", """

@@ -84,6 +84,23 @@ def q_stream_sessions(spark, sf_dir):
                       "n", "mean_value")
 
 
+@query("stream_wear_sessions", f"""
+    WITH mx AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events),
+    e AS (SELECT user_id AS person, ts, value,
+                 CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk
+          FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(brk) OVER (PARTITION BY person ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e),
+    g AS (SELECT person, min(ts) AS st, max(ts) + INTERVAL 30 MINUTE AS en, count(*) AS n, avg(value) AS mean_value,
+                 CAST(count_if(value <= 70) AS BIGINT) AS n_low
+          FROM s GROUP BY person, sid)
+    SELECT person, strftime(st, {_TSU}) AS start, strftime(en, {_TSU}) AS "end", n, mean_value, n_low
+    FROM g, mx WHERE en <= wm""", round_cols=["mean_value"])
+def q_stream_wear_sessions(spark, sf_dir):
+    """T4 with own state (transformWithState, event-time timers, RocksDB): wear periods and low readings."""
+    out, _ = T.run_available_now(T.stream_wear_sessions(T.event_stream(spark, sf_dir)), "wear", sink="batches")
+    return out.select("person", _fmt("start", True).alias("start"), _fmt("end", True).alias("end"), "n", "mean_value", "n_low")
+
+
 @query("stream_meal_features", """
     SELECT m.event_id AS meal_id, m.user_id AS person, r.event_id AS reading_id, r.value,
            (epoch(r.ts) - epoch(m.ts)) / 60.0 AS offset_min

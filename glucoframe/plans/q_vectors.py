@@ -18,9 +18,7 @@ LABELS = [f"L{i}" for i in range(10)]
 
 
 def _token_vecs(spark, sf_dir):
-    w = B.attention_weights(B.readings(spark, sf_dir)).filter("layer = 0 AND head = 0")
-    tv = w.select("sample_id", "tpos", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("dim"))
-    return tv.withColumn("x", u(13, "sample_id", "tpos", "dim"))
+    return B.token_vectors(B.readings(spark, sf_dir))
 
 
 _TV_SQL = f"""tv AS (SELECT sample_id, tpos, d AS dim, {u_sql(13, 'sample_id', 'tpos', 'd')} AS x
@@ -44,6 +42,20 @@ def q_sample_cls_pool(spark, sf_dir):
     return v.select("sample_id", F.posexplode("vec").alias("dim", "m"))
 
 
+@query("sample_two_layer_pool", f"""WITH {_TV_SQL},
+    tw AS (SELECT sample_id, tpos, d AS dim, {u_sql(14, 'sample_id', 'tpos', 'd')} AS x
+           FROM (SELECT sample_id, tpos FROM weights WHERE layer = 0 AND head = 0) p,
+                (SELECT CAST(range AS INTEGER) AS d FROM range(4)) ds)
+    SELECT sample_id, dim, avg(x) AS m FROM tv WHERE tpos > 0 GROUP BY 1, 2
+    UNION ALL SELECT sample_id, CAST(dim + 4 AS INTEGER), avg(x) FROM tw WHERE tpos > 0 GROUP BY 1, 2""",
+       views=("weights",), round_cols=["m"])
+def q_sample_two_layer_pool(spark, sf_dir):
+    """A20 (two layers): mean token vectors of two layers without <cls>, one after the other."""
+    rd = B.readings(spark, sf_dir)
+    v = V.two_layer_pool(B.token_vectors(rd), B.token_vectors(rd, seed=14), exclude_cls=True)
+    return v.select("sample_id", F.posexplode("vec").alias("dim", "m"))
+
+
 def _split(spark, sf_dir):
     v = B.vectors(spark, sf_dir)
     return v.filter(~F.col("is_ref")), v.filter("is_ref")
@@ -148,8 +160,7 @@ def _vec_sql(ws) -> str:
 def q_batch_score(spark, sf_dir):
     """A user model (here a linear scorer) applied in Arrow batches, id kept beside the score."""
     v = B.vectors(spark, sf_dir).select("vec_id", "vec")
-    return X.batch_score(v, _linear_factory, "vec_id long, score double", keep=["vec_id"],
-                         cache_key="linear-64")
+    return X.batch_score(v, _linear_factory, "vec_id long, score double", "linear-64", keep=["vec_id"])
 
 
 def mlp_weights(dims=(64, 16, 8, 1)):
@@ -197,33 +208,63 @@ def q_severity_score(spark, sf_dir):
     return X.severity_score(v, mlp_weights(), decoder=MLP_DECODER).select("vec_id", "score", "t0", "t1", "t2")
 
 
-# ---- X3-X7 (Spark ML; rows-only checks) -----------------------------------------------------------
+# ---- X3-X7: predictions, and the statements that certify the fits --------------------------------------
+def _flags(d):
+    return d.withColumn("odd", (F.col("label") % 2 == 1).cast("int")).withColumn("high", (F.col("label") >= 5).cast("int"))
+
+
 @query("fit_classifier")
 def q_fit_classifier(spark, sf_dir):
     """Logistic regression on reference vectors, predictions for the targets."""
     t, r = _split(spark, sf_dir)
-    _, pred = X.fit_classifier(r, t, "label", max_iter=30)
+    _, pred = X.fit_classifier(r, t, "label")
     return pred.select("vec_id", F.col("label").cast("int").alias("label"),
                        F.col("prediction").cast("int").alias("prediction"))
 
 
+@query("fit_classifier_gradient", """
+    SELECT label AS name, CAST(dim AS INTEGER) AS dim, CAST(0.0 AS DOUBLE) AS gradient
+    FROM (SELECT DISTINCT label FROM vectors WHERE is_ref AND label IS NOT NULL), range(65) AS r(dim)""", views=("vectors",))
+def q_fit_classifier_gradient(spark, sf_dir):
+    """At the fitted weights the gradient of the penalised loss is zero in every class and dimension."""
+    _, r = _split(spark, sf_dir)
+    head, _ = X.fit_classifier(r, r, "label")
+    return X.classifier_gradient(r, head, "label")
+
+
 @query("fit_regressor")
 def q_fit_regressor(spark, sf_dir):
     """Linear regression of the label value on the vectors."""
     t, r = _split(spark, sf_dir)
-    _, pred = X.fit_regressor(r, t, "label", max_iter=30)
+    _, pred = X.fit_regressor(r, t, "label")
     return pred.select("vec_id", F.col("label").cast("double").alias("y"), F.col("prediction").alias("p"))
 
 
+@query("fit_regressor_gradient", """
+    SELECT 'label' AS name, CAST(dim AS INTEGER) AS dim, CAST(0.0 AS DOUBLE) AS gradient
+    FROM range(65) AS r(dim) WHERE EXISTS (FROM vectors WHERE is_ref)""", views=("vectors",))
+def q_fit_regressor_gradient(spark, sf_dir):
+    """The residuals are orthogonal to every dimension of the inputs and to the constant."""
+    _, r = _split(spark, sf_dir)
+    head, _ = X.fit_regressor(r, r, "label")
+    return X.regressor_gradient(r, head)
+
+
 @query("fit_multilabel")
 def q_fit_multilabel(spark, sf_dir):
-    """Two independent sigmoid heads (label odd, label >= 5)."""
+    """Two independent sigmoid heads (label odd, label >= 5), fitted in the same passes."""
     t, r = _split(spark, sf_dir)
+    return X.fit_multilabel(_flags(r), _flags(t), ["odd", "high"], "vec_id")[1]
+
 
-    def flags(d):
-        return d.withColumn("odd", (F.col("label") % 2 == 1).cast("int")).withColumn(
-            "high", (F.col("label") >= 5).cast("int"))
-    return X.fit_multilabel(flags(r), flags(t), ["odd", "high"], "vec_id", max_iter=30)
+@query("fit_multilabel_gradient", """
+    SELECT name, CAST(dim AS INTEGER) AS dim, CAST(0.0 AS DOUBLE) AS gradient
+    FROM (SELECT unnest(['odd', 'high']) AS name), range(65) AS r(dim) WHERE EXISTS (FROM vectors WHERE is_ref)""", views=("vectors",))
+def q_fit_multilabel_gradient(spark, sf_dir):
+    """The gradient of each label's loss is zero in every dimension."""
+    _, r = _split(spark, sf_dir)
+    head, _ = X.fit_multilabel(_flags(r), _flags(r), ["odd", "high"], "vec_id")
+    return X.multilabel_gradient(_flags(r), head)
 
 
 @query("kmeans")
@@ -232,6 +273,13 @@ def q_kmeans(spark, sf_dir):
     return X.kmeans(B.vectors(spark, sf_dir).select("vec_id", "vec"), 10).select("vec_id", "cluster")
 
 
+@query("kmeans_nearest", "SELECT vec_id, false AS violated FROM vectors", views=("vectors",))
+def q_kmeans_nearest(spark, sf_dir):
+    """No vector is nearer to the mean of another cluster than to that of its own."""
+    c = X.kmeans(B.vectors(spark, sf_dir).select("vec_id", "vec"), 10)
+    return X.nearer_means(c).select("vec_id", "violated")
+
+
 @query("pca")
 def q_pca(spark, sf_dir):
     """First 8 principal components of all vectors (long output)."""
@@ -239,6 +287,25 @@ def q_pca(spark, sf_dir):
     return p.select("vec_id", F.posexplode("pcs").alias("k", "pc"))
 
 
+@query("pca_covariance", """
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(0.0 AS DOUBLE) AS off_diagonal, i = j AS spread
+    FROM range(8) AS a(i), range(8) AS b(j) WHERE i <= j AND EXISTS (FROM vectors)""", views=("vectors",))
+def q_pca_covariance(spark, sf_dir):
+    """Coordinates along different axes have no covariance; each has a variance."""
+    c = X.covariance(X.pca(B.vectors(spark, sf_dir).select("vec_id", "vec"), 8), "pcs")
+    off = F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(F.col("cov"))
+    return c.select("i", "j", off.alias("off_diagonal"), (F.abs("cov") > 1e-9).alias("spread"))
+
+
+@query("pca_variances", """
+    WITH v AS (SELECT vec_id, unnest(range(64)) AS i, unnest(vec) AS a FROM vectors)
+    SELECT sum(var) AS total FROM (SELECT i, var_pop(a) AS var FROM v GROUP BY i)""", views=("vectors",), round_cols=["total"])
+def q_pca_variances(spark, sf_dir):
+    """Along all 64 axes the variances add up to those of the vectors' own coordinates."""
+    c = X.covariance(X.pca(B.vectors(spark, sf_dir).select("vec_id", "vec"), 64), "pcs")
+    return c.where("i = j").agg(F.sum("cov").alias("total"))
+
+
 # ---- J1 / J2 -------------------------------------------------------------------------------------
 @query("align", f"""
     WITH {_TV_SQL}, v AS (SELECT sample_id, avg(x) AS m0 FROM tv WHERE dim = 0 GROUP BY 1)

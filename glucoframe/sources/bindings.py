@@ -47,6 +47,16 @@ def readings_15min(rd: DataFrame) -> DataFrame:
             .agg(F.avg("value").alias("value")))
 
 
+def month_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person, sample_id, pos, value): a person's month as one series of three-hour blocks
+    (248 at most; sample_id = "<user>_<yyyy-mm>"), dense enough for spectra and unit-root tests."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    pos = ((F.dayofmonth("ts") - 1) * 8 + F.floor(F.hour("ts") / 3)).cast("int")
+    g = ev.groupBy(F.col("user_id").alias("person"), F.date_format("ts", "yyyy-MM").alias("month"), pos.alias("pos")).agg(
+        F.avg("value").alias("value"))
+    return g.select("person", F.concat_ws("_", F.col("person").cast("string"), "month").alias("sample_id"), "pos", "value")
+
+
 def person_labels(person: F.Column) -> dict:
     """Label columns of a person: class, HbA1c target (some missing), filled flag, fold."""
     types = (F.when(person % 3 == 0, F.lit(CLASSES[0]))
@@ -85,17 +95,29 @@ def slot_states(rd: DataFrame, delta: float = 5.0) -> DataFrame:
                      F.when(d > delta, "Up").when(d < -delta, "Down").otherwise("N").alias("state"))
 
 
+def token_positions(rd: DataFrame) -> DataFrame:
+    """(sample_id, tpos): <cls> at 0 and every reading at pos + 1. The rows lie by sample: only
+    (sample, position) pairs are shuffled, and what is derived from them per layer, head or
+    dimension stays where the sample is."""
+    days = rd.groupBy("sample_id").agg(F.collect_list(F.col("pos") + 1).alias("_t"))
+    return days.select("sample_id", F.explode(F.concat(F.array(F.lit(0)), "_t")).alias("tpos"))
+
+
 def attention_weights(rd: DataFrame, layers: int = 4, heads: int = 2) -> DataFrame:
     """(sample_id, tpos, layer, head, w): a weight at <cls> (tpos 0) and at every reading (pos + 1)."""
-    cls = rd.select("sample_id").distinct().withColumn("tpos", F.lit(0))
-    pos = rd.select("sample_id", (F.col("pos") + 1).alias("tpos")).unionByName(cls)
     k = F.explode(F.sequence(F.lit(0), F.lit(layers * heads - 1))).alias("k")
-    p = pos.select("sample_id", "tpos", k)
+    p = token_positions(rd).select("sample_id", "tpos", k)
     p = p.select("sample_id", "tpos", (F.col("k") / heads).cast("int").alias("layer"),
                  (F.col("k") % heads).cast("int").alias("head"))
     return p.withColumn("w", u(11, "sample_id", "tpos", "layer", "head"))
 
 
+def token_vectors(rd: DataFrame, width: int = 4, seed: int = 13) -> DataFrame:
+    """(sample_id, tpos, vec): a vector of hash noise at every token position."""
+    vec = F.array(*[u(seed, "sample_id", "tpos", F.lit(d)) for d in range(width)])
+    return token_positions(rd).withColumn("vec", vec)
+
+
 def meal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person, sample_id, meal_id, slot): purchases are meals."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
@@ -246,6 +268,10 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         SELECT person, sample_id, pos, value FROM (
           SELECT user_id AS person, {_SAMPLE_KEY} AS sample_id, {_SLOT} AS pos, avg(value) AS value
           FROM events GROUP BY 1, 2, 3) t""", ()),
+    "month_series": ("""
+        SELECT user_id AS person, CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y-%m') AS sample_id,
+               CAST((day(ts) - 1) * 8 + hour(ts) // 3 AS INTEGER) AS pos, avg(value) AS value
+        FROM events GROUP BY 1, 2, 3""", ()),
     "sample_labels": (f"""
         SELECT sample_id, person AS p_id,
                CASE WHEN person % 3 = 0 THEN 'NGT' WHEN person % 3 = 1 THEN 'IGR' ELSE 'T2D' END AS types,

@@ -1,8 +1,9 @@
 """Structured Streaming twins of batch operators.
 
 Streams read a file source (new parquet files of readings events), keep event
-time as TIMESTAMP with a watermark, and write with append mode to a parquet
-sink in the shared checkpoint folder (never to driver memory). In append mode
+time as TIMESTAMP with a watermark, and write with append mode to parquet below a folder that the
+caller names, with the checkpoint beside it: a query that is started again goes on where it ended
+or died. State lies in RocksDB, never in driver memory. In append mode
 a window is emitted once the watermark passes its end, so at any time the
 sink holds exactly the closed windows; rows later than the watermark are
 dropped by Spark and counted in the query progress (``late_rows``).
@@ -11,10 +12,16 @@ dropped by Spark and counted in the query progress (``late_rows``).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from glucoframe.functions.glucose import HIGH, LOW, encode_value, slot_of
 from glucoframe.session import ensure_checkpoint_dir
@@ -31,16 +38,64 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events",
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available_now(df: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
-    """Process everything available, append to a parquet sink in the shared folder,
-    and return (batch view of the sink, finished query)."""
+#: state in RocksDB on the executor's disk and snapshots in the checkpoint, not on the JVM heap
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries that start here keep their state in RocksDB (a query's checkpoint remembers it)."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def write_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink: each micro-batch is one folder named by its id, and one that is
+    delivered again (the query died before it was committed) replaces its folder as a whole."""
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return write
+
+
+def start(df: DataFrame, root: str, sink: str = "files") -> StreamingQuery:
+    """Start (or go on with) the query whose checkpoint and output lie below ``root``: everything
+    available, then end. ``sink``: "files" (Spark's own file sink, which logs what is committed)
+    or "batches" (:func:`write_batch`); both leave every row once."""
+    with rocksdb_state(df.sparkSession):
+        w = df.writeStream.outputMode("append").option("checkpointLocation", f"{root}/chk").trigger(availableNow=True)
+        if sink == "batches":
+            return w.foreachBatch(write_batch(f"{root}/data")).start()
+        return w.format("parquet").option("path", f"{root}/data").start()
+
+
+def output(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """What the query below ``root`` has put out so far."""
+    if not exists(spark, f"{root}/data"):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(f"{root}/data")
+    return rows.select(*[f.name for f in schema.fields])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def run_available_now(df: DataFrame, name: str, root: str | None = None, sink: str = "files") -> tuple[DataFrame, StreamingQuery]:
+    """Process everything available and return (batch view of the output, finished query).
+
+    With ``root``, a folder that all executors share, the query can be called again and goes on
+    where it ended, or died; without it a folder of this run is made in the checkpoint folder."""
     spark = df.sparkSession
-    root = f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
-    q = (df.writeStream.format("parquet").outputMode("append")
-         .option("path", f"{root}/data").option("checkpointLocation", f"{root}/chk")
-         .trigger(availableNow=True).start())
+    root = root or f"{ensure_checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    q = start(df, root, sink)
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/data"), q
+    return output(spark, root, df.schema), q
 
 
 def late_rows(q: StreamingQuery) -> int:
@@ -91,15 +146,102 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", watermark: str =
     return g.select("person", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "mean_value")
 
 
+class WearSessions(StatefulProcessor):
+    """Open wear periods of one person, held as state until the watermark passes their end.
+
+    Readings are folded into sessions a batch at a time; what is kept is one small row per open
+    session, however many readings it has. An event-time timer at a session's end emits it."""
+
+    STATE = "first long, last long, n long, total double, low long"
+    OUT = "person long, start timestamp, end timestamp, n long, mean_value double, n_low long"
+
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", self.STATE)
+
+    def _folded(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Sessions (first, last, n, total, low) that touch become one."""
+        s = np.concatenate(parts)
+        s = s[np.argsort(s[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(s[:, 1])
+        begin = np.r_[True, s[1:, 0] >= reach[:-1] + self.gap_us]
+        at = np.flatnonzero(begin)
+        ends = np.maximum.reduceat(s[:, 1], at)
+        return np.column_stack([s[at, 0], ends, *(np.add.reduceat(s[:, k], at) for k in (2, 3, 4))])
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [np.array([list(r)], object) for r in self.open.get()]
+        parts = held
+        for pdf in rows:
+            us = pdf["us"].to_numpy().astype(object)
+            v = pdf["value"].to_numpy(np.float64)
+            ok = ~np.isnan(v)
+            new = np.column_stack([us, us, ok.astype(int).astype(object), np.where(ok, v, 0.0).astype(object), (ok & (v <= LOW)).astype(int).astype(object)])
+            # null readings are no wear
+            new = new[ok]
+            if len(new):
+                parts = [self._folded([*parts, new])]
+        if parts is held:
+            return
+        sessions = parts[0]
+        self.open.put([(int(a), int(b), int(n), float(t), int(low)) for a, b, n, t, low in sessions])
+        known = set(self.handle.listTimers())
+        wanted = {self._due(b) for b in sessions[:, 1]}
+        for t in known - wanted:
+            self.handle.deleteTimer(t)
+        for t in wanted - known:
+            self.handle.registerTimer(t)
+        return
+        yield  # a generator without rows
+
+    def _due(self, last: int) -> int:
+        return -(-(int(last) + self.gap_us) // 1000)  # milliseconds, not before the end
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        held = list(self.open.get())
+        done = [r for r in held if self._due(r[1]) <= due]
+        left = [tuple(r) for r in held if self._due(r[1]) > due]
+        self.open.put(left) if left else self.open.clear()
+        if done:
+            at = lambda us: pd.to_datetime(np.array(us, np.int64), unit="us")
+            yield pd.DataFrame({"person": [key[0]] * len(done), "start": at([r[0] for r in done]), "end": at([r[1] + self.gap_us for r in done]),
+                                "n": [r[2] for r in done], "mean_value": [r[3] / r[2] for r in done], "n_low": [r[4] for r in done]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_wear_sessions(stream: DataFrame, gap_minutes: int = 30, watermark: str = "1 hour") -> DataFrame:
+    """T4 with state of its own: wear periods with their number of low readings, each put out once,
+    when the watermark passes its end. Null readings do not count as wear."""
+    rows = (stream.withWatermark("ts", watermark)
+            .select(F.col("user_id").alias("person"), "ts", F.unix_micros("ts").alias("us"), "value"))
+    return rows.groupBy("person").transformWithStateInPandas(
+        WearSessions(gap_minutes * 60 * 1_000_000), WearSessions.OUT, "append", "EventTime")
+
+
 def stream_meal_features(meals: DataFrame, readings: DataFrame, before: str = "20 minutes",
-                         after: str = "40 minutes", watermark: str = "1 hour") -> DataFrame:
+                         after: str = "40 minutes", watermark: str = "1 hour", block: str = "2 hours") -> DataFrame:
     """T5: readings of the same person from ``before`` a meal to ``after`` it
-    (stream-stream interval join; the watermarks on both sides bound the join state)."""
+    (stream-stream interval join; the watermarks on both sides bound the join state).
+
+    State is keyed by person and time block, so a very active person's state is spread over the
+    partitions: a meal lies in one block, a reading is handed to every block (two at most, if a
+    block is as long as ``before`` and ``after`` together) in which a meal could meet it.
+    """
+    span = F.expr(f"INTERVAL {block}")
+    number = lambda ts: F.floor(F.unix_micros(ts) / F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp") + span))
     m = meals.select(F.col("event_id").alias("meal_id"), F.col("user_id").alias("m_person"),
-                     F.col("ts").alias("m_ts")).withWatermark("m_ts", watermark)
+                     F.col("ts").alias("m_ts"), number(F.col("ts")).alias("m_block")).withWatermark("m_ts", watermark)
     r = readings.select(F.col("event_id").alias("reading_id"), F.col("user_id").alias("r_person"),
-                        F.col("ts").alias("r_ts"), "value").withWatermark("r_ts", watermark)
-    cond = ((F.col("m_person") == F.col("r_person"))
+                        F.col("ts").alias("r_ts"), "value",
+                        F.explode(F.sequence(number(F.col("ts") - F.expr(f"INTERVAL {after}")),
+                                             number(F.col("ts") + F.expr(f"INTERVAL {before}")))).alias("r_block")).withWatermark("r_ts", watermark)
+    cond = ((F.col("m_person") == F.col("r_person")) & (F.col("m_block") == F.col("r_block"))
             & (F.col("r_ts") >= F.col("m_ts") - F.expr(f"INTERVAL {before}"))
             & (F.col("r_ts") <= F.col("m_ts") + F.expr(f"INTERVAL {after}")))
     j = m.join(r, cond, "inner")

@@ -38,12 +38,6 @@ def test_ks_matches_brute_force(spark):
     assert math.isclose(r.ks_stat, ref, rel_tol=1e-12) and 0.0 <= r.p_value <= 1.0
 
 
-def test_welch_constant_and_sine():
-    f, p = stats._welch(np.sin(2 * np.pi * 0.1 * np.arange(256)))
-    assert abs(f[np.argmax(p)] - 0.1) < 0.01
-    f, p = stats._welch(np.ones(50))
-    assert np.allclose(p, 0)
-
 
 def test_segments_intervals_clamp_and_empty(spark):
     ts = spark.createDataFrame([("s", 0, 10, 36, 96, 5, 29, None, None, 200, 224)],
