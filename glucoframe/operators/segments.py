@@ -70,52 +70,57 @@ def segment_join(long: DataFrame, intervals: DataFrame, sample: str = "sample_id
     return long.join(iv, cond, "inner").drop("_s")
 
 
-def prefix_arrays(long: DataFrame, keys: Sequence[str], value: str, pos: str = "pos", out: str = "prefix") -> DataFrame:
-    """One row per ``keys``: the positions in order, each with the number and the sum of the values up
-    to and including it, as an array of (p, c, s). Null values are left out.
+def running_totals(long: DataFrame, keys: Sequence[str], value: str, pos: str = "pos", length: int = DAY_SLOTS) -> DataFrame:
+    """One row per ``keys``: ``totals``, the positions p in order, each with the number c and the sum s of
+    the values up to and including it. Null values are left out; positions lie in 0..length - 1,
+    others raise.
 
-    A running sum over the group's bounded positions, then one collect on the same keys: nothing
-    is shuffled where the input already lies by a part of the keys."""
+    A running sum over the group's bounded positions and one collect on the same keys: nothing is
+    shuffled where the input already lies by a part of the keys."""
     w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    summed = long.select(*keys, F.col(pos).alias("_p"), F.count(value).over(w).alias("_c"), F.sum(value).over(w).alias("_s"))
-    return summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("_p").alias("p"), F.col("_c").alias("c"), F.coalesce("_s", F.lit(0.0)).cast("double").alias("s")))).alias(out))
+    at = F.when((F.col(pos) >= 0) & (F.col(pos) < length), F.col(pos).cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("position out of range: "), F.col(pos).cast("string"))).cast("int"))
+    summed = long.where(F.col(pos).isNotNull()).select(
+        *keys, at.alias("p"), F.count(value).over(w).alias("c"), F.coalesce(F.sum(value).over(w), F.lit(0.0)).cast("double").alias("s"))
+    return summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("p", "c", "s"))).alias("totals"))
 
 
-def prefix_before(prefix: Column, bound: Column, length: int = DAY_SLOTS + 1) -> Column:
-    """(c, s) of all positions below ``bound``: a binary search in an array of at most ``length``
-    entries, made by :func:`prefix_arrays`."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(length.bit_length()))])
-    n = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(
-        (lo + step <= F.size(prefix)) & (F.get(prefix, lo + step - 1)["p"] < bound), lo + step).otherwise(lo))
-    last = F.get(prefix, n - 1)
-    return F.struct(F.coalesce(last["c"], F.lit(0).cast("long")).alias("c"), F.coalesce(last["s"], F.lit(0.0)).alias("s"))
+def prefix_array(part: str, totals: str = "totals", length: int = DAY_SLOTS) -> Column:
+    """``length`` + 1 entries: entry b is the number (``part`` "c") or sum ("s") of the values at positions
+    below b. Each position's total is repeated up to the next."""
+    r = F.col(totals)
+    runs = F.transform(r, lambda e, i: F.array_repeat(e[part], F.coalesce(F.get(r, i + 1)["p"], F.lit(length)) - e["p"]))
+    zero = F.lit(0).cast("long") if part == "c" else F.lit(0.0)
+    return F.concat(F.array_repeat(zero, F.get(r, F.lit(0))["p"] + 1), F.flatten(runs))
 
 
 def mean_in_segment(long: DataFrame, intervals: DataFrame, value: str, group: Sequence[str] = (),
                     sample: str = "sample_id", pos: str = "pos", empty: float | None = 0.0,
-                    length: int = DAY_SLOTS + 1) -> DataFrame:
+                    length: int = DAY_SLOTS) -> DataFrame:
     """Mean of ``value`` inside each stage per (sample, group..., stage).
 
-    Each (sample, group) becomes one prefix-sum array; an interval is the difference of two
-    look-ups in it, so no row meets an interval, and a position counts once per interval holding it.
+    Each (sample, group) becomes a pair of prefix arrays; an interval is the difference of two
+    look-ups in them, so no row meets an interval, and a position counts once per interval holding it.
     Every (sample, group) gets a row for each stage the sample has; a stage without positions
-    averages to ``empty`` (Q10: 0.0; None keeps null). At most ``length`` positions per array.
+    averages to ``empty`` (Q10: 0.0; None keeps null). Positions lie in 0..length - 1.
 
     Plan: the intervals are one array per sample (at most eight). A semi join with their samples
     brings the rows together by sample, if they are not already, and the rest stays there.
     """
     g = list(group)
-    mine = intervals.groupBy(sample).agg(F.collect_list(F.struct("stage", "lo", "hi")).alias("_iv"))
-    rows = long.join(mine.select(sample), sample, "left_semi")
-    arrays = prefix_arrays(rows, [sample, *g], value, pos, "_prefix").join(mine, sample)
-    spans = F.transform("_iv", lambda i: F.struct(
-        i["stage"].alias("stage"), prefix_before(F.col("_prefix"), i["lo"], length).alias("a"),
-        # an interval that ends before it starts is empty
-        prefix_before(F.col("_prefix"), F.greatest(i["lo"], i["hi"]), length).alias("b")))
-    sums = arrays.select(sample, *g, F.inline(spans))
-    out = sums.groupBy(sample, *g, "stage").agg(
-        F.try_divide(F.sum(F.col("b.s") - F.col("a.s")), F.sum(F.col("b.c") - F.col("a.c"))).alias("mean"))
+    inside = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(length)).cast("int")
+    ends = F.struct("stage", inside(F.col("lo")).alias("lo"), inside(F.greatest("lo", "hi")).alias("hi"))
+    mine = intervals.groupBy(sample).agg(F.collect_list(ends).alias("_iv"))
+    # hashed per partition, on the small side: both sides lie by sample, none is broadcast
+    rows = long.join(mine.select(sample).hint("shuffle_hash"), sample, "left_semi")
+    totals = running_totals(rows, [sample, *g], value, pos, length).join(mine.hint("shuffle_hash"), sample)
+    # the arrays live inside this projection only
+    both = F.array(F.struct(prefix_array("s", length=length).alias("s"), prefix_array("c", length=length).alias("c")))
+    spans = F.flatten(F.transform(both, lambda a: F.transform("_iv", lambda i: F.struct(
+        i["stage"].alias("stage"), (F.get(a["s"], i["hi"]) - F.get(a["s"], i["lo"])).alias("s"),
+        (F.get(a["c"], i["hi"]) - F.get(a["c"], i["lo"])).alias("c")))))
+    sums = totals.select(sample, *g, F.inline(spans))
+    out = sums.groupBy(sample, *g, "stage").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("mean"))
     if empty is not None:
         out = out.withColumn("mean", F.coalesce(F.col("mean"), F.lit(float(empty))))
     return out

@@ -1,8 +1,8 @@
 """Exact order statistics of many keys at once, by radix steps over the bits of a double.
 
 A value's bits become a long of the same order. Each step counts the values of every key by the
-next 11 bits under the prefix chosen so far (a grouped count, at most 2048 rows per key) and picks
-the bits that the wanted rank falls on; six steps settle all 64. No key's values ever meet in one
+next 16 bits under the prefix chosen so far (a grouped count, at most 65,536 rows per key) and picks
+the bits that the wanted rank falls on; four steps settle all 64. No key's values ever meet in one
 task, however many there are, and all keys move together. Values are counted once per (key, value)
 before, and each step reads these counts.
 """
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from glucoframe.functions.glucose import is_missing
 from glucoframe.operators.ranking import join_null_safe
 
-#: lowest bit of each step: 11 bits a step, 9 in the last
-SHIFTS = (53, 42, 31, 20, 9, 0)
+#: lowest bit of each step
+SHIFTS = (48, 32, 16, 0)
 
 
 def ordered_bits(x: Column) -> Column:
@@ -45,18 +45,26 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict
               .groupBy(*keys, "_bits").agg(F.count("*").alias("_c"), F.min("_v").alias("_v")))
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     targets = F.array(*[F.struct(F.lit(name).alias("_t"), r.cast("long").alias("_rank")) for name, r in ranks.items()])
-    state = n.select(*keys, F.inline(targets))
-    by = [*keys, "_t"]
-    w = Window.partitionBy(*by).orderBy("_next")
+    # one row per key and prefix, with the ranks wanted below it: the plan is a chain, each state used once
+    state = n.select(*keys, F.lit(0).cast("long").alias("_prefix"), targets.alias("_targets"))
+    w = Window.partitionBy(*keys, "_prefix").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts
     for i, shift in enumerate(SHIFTS):
-        rows = join_null_safe(counts, state.drop("_v"), keys)
-        if i:
-            rows = rows.where(F.shiftright("_bits", SHIFTS[i - 1]) == F.col("_prefix"))
-        hist = rows.groupBy(*by, "_rank", F.shiftright("_bits", shift).alias("_next")).agg(F.sum("_c").alias("_c"), F.min("_v").alias("_v"))
-        below = hist.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        hit = below.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
-        state = hit.select(*by, (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"), F.col("_next").alias("_prefix"), "_v")
-    return state.groupBy(*keys).agg(*[F.max(F.when(F.col("_t") == name, F.col("_v"))).alias(name) for name in ranks])
+        at = F.shiftright("_bits", SHIFTS[i - 1]) if i else F.lit(0).cast("long")
+        live = join_null_safe(rows.withColumn("_prefix", at), state, [*keys, "_prefix"])
+        if i == 2:  # 32 bits are settled: what is left of continuous values is a small part
+            rows = live.select(*keys, "_bits", "_c", "_v").repartition(*keys, "_bits")
+        hist = live.groupBy(*keys, "_prefix", F.shiftright("_bits", shift).alias("_next")).agg(
+            F.sum("_c").alias("_c"), F.min("_v").alias("_v"), F.first("_targets").alias("_targets"))
+        upto = F.col("_upto")
+        inside = F.filter("_targets", lambda t: (t["_rank"] < upto) & (t["_rank"] >= upto - F.col("_c")))
+        hit = hist.withColumn("_upto", F.sum("_c").over(w)).withColumn("_targets", F.transform(inside, lambda t: F.struct(
+            t["_t"].alias("_t"), (t["_rank"] - upto + F.col("_c")).alias("_rank"))))
+        state = hit.where(F.size("_targets") > 0).select(*keys, F.col("_next").alias("_prefix"), "_targets", F.col("_v").alias("_value"))
+        if i + 1 < len(SHIFTS):
+            state = state.drop("_value")
+    found = state.select(*keys, "_value", F.inline("_targets"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_t") == name, F.col("_value"))).alias(name) for name in ranks])
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:

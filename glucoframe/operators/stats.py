@@ -128,7 +128,7 @@ def acf(rd: DataFrame, nlags: int = 20, sample: str = "sample_id", pos: str = "p
 
 # ---- A11 / A12 ----------------------------------------------------------------------
 #: up to so large a product of the sample sizes the p-value is exact
-EXACT_UP_TO = 1_000_000
+EXACT_UP_TO = 100_000
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None, exact_up_to: int = EXACT_UP_TO) -> DataFrame:
@@ -156,7 +156,9 @@ def ks_two_sample(a: DataFrame, b: DataFrame, value: str = "value", by=None, exa
     few = F.col("na").cast("double") * F.col("nb") <= exact_up_to
     # the statistic is a multiple of 1 / (na * nb)
     steps = F.round(F.when(few, F.col("ks_stat") * F.col("na") * F.col("nb"))).cast("long")
-    p = F.when(few, ks_exact_p(steps, F.col("na"), F.col("nb"))).otherwise(kolmogorov_sf(z))
+    p = F.when(few, ks_exact_p(steps, F.least("na", "nb"), F.greatest("na", "nb"))).otherwise(kolmogorov_sf(z))
+    if keys:  # few and small rows, but each takes some time
+        d = d.repartition(a.sparkSession.sparkContext.defaultParallelism)
     return d.withColumn("p_value", p).withColumn("exact", few)
 
 

@@ -94,10 +94,10 @@ def q_acf(spark, sf_dir):
 
 
 def ks_p_sql(gap: str = "gap", na: str = "na", nb: str = "nb", stat: str = "ks_stat") -> str:
-    """p-value: exact up to na * nb = 1,000,000 by a recurrence over the diagonals of the lattice
+    """p-value: exact up to na * nb = 100,000 by a recurrence over the diagonals of the lattice
     of merged samples, asymptotic beyond."""
     z = f"((sqrt({na} * {nb} / ({na} + {nb})) + 0.12 + 0.11 / sqrt({na} * {nb} / ({na} + {nb}))) * {stat})"
-    return f"""CASE WHEN {na} * {nb} > 1000000 THEN
+    return f"""CASE WHEN {na} * {nb} > 100000 THEN
              CASE WHEN {z} <= 0 THEN 1.0 ELSE least(greatest(2.0 * list_sum(list_transform(range(1, 101),
                 lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * {z} * {z}))), 0.0), 1.0) END
            WHEN {gap} <= 0 THEN 1.0
@@ -120,7 +120,7 @@ def ks_sql(values: str, key: str | None = None) -> str:
                    sum(cb) OVER ({part}ORDER BY v ROWS UNBOUNDED PRECEDING) AS rb FROM cnt),
     d AS (SELECT {k}na, nb, max(abs(ra / na - rb / nb)) AS ks_stat, CAST(max(abs(ra * nb - rb * na)) AS BIGINT) AS gap
           FROM cum JOIN tot {same} WHERE na > 0 AND nb > 0 GROUP BY ALL)
-    SELECT {k}na, nb, ks_stat, {ks_p_sql()} AS p_value, na * nb <= 1000000 AS exact FROM d"""
+    SELECT {k}na, nb, ks_stat, {ks_p_sql()} AS p_value, na * nb <= 100000 AS exact FROM d"""
 
 
 def welch_sql(series: str, nperseg: int, by: str = "sample_id") -> str:

@@ -150,7 +150,7 @@ class WearSessions(StatefulProcessor):
     """Open wear periods of one person, held as state until the watermark passes their end.
 
     Readings are folded into sessions a batch at a time; what is kept is one small row per open
-    session, however many readings it has. An event-time timer at a session's end emits it."""
+    session, however many readings it has. An event-time timer at the next end emits what is due."""
 
     STATE = "first long, last long, n long, total double, low long"
     OUT = "person long, start timestamp, end timestamp, n long, mean_value double, n_low long"
@@ -188,12 +188,10 @@ class WearSessions(StatefulProcessor):
             return
         sessions = parts[0]
         self.open.put([(int(a), int(b), int(n), float(t), int(low)) for a, b, n, t, low in sessions])
-        known = set(self.handle.listTimers())
-        wanted = {self._due(b) for b in sessions[:, 1]}
-        for t in known - wanted:
+        # one timer at a time: the next end
+        for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        for t in wanted - known:
-            self.handle.registerTimer(t)
+        self.handle.registerTimer(self._due(sessions[:, 1].min()))
         return
         yield  # a generator without rows
 
@@ -201,11 +199,14 @@ class WearSessions(StatefulProcessor):
         return -(-(int(last) + self.gap_us) // 1000)  # milliseconds, not before the end
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        held = list(self.open.get())
-        done = [r for r in held if self._due(r[1]) <= due]
-        left = [tuple(r) for r in held if self._due(r[1]) > due]
-        self.open.put(left) if left else self.open.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.open.get()]
+        done, left = [r for r in held if self._due(r[1]) <= now], [r for r in held if self._due(r[1]) > now]
+        if left:
+            self.open.put(left)
+            self.handle.registerTimer(min(self._due(r[1]) for r in left))
+        else:
+            self.open.clear()
         if done:
             at = lambda us: pd.to_datetime(np.array(us, np.int64), unit="us")
             yield pd.DataFrame({"person": [key[0]] * len(done), "start": at([r[0] for r in done]), "end": at([r[1] + self.gap_us for r in done]),
