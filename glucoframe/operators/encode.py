@@ -7,8 +7,11 @@ value (longest length, gene factors) aggregate once and broadcast one row.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucoframe.functions.glucose import (CLIP_HI, CLIP_LO, CLS_ID, DAY_SLOTS, IGNORE_LABEL,
                                           MASK_ID, PAD_ID, clip_value, encode_value,
@@ -99,6 +102,30 @@ def bucket_array(arr, size: int = 10) -> Column:
     return F.transform(_c(arr), lambda x: F.when(~is_missing(x), F.floor((x - 30) / size).cast("int")))
 
 
+def rank_order(df: DataFrame, arr: str = "input_ids", out: str = "order") -> DataFrame:
+    """E10 for whole tables: ``out`` = stable argsort of each row's array, missing last in position
+    order, by one numpy sort per Arrow batch and array length (reverse it for the descending order)."""
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(arr)
+            offsets = lists.offsets.to_numpy()
+            size = np.diff(offsets)
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            order = np.empty(int(size.sum()), np.int32)
+            at = offsets - offsets[0]
+            for n in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == n)
+                x = flat[offsets[rows][:, None] + np.arange(n)]
+                # nan (missing) sorts last
+                order[at[rows][:, None] + np.arange(n)] = np.argsort(x, axis=1, kind="stable")
+            made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(order), mask=lists.is_null())
+            yield pa.RecordBatch.from_arrays([made if c == out else batch.column(c) for c in names], names)
+    return df.mapInArrow(run, schema)
+
+
 def rank_encode(arr, descending: bool = False) -> Column:
     """Stable argsort of each row (missing last); ``descending`` reverses the
     row's order (Q1: the reversal is inside the row, never across rows)."""
@@ -107,7 +134,7 @@ def rank_encode(arr, descending: bool = False) -> Column:
     present = F.filter(keyed, lambda s: ~is_missing(s["v"]))
     # only the present readings are sorted; missing positions follow in position order
     by_value = F.transform(F.array_sort(present), lambda s: s["i"])
-    order = F.concat(by_value, F.array_except(F.sequence(F.lit(0), F.size(a) - 1), by_value))
+    order = F.concat(by_value, F.array_except(F.transform(a, lambda x, i: i), by_value))
     return F.reverse(order) if descending else order
 
 

@@ -8,7 +8,9 @@ cost what they hold, not 288 slots.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glucoframe.functions.glucose import DAY_SLOTS
@@ -103,11 +105,32 @@ def shuffle(df: DataFrame, key: str, seed: int = 42, num_partitions: int | None
     return df.repartitionByRange(n, k, F.col(key)).sortWithinPartitions(k, F.col(key))
 
 
-def cv_splits(df: DataFrame, key: str, fold: str = "fold", n_folds: int = 5) -> DataFrame:
-    """One (train, test) split per fold: rows (k, key, is_train), is_train = fold <> k."""
-    out = df.select(key, fold, F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("k"))
-    return out.select(F.col("k").cast("int").alias("k"), key,
-                      (F.col(fold) != F.col("k")).alias("is_train"))
+def fold_columns(df: DataFrame, key: str, fold: str = "fold", n_folds: int = 5, prefix: str = "CV_") -> DataFrame:
+    """Boolean fold columns CV_1..CV_n (true: train) from one integer fold 0..n - 1."""
+    return df.select(key, *[(F.col(fold) != k).alias(f"{prefix}{k + 1}") for k in range(n_folds)])
+
+
+def cv_splits(seq: DataFrame, splits: DataFrame, key: str, folds: Sequence[str] | None = None) -> DataFrame:
+    """One train and one test set per boolean fold column of ``splits`` (all but ``key`` by default).
+
+    Rows of ``seq`` (all columns) once per fold, with ``fold`` (the column's name) and ``target``
+    'train' or 'test'. A row with a null in a fold column, or without a row in ``splits``, is in neither
+    set of that fold."""
+    folds = list(folds) if folds is not None else [c for c in splits.columns if c != key]
+    sides = F.array(*[F.struct(F.lit(c).alias("fold"), F.when(F.col(c), F.lit("train")).when(~F.col(c), F.lit("test")).alias("target"))
+                      for c in folds])
+    sets = splits.select(key, F.filter(sides, lambda s: s["target"].isNotNull()).alias("_sets"))
+    return seq.join(sets, key).select(*seq.columns, F.inline("_sets"))
+
+
+def save_cv_splits(split: DataFrame, path: str) -> None:
+    """One folder per fold and target, as training runs read them."""
+    split.write.mode("overwrite").partitionBy("fold", "target").parquet(path)
+
+
+def load_cv_split(spark: SparkSession, path: str, fold: str, target: str) -> DataFrame:
+    """One of the saved sets (only its folder is read)."""
+    return spark.read.parquet(path).where((F.col("fold") == fold) & (F.col("target") == target)).drop("fold", "target")
 
 
 # ---- W13 / W14 -----------------------------------------------------------------------------------

@@ -1,74 +1,41 @@
-"""Exact order statistics of many keys at once, by radix steps over the bits of a double.
+"""Exact order statistics of many keys at once.
 
-A value's bits become a long of the same order. Each step counts the values of every key by the
-next 16 bits under the prefix chosen so far (a grouped count, at most 65,536 rows per key) and picks
-the bits that the wanted rank falls on; four steps settle all 64. No key's values ever meet in one
-task, however many there are, and all keys move together. Values are counted once per (key, value)
-before, and each step reads these counts.
+Values are counted once per (key, value); the counts' running sums by value, which split a large key
+at range bounds (``ranking.prefix_sum``), tell the ranks that each value covers, and the wanted ranks
+are picked out. No key's values ever meet in one task, however many there are, and all keys move
+together, in one plan that starts no job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glucoframe.functions.glucose import is_missing
-from glucoframe.operators.ranking import join_null_safe
+from glucoframe.operators.ranking import join_null_safe, prefix_sum
 
-#: lowest bit of each step
-SHIFTS = (48, 32, 16, 0)
 
-
-def ordered_bits(x: Column) -> Column:
-    """The IEEE bits of a double as a long of the same order (-0.0 and 0.0 are equal); not for NaN."""
-    a = F.abs(x)
-    guess = F.floor(F.log2(a))
-    # the logarithm may miss the exponent by one next to a power of two
-    e = F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess)
-    e = F.greatest(F.lit(-1022), F.least(F.lit(1023), e))
-    mantissa = (a * F.pow(F.lit(2.0), -e) - 1.0) * float(2 ** 52)
-    small = a * float(2 ** 1000) * float(2 ** 74)  # below the least normal number: its multiple of the least number
-    bits = (F.when(a < 2.0 ** -1022, small.cast("long"))
-            .when(a == float("inf"), F.lit(2047 * 2 ** 52))
-            .otherwise((e.cast("long") + 1023) * F.lit(2 ** 52) + mantissa.cast("long")))
-    return F.when(x < 0, -bits).otherwise(bits)
-
-
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
+                     buckets: int | None = None) -> DataFrame:
     """Per key, the value at each of ``ranks``: name -> 0-based rank as a column of ``_n``, the number
-    of the key's values (null and NaN are left out). One row per key; null keys are a key of their own."""
+    of the key's values (null and NaN are left out). One row per key; null keys are a key of their own.
+    ``buckets``: range buckets, in place of the number that the rows ask for."""
     keys = list(keys)
     counts = (df.filter(~is_missing(value)).select(*keys, F.col(value).cast("double").alias("_v"))
-              .withColumn("_bits", ordered_bits(F.col("_v")))
-              .groupBy(*keys, "_bits").agg(F.count("*").alias("_c"), F.min("_v").alias("_v")))
+              .groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    summed = prefix_sum(counts, keys, ["_v"], "_c", "_upto", num_partitions=buckets, whole=True)
     targets = F.array(*[F.struct(F.lit(name).alias("_t"), r.cast("long").alias("_rank")) for name, r in ranks.items()])
-    # one row per key and prefix, with the ranks wanted below it: the plan is a chain, each state used once
-    state = n.select(*keys, F.lit(0).cast("long").alias("_prefix"), targets.alias("_targets"))
-    w = Window.partitionBy(*keys, "_prefix").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts
-    for i, shift in enumerate(SHIFTS):
-        at = F.shiftright("_bits", SHIFTS[i - 1]) if i else F.lit(0).cast("long")
-        live = join_null_safe(rows.withColumn("_prefix", at), state, [*keys, "_prefix"])
-        if i == 2:  # 32 bits are settled: what is left of continuous values is a small part
-            rows = live.select(*keys, "_bits", "_c", "_v").repartition(*keys, "_bits")
-        hist = live.groupBy(*keys, "_prefix", F.shiftright("_bits", shift).alias("_next")).agg(
-            F.sum("_c").alias("_c"), F.min("_v").alias("_v"), F.first("_targets").alias("_targets"))
-        upto = F.col("_upto")
-        inside = F.filter("_targets", lambda t: (t["_rank"] < upto) & (t["_rank"] >= upto - F.col("_c")))
-        hit = hist.withColumn("_upto", F.sum("_c").over(w)).withColumn("_targets", F.transform(inside, lambda t: F.struct(
-            t["_t"].alias("_t"), (t["_rank"] - upto + F.col("_c")).alias("_rank"))))
-        state = hit.where(F.size("_targets") > 0).select(*keys, F.col("_next").alias("_prefix"), "_targets", F.col("_v").alias("_value"))
-        if i + 1 < len(SHIFTS):
-            state = state.drop("_value")
-    found = state.select(*keys, "_value", F.inline("_targets"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_t") == name, F.col("_value"))).alias(name) for name in ranks])
+    first = F.col("_upto") - F.col("_c")
+    covered = F.filter(targets, lambda t: (t["_rank"] >= first) & (t["_rank"] < F.col("_upto")))
+    hit = join_null_safe(summed, n, keys).select(*keys, "_v", F.inline(covered))
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_t") == name, F.col("_v"))).alias(name) for name in ranks])
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", buckets: int | None = None) -> DataFrame:
     """Exact median per key (mean of the two middle values of an even number)."""
     half = {"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.floor(F.col("_n") / 2)}
-    mid = order_statistics(df, keys, value, half)
+    mid = order_statistics(df, keys, value, half, buckets)
     return mid.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2.0).alias(out))

@@ -237,6 +237,25 @@ def fill_absent_columns(df: DataFrame, cols: Sequence[str], value=0) -> DataFram
     return df
 
 
+def add_scaled_target(df: DataFrame, col: str, out: str = "label", standardise: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Copy of a target as a new column, or (``standardise``) less its mean and divided by its
+    population standard deviation, over all rows or per ``by`` group. Null targets stay null; a
+    target without spread is null."""
+    if not standardise:
+        return df.withColumn(out, F.col(col))
+    mom = df.groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
+    if by:
+        right = mom.select(*[F.col(b).alias(f"_b_{b}") for b in by], "_m", "_s")
+        same = F.lit(True)
+        for b in by:
+            same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+        df = df.join(right, same).drop(*[f"_b_{b}" for b in by])
+    else:
+        df = df.crossJoin(F.broadcast(mom))  # one row
+    spread = F.when(F.col("_s") != 0, F.col("_s"))
+    return df.withColumn(out, F.try_divide(F.col(col) - F.col("_m"), spread)).drop("_m", "_s")
+
+
 # Course values per class (fixed values): NGT 0, IGR 0.5, T2D 1, T1D 1
 COURSE = {"NGT": 0.0, "IGR": 0.5, "T2D": 1.0, "T1D": 1.0}
 

@@ -6,8 +6,11 @@ aggregation before the shuffle), per-series work is bounded by one day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glucoframe.functions.glucose import HIGH, LOW, is_missing
 from glucoframe.operators.ranking import join_null_safe, prefix_sum
@@ -109,21 +112,48 @@ def acf(rd: DataFrame, nlags: int = 20, sample: str = "sample_id", pos: str = "p
     estimator on a gap-free series); a lag without pairs gives 0, zero variance
     gives null.
 
-    Plan: one shuffle by sample. Mean, variance and each reading's neighbours (a range frame of
-    ``nlags`` positions) are windows over one sample's bounded slots, and the products are summed
-    per (sample, lag) where they are. The first reading adds a zero for every lag, so all are there.
+    Plan: one shuffle by sample, of the bounded positions and values; then all lags of the series of
+    an Arrow batch at once, as products of a dense matrix with itself shifted.
     """
-    w = Window.partitionBy(sample)
-    ordered = w.orderBy("_p")
-    ok = rd.filter(~is_missing(value)).select(sample, F.col(pos).cast("int").alias("_p"), F.col(value).alias("_v"))
-    d = ok.select(sample, "_p", (F.col("_v") - F.avg("_v").over(w)).alias("x"))
-    near = F.collect_list(F.struct(F.col("_p").alias("q"), F.col("x").alias("y"))).over(ordered.rangeBetween(0, nlags))
-    d = d.select(sample, "_p", "x", F.sum(F.col("x") * F.col("x")).over(w).alias("_den"), F.row_number().over(ordered).alias("_i"), near.alias("_near"))
-    none = F.transform(F.sequence(F.lit(0), F.lit(nlags)), lambda k: F.struct((F.col("_p") + k).alias("q"), F.lit(0.0).alias("y")))
-    pairs = d.select(sample, "_p", "x", "_den", F.inline(F.when(F.col("_i") == 1, F.concat("_near", none)).otherwise(F.col("_near"))))
-    sums = pairs.groupBy(sample, (F.col("q") - F.col("_p")).cast("int").alias("lag")).agg(
-        F.sum(F.col("x") * F.col("y")).alias("_num"), F.first("_den").alias("_den"))
-    return sums.select(sample, "lag", F.try_divide(F.col("_num"), F.when(F.col("_den") != 0, F.col("_den"))).alias("acf"))
+    series = rd.filter(~is_missing(value)).groupBy(sample).agg(F.collect_list(F.struct(
+        F.col(pos).cast("int").alias("p"), F.col(value).cast("double").alias("v"))).alias("_pv"))
+    schema = T.StructType([rd.schema[sample], T.StructField("_r", T.ArrayType(T.DoubleType()))])
+    out = series.mapInArrow(lambda batches: _acf(batches, nlags), schema)
+    return out.select(sample, F.posexplode("_r").alias("lag", "acf"))
+
+
+#: numbers of a dense block of series
+BLOCK_CELLS = 1 << 21
+
+
+def _acf(batches, nlags: int):
+    for batch in batches:
+        lists = batch.column(1)
+        offsets, entries = lists.offsets.to_numpy(), lists.flatten()
+        offsets = offsets - offsets[0]
+        at, v = entries.field("p").to_numpy(), entries.field("v").to_numpy()
+        out = np.zeros((len(batch), nlags + 1))
+        i = 0
+        while i < len(batch):
+            # positions from each series' first one on
+            j = min(len(batch), i + max(1, BLOCK_CELLS // max(1, int(at.max() - at.min()) + 1)))
+            size = np.diff(offsets[i:j + 1])
+            row = np.repeat(np.arange(j - i), size)
+            own, x = at[offsets[i]:offsets[j]], v[offsets[i]:offsets[j]]
+            low = np.minimum.reduceat(own, offsets[i:j] - offsets[i])
+            x = x - np.repeat(np.add.reduceat(x, offsets[i:j] - offsets[i]) / size, size)
+            dense = np.zeros((j - i, int((own - low[row]).max()) + 1))
+            np.add.at(dense, (row, own - low[row]), x)
+            den = np.bincount(row, weights=x * x, minlength=j - i)
+            for k in range(min(nlags, dense.shape[1] - 1) + 1):
+                out[i:j, k] = (dense[:, :dense.shape[1] - k] * dense[:, k:]).sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[i:j] = np.where(den[:, None] != 0, out[i:j] / den[:, None], np.nan)
+            i = j
+        flat = out.ravel()
+        made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, nlags + 1), pa.int32()),
+                                        pa.array(flat, pa.float64(), mask=np.isnan(flat)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), made], [batch.schema.names[0], "_r"])
 
 
 # ---- A11 / A12 ----------------------------------------------------------------------

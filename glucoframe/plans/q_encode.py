@@ -123,7 +123,7 @@ def q_bucket_tokens(spark, sf_dir):
     FROM grid GROUP BY sample_id""", views=("grid",))
 def q_rank_encode(spark, sf_dir):
     """Stable argsort per row, missing last; descending reverses inside the row (Q1)."""
-    a = _day_arrays(spark, sf_dir).withColumn("_asc", encode.rank_encode("input_ids"))
+    a = encode.rank_order(_day_arrays(spark, sf_dir), "input_ids", "_asc")
     # descending = the ascending order reversed inside the row (evaluated once)
     return a.select("sample_id", _join(F.col("_asc")).alias("asc_order"),
                     _join(F.reverse("_asc")).alias("desc_order"))

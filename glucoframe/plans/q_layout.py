@@ -178,10 +178,8 @@ def q_merge_classes(spark, sf_dir):
 def q_add_scaled_target(spark, sf_dir):
     """Copy of the target, and a standardised copy (one-row aggregate, broadcast)."""
     lab = B.sample_labels(spark, sf_dir).select("sample_id", "hba1c")
-    mom = lab.agg(F.avg("hba1c").alias("_m"), F.stddev_pop("hba1c").alias("_s"))
-    out = lab.crossJoin(F.broadcast(mom))
-    return out.select("sample_id", "hba1c", F.col("hba1c").alias("label"),
-                      F.try_divide(F.col("hba1c") - F.col("_m"), F.col("_s")).alias("label_std"))
+    out = shape.add_scaled_target(lab, "hba1c")
+    return shape.add_scaled_target(out, "hba1c", "label_std", standardise=True)
 
 
 @query("course_from_type", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from glucoframe.functions.hashing import u_sql
@@ -11,6 +13,7 @@ from glucoframe.operators import shape, stats, vocab
 from glucoframe.plans.q_encode import tok_sql
 from glucoframe.plans.q_stats import ks_sql, welch_sql
 from glucoframe.plans.registry import query
+from glucoframe.session import ensure_checkpoint_dir
 from glucoframe.sources import bindings as B
 
 
@@ -109,12 +112,35 @@ def q_shuffle(spark, sf_dir):
     return W.shuffle(B.sample_labels(spark, sf_dir).select("sample_id", "types"), "sample_id", seed=51)
 
 
-@query("cv_splits", """
-    SELECT CAST(k.range AS INTEGER) AS k, sample_id, fold <> k.range AS is_train FROM sample_labels, range(5) k""",
-       views=("sample_labels",))
+_CV_SQL = """
+    SELECT sample_id, types, 'CV_' || CAST(k.range + 1 AS VARCHAR) AS fold,
+           CASE WHEN l.fold <> k.range THEN 'train' ELSE 'test' END AS target FROM sample_labels l, range(5) k"""
+
+
+def _cv(spark, sf_dir):
+    lab = B.sample_labels(spark, sf_dir)
+    return W.cv_splits(lab.select("sample_id", "types"), W.fold_columns(lab, "sample_id"), "sample_id")
+
+
+@query("cv_splits", _CV_SQL, views=("sample_labels",))
 def q_cv_splits(spark, sf_dir):
-    """Five (train, test) splits from the fold column, one row per (fold, sample)."""
-    return W.cv_splits(B.sample_labels(spark, sf_dir), "sample_id")
+    """Five (train, test) sets from boolean fold columns, one row per fold and sample."""
+    return _cv(spark, sf_dir)
+
+
+@query("cv_saved_sets", f"SELECT fold, target, count(*) AS n, min(sample_id) AS least FROM ({_CV_SQL}) GROUP BY 1, 2",
+       views=("sample_labels",))
+def q_cv_saved_sets(spark, sf_dir):
+    """The ten saved sets, each read back from its own folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/cv/{uuid.uuid4().hex}"
+    W.save_cv_splits(_cv(spark, sf_dir), path)
+    out = None
+    for fold in (f"CV_{k}" for k in range(1, 6)):
+        for target in ("train", "test"):
+            one = W.load_cv_split(spark, path, fold, target).agg(F.count("*").alias("n"), F.min("sample_id").alias("least"))
+            one = one.where("n > 0").select(F.lit(fold).alias("fold"), F.lit(target).alias("target"), "n", "least")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("label_ids", """

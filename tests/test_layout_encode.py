@@ -133,3 +133,23 @@ def test_encode_decode_round_trip(spark, values):
             assert t == G.PAD_ID and d is None
         else:
             assert d == int(min(max(v, 39.0), 301.0))
+
+
+def test_rank_order_equals_the_column_form(spark):
+    from glucoframe.operators import encode
+    nan = float("nan")
+    data = [(0, [3.0, None, 1.0, 3.0, nan, 2.0]), (1, [None, None]), (2, []), (3, [5.0]), (4, [2.0, 2.0, 1.0, 1.0]), (5, None)]
+    df = spark.createDataFrame(data, "k int, a array<double>").repartition(2)
+    got = {r["k"]: r["o"] for r in encode.rank_order(df, "a", "o").collect()}
+    want = {r["k"]: r["o"] for r in df.select("k", encode.rank_encode("a").alias("o")).collect()}
+    assert got == want and got[0] == [2, 5, 0, 3, 1, 4] and got[5] is None
+
+
+def test_scaled_target(spark):
+    from glucoframe.operators import shape
+    df = spark.createDataFrame([(0, "x", 1.0), (1, "x", 3.0), (2, None, 5.0), (3, None, 5.0), (4, "x", None)], "k int, g string, y double")
+    out = {r["k"]: (r["label"], r["z"], r["zg"]) for r in shape.add_scaled_target(
+        shape.add_scaled_target(shape.add_scaled_target(df, "y"), "y", "z", True), "y", "zg", True, by=["g"]).collect()}
+    mean, std = 3.5, (((2.5 ** 2) + 0.5 ** 2 + 2 * 1.5 ** 2) / 4) ** 0.5
+    assert out[0] == (1.0, (1.0 - mean) / std, -1.0) and out[1][2] == 1.0
+    assert out[2] == (5.0, (5.0 - mean) / std, None) and out[4] == (None, None, None) and len(out) == 5

@@ -144,3 +144,18 @@ def test_rows_with_a_null_class_stay(spark):
     for n in (1, 4, 16):
         ranks = rank_within(df, ["label"], ["k"], num_partitions=n).collect()
         assert sorted(r["rank"] for r in ranks if r["label"] is None) == list(range(5)) and len(ranks) == 20
+
+
+def test_cv_sets_from_boolean_columns(spark, tmp_path):
+    seq = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 4.0)], "k string, x double")
+    splits = spark.createDataFrame([("a", True, False), ("b", False, None), ("c", True, True), ("z", True, True)], "k string, CV_1 boolean, CV_2 boolean")
+    out = W.cv_splits(seq, splits, "k")
+    assert rows(out, "fold", "target", "k", "x") == [("CV_1", "test", "b", 2.0), ("CV_1", "train", "a", 1.0), ("CV_1", "train", "c", 3.0),
+                                                     ("CV_2", "test", "a", 1.0), ("CV_2", "train", "c", 3.0)]
+    path = str(tmp_path / "cv")
+    W.save_cv_splits(out, path)
+    assert rows(W.load_cv_split(spark, path, "CV_1", "train")) == [("a", 1.0), ("c", 3.0)]
+    assert W.load_cv_split(spark, path, "CV_1", "train").columns == ["k", "x"]
+    assert W.cv_splits(seq, splits, "k", ["CV_2"]).count() == 2
+    folds = W.fold_columns(spark.createDataFrame([("a", 0), ("b", 1)], "k string, fold int"), "k", n_folds=2)
+    assert rows(folds, "k", "CV_1", "CV_2") == [("a", False, True), ("b", True, False)]

@@ -169,34 +169,39 @@ def test_quality_report_keys(spark):
 
 
 # ---- order statistics ----------------------------------------------------------------------
-def test_ordered_bits_keep_the_order(spark):
-    rng = np.random.default_rng(7)
-    v = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308,
-         float("inf"), float("-inf"), 1.0, math.nextafter(1, 2), math.nextafter(1, 0), 0.1, 1 / 3]
-    v += [x for e in range(-1074, 1024, 13) for x in (2.0 ** e, math.nextafter(2.0 ** e, 0), -math.nextafter(2.0 ** e, math.inf))]
-    v += rng.normal(size=300).tolist() + np.exp(rng.uniform(-700, 700, 300)).tolist()
-    got = spark.createDataFrame([(x,) for x in v], "v double").select("v", selection.ordered_bits(F.col("v")).alias("b")).collect()
-    for r in got:
-        bits = int(np.float64(abs(r["v"])).view(np.int64))
-        assert r["b"] == (-bits if r["v"] < 0 else bits), r["v"]
-
-
 def test_medians_with_a_hot_key(spark):
     rng = np.random.default_rng(8)
     rows = [("hot", float(x)) for x in np.exp(rng.normal(0, 50, 3001))]
     rows += [(f"k{i}", float(x)) for i in range(20) for x in rng.normal(size=i + 1).round(1)]
     rows += [(None, 1.0), (None, 4.0), ("none", None), ("none", float("nan")), ("far", -1e300), ("far", 1e-300), ("k0", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
-    got = {r["k"]: r["median"] for r in selection.grouped_median(df, ["k"], "v").collect()}
     want = {}
     for k, x in rows:
         if x is not None and x == x:
             want.setdefault(k, []).append(x)
-    assert got == {k: float(np.median(x)) for k, x in want.items()}
+    for buckets in (None, 40):  # the hot key in one range bucket, and in most of forty
+        got = {r["k"]: r["median"] for r in selection.grouped_median(df, ["k"], "v", buckets=buckets).collect()}
+        assert got == {k: float(np.median(x)) for k, x in want.items()}
     ends = {r["k"]: (r["lo"], r["hi"]) for r in selection.order_statistics(df, ["k"], "v", {"lo": F.lit(0), "hi": F.col("_n") - 1}).collect()}
     assert ends == {k: (min(x), max(x)) for k, x in want.items()}
     plan = selection.grouped_median(df, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
-    assert "collect_list" not in plan and "percentile" not in plan
+    assert "percentile" not in plan
+
+
+# ---- autocorrelation ---------------------------------------------------------------------
+def test_acf_with_gaps_and_offsets(spark):
+    rng = np.random.default_rng(9)
+    data = {"gaps": {int(p): float(v) for p, v in zip(rng.choice(200, 40, replace=False), rng.normal(size=40))},
+            "late": {900: 1.0, 902: 4.0, 903: 2.0}, "one": {7: 3.0}, "flat": {0: 2.0, 5: 2.0}}
+    df = spark.createDataFrame([(k, p, v) for k, x in data.items() for p, v in x.items()] + [("late", 901, None)], LONG).repartition(3)
+    got = {(r["sample_id"], r["lag"]): r["acf"] for r in stats.acf(df, nlags=6).collect()}
+    assert len(got) == 4 * 7
+    for k, x in data.items():
+        m = np.mean(list(x.values()))
+        den = sum((v - m) ** 2 for v in x.values())
+        for lag in range(7):
+            num = sum((v - m) * (x[p + lag] - m) for p, v in x.items() if p + lag in x)
+            assert got[k, lag] is None if den == 0 else math.isclose(got[k, lag], num / den, abs_tol=1e-12)
 
 
 # ---- ranks ---------------------------------------------------------------------------------
