@@ -310,14 +310,21 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _filter_parity(batches, num: int, den: int):
+    """Keep the pairs whose parity sketches are no further apart than linked sets can be."""
+    for batch in batches:
+        n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+        apart = np.bitwise_count(_sketches(batch.column("xodd")) ^ _sketches(batch.column("yodd"))).sum(axis=1, dtype=np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array(apart <= most_apart(n, m, num, den)))
+
+
 def _filter_orders(batches, num: int, den: int):
     """Keep the pairs whose prefixes agree with a link under every order."""
     for batch in batches:
         n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
         both = least_shared(n, m, num, den)
         only_x, only_y = n - both, m - both
-        apart = np.bitwise_count(_sketches(batch.column("xodd")) ^ _sketches(batch.column("yodd"))).sum(axis=1, dtype=np.int64)
-        keep = apart <= only_x + only_y
+        keep = np.ones(len(batch), bool)
         for o in range(ORDERS):
             x, y = batch.column(f"x{o}"), batch.column(f"y{o}")
             xo, yo = x.offsets.to_numpy(), y.offsets.to_numpy()
@@ -342,10 +349,19 @@ def _verify(batches, k: int, num: int, den: int):
 def _links(pairs: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFrame, k, num, den,
            scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b) -> stored links (a, b)."""
-    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("odd").alias("xodd"), *(F.col(f"o{o}").alias(f"x{o}") for o in range(ORDERS)))
-    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("yodd"), *(F.col(f"o{o}").alias(f"y{o}") for o in range(ORDERS)))
-    cand = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xodd", "yodd", *(f"{s}{o}" for o in range(ORDERS) for s in "xy"))
-    cand = scratch.stored(cand.mapInArrow(partial(_filter_orders, num=num, den=den), "a long, b long"))
+    def side(table: DataFrame, key: str, n: str, odd: str | None = None, lists: str | None = None) -> DataFrame:
+        kept = [F.col("odd").alias(odd)] if odd else [F.col(f"o{o}").alias(f"{lists}{o}") for o in range(ORDERS)]
+        return table.select(F.col("cls").alias(key), F.col("n").alias(n), *kept)
+
+    pairs = pairs.select("a", "b")
+    # sizes and sketches first; the lists of what parity leaves
+    near = scratch.stored(pairs.join(side(classes, "a", "na", odd="xodd"), "a").join(side(classes, "b", "nb", odd="yodd"), "b")
+                          .mapInArrow(partial(_filter_parity, num=num, den=den), "a long, b long"))
+    ids = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+    met = classes.join(ids, "cls", "left_semi")
+    cand = scratch.stored(near.join(side(met, "a", "na", lists="x"), "a").join(side(met, "b", "nb", lists="y"), "b")
+                          .mapInArrow(partial(_filter_orders, num=num, den=den), "a long, b long"))
+    scratch.drop(near)
     wanted = cand.select(F.col("a").alias("cls")).unionByName(cand.select(F.col("b").alias("cls"))).distinct()
     wanted = wanted.join(reps, "cls")
     # rows of the wanted ids, each once, then those of a wanted class (repeated and null ids)
@@ -492,6 +508,7 @@ def _rooted_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
     pairs = pairs.where(F.col("forced") | (apart <= most)).select("a", "b")
     links = _links(pairs, classes, reps, docs, k, num, den, scratch)
     opened = scratch.stored(found.where("token is not null").select("token").distinct())
+    scratch.drop(found)
     roots = components(links, scratch)
     if not opened.isEmpty():
         rows = _open_rows(index, opened, roots, classes, num, den)
@@ -499,6 +516,7 @@ def _rooted_classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFr
                 .mapInArrow(partial(_open_pairs, num=num, den=den), "a long, b long").distinct())
         links = links.unionByName(_links(more, classes, reps, docs, k, num, den, scratch))
         roots = components(links, scratch)
+    scratch.drop(classes, opened)
     rooted = (reps.join(roots, F.col("cls") == F.col("v"), "left")
               .select("cls", "rep", F.coalesce("root", "cls").alias("root")))
     return docs_cls, rooted
