@@ -95,11 +95,13 @@ def _range_cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.minimum(counts, 2 ** 32 - 1).astype(np.uint32).tobytes())
+    """Whole numbers of 4 bytes, or of 8 if one needs them; the first byte tells."""
+    width = 4 if counts.max(initial=0) < 2 ** 32 else 8
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(counts.astype(f"<u{width}").tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), f"<u{raw[0]}")
 
 
 def _send_keys(batches, ranges: int):

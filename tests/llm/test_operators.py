@@ -532,3 +532,15 @@ def test_pipeline_stages(spark, tmp_path, make):
     assert set(seen["best_fit_packing"].doc_id) == set(left.index)
     assert cp.run(spark, str(tmp_path)).count() == len(seen["best_fit_packing"])
     assert isinstance(seen["best_fit_packing"], pd.DataFrame)
+
+
+def test_lm_counts_beyond_32_bits():
+    from glucoframe.llm.lm import _answer, _pack, _unpack
+    for counts in ([], [0, 1, 2 ** 32 - 1], [5, 2 ** 32, 2 ** 40 + 3]):
+        assert _unpack(_pack(np.array(counts, np.int64))).tolist() == counts
+    keys = np.array([3, 9], np.uint64).tobytes()
+    group = pd.DataFrame({"r": [0, 0], "chunk": [0, 1], "part": [False, True], "u": [keys, keys], "b": [keys, keys],
+                          "un": [_pack(np.array([2 ** 32 - 1, 1]))] * 2, "bn": [_pack(np.array([1, 2 ** 33]))] * 2})
+    out = _answer(group)
+    assert [_unpack(x).tolist() for x in out["u"]] == [[2 ** 33 - 2, 2]] * 2 and _unpack(out["b"][0]).tolist() == [2, 2 ** 34]
+    assert out["n"].sum() == 2 ** 33 and _unpack(out["ufit"][1]).tolist() == [2 ** 32 - 1, 1]
