@@ -12,8 +12,9 @@ as k grows from cutoff to cutoff, the passing ones are always the mildest). The
 lowest cutoff that passes is used; a rule without one rejects nothing in that stratum. With probability 1 - ALPHA every stratum loses
 at most RISK of its good documents to these rules.
 
-Counts of a text come from array functions over its own words: windows found
-twice are neighbours in one sorted array of (hash, position) numbers.
+Counts of a text come from array functions over its own words: windows that may
+occur twice are neighbours in one sorted array of (hash, position) numbers, cut to 64
+bits; those are sorted again by their words, so the counts are exact at any length.
 
 Defined results: null text has no words; a null stratum is a stratum of its own;
 a stratum without labels keeps all that the base rules keep.
@@ -35,9 +36,7 @@ GRIDS = {
     "dup_line_share": tuple(i / 20 for i in range(1, 20)),
     "word_chars_mean": tuple(float(i) for i in range(4, 24)),
 }
-#: exact binomial sums are carried out up to this many terms, beyond it a Chernoff bound
-#: stands for them, which is larger (never rejects more)
-EXACT_TERMS = 100_000
+LOG_SQRT_2PI = 0.9189385332046727
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: characters of the symbol count, a fixed value
@@ -59,18 +58,26 @@ def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
     packed = F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - 2), _window)
     d = d.withColumn("__b", bits)
     d = d.withColumn("__s", F.when(F.col("n_words") >= 3, F.sort_array(packed)))
-    # the windows whose hash a neighbour shares, by position
-    same = F.expr("""
+    # positions of the windows whose hash a neighbour shares
+    alike = F.expr("""
         filter(transform(__s, (x, k) ->
             CASE WHEN (k > 0 AND shiftright(__s[k - 1], __b) = shiftright(x, __b))
                    OR (k < n_words - 3 AND shiftright(__s[k + 1], __b) = shiftright(x, __b))
-                 THEN x & (shiftleft(1L, __b) - 1) END), p -> p IS NOT NULL)""")
+                 THEN CAST(x & (shiftleft(1L, __b) - 1) AS INT) END), p -> p IS NOT NULL)""")
+    d = d.withColumn("__c", alike)
+    # only these are compared by their words, which hold no space
+    d = d.withColumn("__v", F.expr("""
+        sort_array(transform(__c, p -> named_struct('words', concat_ws(' ', __w[p - 1], __w[p], __w[p + 1]), 'p', p)))"""))
+    same = F.expr("""
+        filter(transform(__v, (x, k) ->
+            CASE WHEN (k > 0 AND __v[k - 1].words = x.words) OR (k < size(__v) - 1 AND __v[k + 1].words = x.words)
+                 THEN x.p END), p -> p IS NOT NULL)""")
     d = d.withColumn("__p", F.sort_array(same))
     # a window covers three words, but not those that the next one covers too
     repeat = F.expr("""
         CASE WHEN size(__p) > 0 THEN
             aggregate(__p, named_struct('n', 0L, 'to', 0L),
-                (a, p) -> named_struct('n', a.n + p + 3 - greatest(a.to, p), 'to', p + 3), a -> a.n)
+                (a, p) -> named_struct('n', a.n + p + 3 - greatest(a.to, p), 'to', p + 3L), a -> a.n)
         ELSE 0L END""")
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("__l", lines)
@@ -99,28 +106,42 @@ def rule_values() -> dict[str, Column]:
     }
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series after seven steps of the recurrence (error below 1e-12)."""
-    y = x + 7
-    steps = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
-    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(steps)
+def _stirling_error(x: Column) -> Column:
+    """log(x!) less Stirling's formula for it, x >= 1 (error below 1e-12)."""
+    y = x + 8
+    steps = (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7) * (x + 8)
+    near = _stirling_series(y) + (y + 0.5) * F.log(y) - y - F.log(steps) - (x + 0.5) * F.log(x) + x
+    return F.when(x < 16, near).otherwise(_stirling_series(x))
+
+
+def _stirling_series(x: Column) -> Column:
+    return 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) + mean - x, also where both are large and near to each other."""
+    e = (x - mean) / mean
+    return mean * ((1 + e) * F.log1p(e) - e)
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(Bin(n, p) <= k) for k < n p: the terms from k down, each a ratio of the one before."""
+    """P(Bin(n, p) <= k) for k < n p and p <= 1/2: the terms from k down, each a ratio of the
+    one before. The i-th is at most exp(-i (i - 1) / (2 n p (1 - p))) of the first, so what
+    follows ten standard deviations is below the rounding error and is not added up."""
     n, k = n.cast("double"), k.cast("double")
-    top = (_log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * F.log(p) + (n - k) * F.log(1 - p))
+    x, y = F.greatest(k, F.lit(1.0)), F.greatest(n - k, F.lit(1.0))
+    log_top = (_stirling_error(n) - _stirling_error(x) - _stirling_error(y)
+               - _deviance(x, n * p) - _deviance(y, n * (1 - p)) + 0.5 * F.log(n / (x * y)) - LOG_SQRT_2PI)
+    top = F.when(k > 0, F.exp(log_top)).otherwise(F.exp(n * F.log1p(-p)))
     odds = (1 - p) / p
+    steps = F.least(k, F.ceil(10 * F.sqrt(n * p * (1 - p))) + 10)
     terms = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(float(EXACT_TERMS))).cast("int")),
+        F.sequence(F.lit(0), steps.cast("int")),
         F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
         lambda a, i: F.struct((a["term"] * F.greatest(k - i, F.lit(0.0)) / (n - k + i + 1) * odds).alias("term"),
                               (a["sum"] + a["term"]).alias("sum")),
         lambda a: a["sum"])
-    share = F.greatest(k, F.lit(1e-300)) / n
-    chernoff = F.exp(-n * (share * F.log(share / p) + (1 - share) * F.log((1 - share) / (1 - p))))
-    return F.when(k <= EXACT_TERMS, F.exp(top) * terms).otherwise(chernoff)
+    return top * terms
 
 
 def cutoffs(holdout: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:

@@ -290,10 +290,47 @@ def test_quality_counts_and_verdict(make, spark):
     assert all(r["kept"] != r["base_failed"] for r in judged(docs, labels.limit(0)).collect())
 
 
+def test_repeated_windows_of_equal_cut_hashes(make, monkeypatch):
+    from glucoframe.llm import quality_rules
+    rng = random.Random(18)
+    texts = [*EDGE, "a b c x a b c y p q r s", *(" ".join(rng.choice("abcdef") for _ in range(rng.randrange(90))) for _ in range(40))]
+    # a hash of two values: most neighbours in the sorted array are different windows
+    monkeypatch.setattr(quality_rules, "_window", lambda i: F.call_function(
+        "shiftleft", F.length(F.element_at("__w", i)) % 2 + F.xxhash64(F.element_at("__w", i + 1)) % 2, F.col("__b")).bitwiseOR(i.cast("long")))
+    got = {r["doc_id"]: r for r in quality_rules.counted(make(texts), ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["n_repeat_words"] == rule_brute(t)[4], t
+
+
+def test_quality_cutoffs_equal_brute_force(spark):
+    import math
+    from glucoframe.llm.quality_rules import GRIDS, cutoffs
+    rng = random.Random(28)
+    rows = [(s, rng.random() < 0.9, *(rng.random() ** 40 * g[-1] * 1.2 for g in GRIDS.values()))
+            for s, n in ((None, 900), ("a", 1500), ("b", 40)) for _ in range(n)]
+    schema = ", ".join(["stratum string", "good boolean", *(f"{r} double" for r in GRIDS)])
+    risk, alpha, want = 0.2, 0.05, set()
+    for s in (None, "a", "b"):
+        for j, (rule, grid) in enumerate(GRIDS.items()):
+            values = [r[2 + j] for r in rows if r[0] == s and r[1]]
+            n, limit, best = len(values), risk / len(GRIDS), None
+            for cut in sorted(grid, reverse=True):  # from the mildest down, until one fails
+                k = sum(v > cut for v in values)
+                if math.fsum(math.comb(n, i) * limit ** i * (1 - limit) ** (n - i) for i in range(k + 1)) > alpha / len(GRIDS) / 3:
+                    break
+                best = cut
+            if best is not None:
+                want.add((s, rule, best))
+    got = {tuple(r) for r in cutoffs(spark.createDataFrame(rows, schema), risk, alpha).collect()}
+    assert got == want and len(want) > 4
+    assert cutoffs(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_binomial_tail_is_exact(spark):
     import math
     from glucoframe.llm.quality_rules import binomial_tail
     rows = [(n, k, p) for n in (10, 400, 5000) for p in (0.005, 0.02, 0.3) for k in range(0, int(n * p) + 1, max(1, int(n * p) // 3))]
+    rows += [(10 ** 7, 101_000, 0.0102), (10 ** 7, 100_500, 0.0101)]  # many rejections, near to the limit
     got = spark.createDataFrame(rows, "n long, k long, p double").withColumn("t", binomial_tail(F.col("n"), F.col("k"), F.col("p"))).collect()
     for r in got:
         exact = math.fsum(math.exp(math.lgamma(r.n + 1) - math.lgamma(i + 1) - math.lgamma(r.n - i + 1) + i * math.log(r.p)
