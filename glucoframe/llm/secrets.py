@@ -4,9 +4,12 @@ Two first-order character models, of random strings and of ordinary identifiers,
 are compared by their log-likelihood ratio. They are trained from labelled
 samples: strings that a fixed pattern found (1), and all other strings of the
 same alphabet (0); every text counts, the models are tables of 66 x 66 counts.
-A string of ``MIN_LENGTH`` characters or more is reported as kind ``markov``
-when the ratio is at least ``MIN_TOTAL`` nats in all and ``MIN_MEAN`` per
-character, and it does not overlap a span of a fixed pattern.
+A string of ``MIN_LENGTH`` characters or more, less the spans of fixed patterns, is
+reported as kind ``markov`` when the ratio is at least ``MIN_TOTAL`` nats in all and
+``MIN_MEAN`` per character. Of other strings (paths, assignments, URLs) the maximal
+scoring runs of parts between separators are tried: no run that begins or ends inside
+of one scores more, and they do not overlap. A string of m parts has fewer than m^2
+runs, so such a run needs 2 ln(m) nats more.
 
 Spans are code points, end exclusive. Null texts are empty. Without positive
 samples the random model is uniform.
@@ -48,6 +51,9 @@ _SYMBOL = np.full(256, SYMBOLS, np.int16)
 _SYMBOL[_ALPHABET] = np.arange(SYMBOLS)
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[[*range(48, 58), *range(97, 103)]] = True
+#: characters that end a part of a string
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[*b"+/_=-"]] = True
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -154,21 +160,69 @@ def markov_ratio(docs: DataFrame) -> np.ndarray:
     return logs[1] - logs[0]
 
 
+def maximal_runs(scores) -> list[tuple[int, int, float]]:
+    """(first, end, sum) of all maximal scoring runs of ``scores``, from left to right: one pass
+    over the positive scores, joining a run with an earlier one where the sum of both is
+    larger than either (each join ends a run, so the time is linear)."""
+    found: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum up to the end
+    before = 0.0
+    lower: list[int] = []  # for each run, the nearest earlier one with a smaller sum before it, or -1
+    for i, x in enumerate(scores):
+        if x > 0:
+            run = (i, i + 1, before, before + x)
+            at = len(found) - 1
+            while True:
+                while at >= 0 and found[at][2] >= run[2]:
+                    at = lower[at]
+                if at < 0 or found[at][3] >= run[3]:
+                    break
+                run = (found[at][0], run[1], found[at][2], run[3])
+                del found[at:], lower[at:]
+                at -= 1
+            found.append(run)
+            lower.append(at)
+        before += x
+    return [(a, b, hi - lo) for a, b, lo, hi in found]
+
+
+def _sub_runs(data: np.ndarray, lo: int, hi: int, gains: np.ndarray):
+    """Spans of the random parts of one string; ``gains`` is the ratio of each of its characters."""
+    first = np.r_[0, np.flatnonzero(_SEPARATOR[data[lo:hi - 1]]) + 1]
+    for a, b, total in maximal_runs(np.add.reduceat(gains, first).tolist()):
+        start = lo + int(first[a])
+        end = hi if b == len(first) else lo + int(first[b]) - 1  # without the separator
+        least = MIN_TOTAL + 2 * np.log(len(first))
+        if end - start >= MIN_LENGTH and total >= least and total >= MIN_MEAN * (end - start):
+            yield start, end
+
+
 def _scan(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray):
     """Row -> sorted spans (start, kind, end) in code points."""
     found = _base_spans(data, offsets)
     spans: dict[int, list[tuple[int, int, int]]] = {r: [(a, k, b) for k, a, b, *_ in s] for r, s in found.items()}
-    a, b = runs(_SYMBOL[data] < SYMBOLS, offsets, MIN_LENGTH)
+    free = _SYMBOL[data] < SYMBOLS
+    for known in spans.values():
+        for lo, _, hi in known:
+            free[lo:hi] = False
+    a, b = runs(free, offsets, MIN_LENGTH)
     if len(a):
         sym = _SYMBOL[data]
-        gain = np.zeros(len(data) + 1)
-        gain[2:] = np.cumsum(ratio[sym[:-1], sym[1:]])
-        total = gain[b] - gain[a + 1] + ratio[SYMBOLS, sym[a]] + ratio[sym[b - 1], SYMBOLS]
+        gain = np.zeros(len(data) + 1)  # of each character after the one before; the outside before a string
+        gain[1:-1] = ratio[sym[:-1], sym[1:]]
+        gain[a] = ratio[SYMBOLS, sym[a]]
+        ends = np.stack([a, b], axis=1).ravel()
+        after = ratio[sym[b - 1], SYMBOLS]
+        total = np.add.reduceat(gain, ends)[::2] + after
         good = (total >= MIN_TOTAL) & (total >= MIN_MEAN * (b - a))
-        for lo, hi in zip(a[good], b[good]):
+        marked = list(zip(a[good].tolist(), b[good].tolist()))
+        best = np.add.reduceat(np.maximum(gain, 0), ends)[::2] + np.maximum(after, 0)
+        for i in np.flatnonzero(~good & (best >= MIN_TOTAL)):
+            gains = gain[a[i]:b[i]].copy()
+            gains[-1] += after[i]
+            marked += _sub_runs(data, int(a[i]), int(b[i]), gains)
+        for lo, hi in marked:
             row = int(np.searchsorted(offsets, lo, side="right")) - 1
-            if all(hi <= s or lo >= e for s, _, e in spans.get(row, ())):
-                spans.setdefault(row, []).append((int(lo), 3, int(hi)))
+            spans.setdefault(row, []).append((lo, 3, hi))
     out = {}
     for row, s in spans.items():
         lo, hi = offsets[row], offsets[row + 1]

@@ -77,6 +77,52 @@ def test_markov_finds_random_strings_and_leaves_words(make):
     assert clean[len(texts) - 1]["n_chars"] == len("left [SECRET] here")
 
 
+def test_maximal_runs_equal_recursion():
+    from glucoframe.llm.secrets import maximal_runs
+
+    def brute(x, at):
+        runs = [(sum(x[i:j]), i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+        total, i, j = max(runs, default=(0, 0, 0))
+        return [] if total <= 0 else [*brute(x[:i], at), (at + i, at + j, total), *brute(x[j:], at + j)]
+
+    rng = random.Random(15)
+    for _ in range(300):
+        x = [rng.gauss(0, 1) for _ in range(rng.randrange(14))]
+        got, want = maximal_runs(x), brute(x, 0)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    assert len(maximal_runs([1.0, -2.0] * 100_000)) == 100_000
+
+
+def test_markov_finds_random_parts_of_strings(make):
+    from glucoframe.llm.secrets import KINDS, markov_ratio, secret_spans
+    rng = random.Random(25)
+    word = "therein wherever another understanding configuration services users settings objects thumbnail small client key for production".split()
+    some = lambda n, by: by.join(rng.choice(word) for _ in range(n))
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    plain = [" ".join(some(rng.randrange(1, 9), rng.choice("/_-")) for _ in range(40)) for _ in range(80)]
+    train = [f"token = {key(32)} is set" for _ in range(80)]
+    planted = []
+    for n in (20, 24, 32, 40):
+        for _ in range(50):
+            k = key(n)
+            planted += [(some(4, "/") + "/", k, ""), (some(4, "_") + "=", k, ""), ("see https://host.example/" + some(2, "/") + "/", k, "/" + some(3, "-")),
+                        ("AKIA" + "ABCDEFGHIJKLMNOP" + "/" + some(2, "/") + "/", k, "")]
+    texts = [*EDGE, *plain, *train, *("".join(x) for x in planted)]
+    ratio = markov_ratio(make([*plain[:60], *train]))  # keys that no pattern finds are rare in a corpus
+    got = [r["spans"] for r in secret_spans(make(texts), ratio).orderBy("doc_id").collect()]
+    assert not any("markov" in x for x in got[:len(EDGE) + len(plain)])
+    found = length = 0
+    for (before, k, _), spans in zip(planted, got[len(texts) - len(planted):]):
+        marked = [tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x.startswith(KINDS[3])]
+        a, b = len(before), len(before) + len(k)
+        found += any(x <= a and b <= y for x, y in marked)
+        length += sum(y - x for x, y in marked)
+    # a span may take in neighbouring parts whose transitions the few samples do not hold
+    size = sum(len(k) for _, k, _ in planted)
+    assert found >= 0.95 * len(planted) and length <= 1.5 * size, (found, len(planted), length, size)
+
+
 # ---- token counts -----------------------------------------------------------------
 
 def test_rollup_batches_are_idempotent(make, spark, tmp_path):
