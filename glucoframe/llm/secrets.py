@@ -4,12 +4,13 @@ Two first-order character models, of random strings and of ordinary identifiers,
 are compared by their log-likelihood ratio. They are trained from labelled
 samples: strings that a fixed pattern found (1), and all other strings of the
 same alphabet (0); every text counts, the models are tables of 66 x 66 counts.
-A string of ``MIN_LENGTH`` characters or more, less the spans of fixed patterns, is
-reported as kind ``markov`` when the ratio is at least ``MIN_TOTAL`` nats in all and
-``MIN_MEAN`` per character. Of other strings (paths, assignments, URLs) the maximal
-scoring runs of parts between separators are tried: no run that begins or ends inside
-of one scores more, and they do not overlap. A string of m parts has fewer than m^2
-runs, so such a run needs 2 ln(m) nats more.
+Strings of ``MIN_LENGTH`` characters or more, less the spans of fixed patterns, are cut
+at separators (paths, assignments, URLs), and the maximal scoring runs of their parts
+are tried: no run that begins or ends inside of one scores more, and they do not
+overlap. One of ``MIN_LENGTH`` characters is reported as kind ``markov`` when its ratio
+is at least ``MIN_MEAN`` nats per character and ``MIN_TOTAL`` + 2 ln(m) in all, as m parts
+have fewer than m^2 runs. Without such a run, a whole string is reported that reaches
+``MIN_MEAN`` and ``MIN_TOTAL``.
 
 Spans are code points, end exclusive. Null texts are empty. Without positive
 samples the random model is uniform.
@@ -214,12 +215,12 @@ def _scan(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray):
         after = ratio[sym[b - 1], SYMBOLS]
         total = np.add.reduceat(gain, ends)[::2] + after
         good = (total >= MIN_TOTAL) & (total >= MIN_MEAN * (b - a))
-        marked = list(zip(a[good].tolist(), b[good].tolist()))
         best = np.add.reduceat(np.maximum(gain, 0), ends)[::2] + np.maximum(after, 0)
-        for i in np.flatnonzero(~good & (best >= MIN_TOTAL)):
+        marked = []
+        for i in np.flatnonzero(best >= MIN_TOTAL).tolist():
             gains = gain[a[i]:b[i]].copy()
             gains[-1] += after[i]
-            marked += _sub_runs(data, int(a[i]), int(b[i]), gains)
+            marked += list(_sub_runs(data, int(a[i]), int(b[i]), gains)) or [(int(a[i]), int(b[i]))] * int(good[i])
         for lo, hi in marked:
             row = int(np.searchsorted(offsets, lo, side="right")) - 1
             spans.setdefault(row, []).append((lo, 3, hi))
