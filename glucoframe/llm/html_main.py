@@ -69,12 +69,16 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _FURNITURE = frozenset("nav footer aside form menu button dialog fieldset".split())
 _MAIN = frozenset(("article", "main"))
 _ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-#: a whole class, id or role; "has-sidebar" or "related-posts-on" say something about another element
+#: a whole class, id or role: whose, what and which container of it; "has-sidebar", "related-posts-on",
+#: "notice-of-award" or "share-price" say something else
 _NAME = re.compile(
-    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary)[-_])?"
-    r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|disqus|footer|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notices?|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
-    r"(?:[-_](?:bar|box|inner|links|list|widget))?", re.I)
+    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|user|reader|post|article|blog|cookie|gdpr|privacy|email|"
+    r"mobile|sticky)[-_])?"
+    r"(?:ad|ads|adsbygoogle|advert\w*|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|footer|gdpr|menu|"
+    r"modal|nav|navbar|navigation|newsletter|notices?|popup|promo|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|"
+    r"widget)"
+    r"(?:[-_](?:area|articles|banner|bar|block|box|buttons?|consent|container|form|icons?|inner|item|left|links|list|media|modal|notice|"
+    r"overlay|popup|posts|primary|respond|right|secondary|section|signup|slot|stories|thread|unit|widget|wrap|wrapper))*", re.I)
 _UNNAMED = frozenset(("html", "body", "article", "main"))
 
 
