@@ -4,8 +4,8 @@ Overlapping heuristic labellers say good, bad or nothing about a text. Their
 accuracies are estimated by expectation-maximisation over the counts of all vote
 patterns of the corpus (at most 3 ** labellers patterns). A hashed linear scorer
 (frequencies of character-class 4-grams and bucketed statistics) is trained on
-the posterior labels of at most ``MAX_SAMPLE`` documents, chosen by a hash of the
-id, and scores every whole text.
+the posterior labels of about ``MAX_SAMPLE`` documents at most, chosen by a hash of id
+and text, equal rows once, and scores every whole text.
 
 Defined results: null texts are empty; an empty text gets the score of the
 scorer's intercept and its statistics like any other; rows with equal ids are
@@ -201,7 +201,8 @@ def quality_scores(docs: DataFrame) -> DataFrame:
     total = int(n.sum())
     chosen = docs if total <= MAX_SAMPLE else docs.where(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(total)) < int(MAX_SAMPLE * 0.95))
-    rows = chosen.select("text").mapInArrow(_vectors, "votes binary, x binary").collect()  # about MAX_SAMPLE rows of 4 WIDTH bytes
+    # rows that are equal in both come all or none: they count once
+    rows = chosen.dropDuplicates(["doc_id", "text"]).select("text").mapInArrow(_vectors, "votes binary, x binary").collect()  # about MAX_SAMPLE rows of 4 WIDTH bytes
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, WIDTH)
     q = labels.posterior(np.array([list(r["votes"]) for r in rows], np.uint8).reshape(-1, len(LABELLERS)))
     model = spark.sparkContext.broadcast(fitted_scorer(x, q) if len(x) else (np.zeros(WIDTH), 0.0))

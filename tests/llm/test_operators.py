@@ -252,6 +252,12 @@ def test_names_of_wrappers_leave_the_article():
     for page in ('<div class="x site-footer">f</div>', "<p id=menu>f", '<div role="contentinfo">f</div>', "<div class='ad'>f</div>"):
         assert page_blocks(page) == [(2, "f")], page
     assert page_blocks('<div data-class="ad">f</div>') == [(1, "f")]
+    for name in ("cookie-banner cookie-notice comment-form comments-area user-comments post-comments related-posts share-buttons social-icons "
+                 "ad-slot ad-container adsbygoogle sidebar-left nav-primary newsletter-signup gdpr consent comment-list").split():
+        for tag in ("div", "section", "ul"):
+            assert kept(f'<article><p>a b</p><{tag} class="x {name}"><p>f g</p></{tag}><p>c</p></article>') == ["a b", "c"], name
+    for name in "share-price notice-of-award banner-year has-sidebar commentary adage social-history related-work-in-physics navy".split():
+        assert kept(f'<article><div class="{name}">a b</div></article>') == ["a b"], name
 
 
 def main_text_of(spark, bodies, **limits):
@@ -458,6 +464,11 @@ def test_quality_model(make):
     assert len(out) == 370 + len(EDGE) and all(out[i]["kept"] for i in range(300))
     assert np.mean([out[300 + i]["kept"] for i in range(70)]) < 0.1
     assert quality_scores(make([])).count() == 0
+    # thousands of equal rows are one row of the sample, and all of them are scored
+    many = [*good, *poor, *["one row again"] * 9000]
+    out = quality_scores(make(many, [min(i, 370) for i in range(len(many))])).collect()
+    assert len(out) == len(many) and all(r["kept"] for r in out if r["doc_id"] < 300)
+    assert len({r["score"] for r in out if r["doc_id"] == 370}) == 1
 
 
 # ---- Jaccard join -----------------------------------------------------------------
