@@ -96,12 +96,17 @@ def votes(stats: np.ndarray) -> np.ndarray:
 
 def features(data: np.ndarray, offsets: np.ndarray, stats: np.ndarray):
     """Hashed 4-grams (feature per byte position) and bucketed statistics (feature per text and statistic)."""
-    c = _CLASS[data]
-    grams = np.zeros(len(data), np.int64)
-    if len(data) > 3:
-        code = ((c[:-3] << np.uint64(24)) | (c[1:-2] << np.uint64(16)) | (c[2:-1] << np.uint64(8)) | c[3:])
-        with np.errstate(over="ignore"):
-            grams[:-3] = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    code = _CLASS[data]
+    follows = np.append(code, np.zeros(3, code.dtype))
+    for k in (1, 2, 3):
+        # the k-th class after each byte; nothing follows the end of a text, whatever text comes next
+        after = follows[k:len(data) + k].copy()
+        for j in range(1, k + 1):
+            last = offsets[1:] - j
+            after[last[last >= 0]] = 0
+        code = (code << np.uint64(8)) | after
+    with np.errstate(over="ignore"):
+        grams = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
     steps = np.clip(np.floor(np.log2(np.maximum(stats, 1 / 256)) + 8), 0, 15).astype(np.int64)
     return grams, GRAMS + np.arange(stats.shape[1]) * 16 + steps
 

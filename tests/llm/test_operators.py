@@ -468,7 +468,8 @@ def test_quality_model(make):
     many = [*good, *poor, *["one row again"] * 9000]
     out = quality_scores(make(many, [min(i, 370) for i in range(len(many))])).collect()
     assert len(out) == len(many) and all(r["kept"] for r in out if r["doc_id"] < 300)
-    assert len({r["score"] for r in out if r["doc_id"] == 370}) == 1
+    same = [r["score"] for r in out if r["doc_id"] == 370]  # batches of other sizes add up in another order
+    assert max(same) - min(same) < 1e-6
 
 
 # ---- Jaccard join -----------------------------------------------------------------
