@@ -11,7 +11,7 @@ from glucoframe.sources import bindings as B
 
 
 def _weights(spark, sf_dir):
-    return B.attention_weights(B.readings(spark, sf_dir))
+    return B.attention_weights(B.readings(spark, sf_dir), parts=B.sample_parts(spark, sf_dir))
 
 
 def _intervals(spark, sf_dir):
@@ -73,7 +73,7 @@ def q_mean_where_value(spark, sf_dir):
 def q_mean_by_state(spark, sf_dir):
     """Mean weight per slot state N / Up / Down (all three, Q12)."""
     rd = B.readings(spark, sf_dir)
-    return S.mean_by_state(B.attention_weights(rd), B.slot_states(rd))
+    return S.mean_by_state(B.attention_weights(rd, parts=B.sample_parts(spark, sf_dir)), B.slot_states(rd))
 
 
 @query("mean_in_range", """
@@ -131,5 +131,6 @@ def q_mean_in_segment_readings(spark, sf_dir):
     GROUP BY 1, 2, 3""", views=("weights", "stage_intervals"), round_cols=["m"])
 def q_stage_embedding_mean(spark, sf_dir):
     """Mean 4-d token vector inside each stage (token positions shifted by <cls>)."""
-    vec = S.stage_embedding_mean(B.token_vectors(B.readings(spark, sf_dir)), _intervals(spark, sf_dir))
+    tokens = B.token_vectors(B.readings(spark, sf_dir), parts=B.sample_parts(spark, sf_dir))
+    vec = S.stage_embedding_mean(tokens, _intervals(spark, sf_dir))
     return vec.select("sample_id", "stage", F.posexplode("vec").alias("dim", "m"))

@@ -18,7 +18,7 @@ LABELS = [f"L{i}" for i in range(10)]
 
 
 def _token_vecs(spark, sf_dir):
-    return B.token_vectors(B.readings(spark, sf_dir))
+    return B.token_vectors(B.readings(spark, sf_dir), parts=B.sample_parts(spark, sf_dir))
 
 
 _TV_SQL = f"""tv AS (SELECT sample_id, tpos, d AS dim, {u_sql(13, 'sample_id', 'tpos', 'd')} AS x
@@ -51,8 +51,8 @@ def q_sample_cls_pool(spark, sf_dir):
        views=("weights",), round_cols=["m"])
 def q_sample_two_layer_pool(spark, sf_dir):
     """A20 (two layers): mean token vectors of two layers without <cls>, one after the other."""
-    rd = B.readings(spark, sf_dir)
-    v = V.two_layer_pool(B.token_vectors(rd), B.token_vectors(rd, seed=14), exclude_cls=True)
+    rd, parts = B.readings(spark, sf_dir), B.sample_parts(spark, sf_dir)
+    v = V.two_layer_pool(B.token_vectors(rd, parts=parts), B.token_vectors(rd, seed=14, parts=parts), exclude_cls=True)
     return v.select("sample_id", F.posexplode("vec").alias("dim", "m"))
 
 

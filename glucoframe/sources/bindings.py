@@ -26,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: events whose readings a task holds where each reading becomes many rows (per layer, head and query)
+EVENTS_PER_TASK = 50_000
+
+
+def sample_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions that hold about ``EVENTS_PER_TASK`` events, one per core at least. Spark sizes partitions by the
+    bytes it shuffles, which tell little where a short row is turned into many after the shuffle; the
+    number of events comes from the footers of the files."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "events").count() // EVENTS_PER_TASK))
+
+
 def sample_key(person, day) -> F.Column:
     return F.concat_ws("_", person.cast("string"), F.date_format(day, "yyyy-MM-dd"))
 
@@ -95,27 +106,30 @@ def slot_states(rd: DataFrame, delta: float = 5.0) -> DataFrame:
                      F.when(d > delta, "Up").when(d < -delta, "Down").otherwise("N").alias("state"))
 
 
-def token_positions(rd: DataFrame) -> DataFrame:
+def token_positions(rd: DataFrame, parts: int | None = None) -> DataFrame:
     """(sample_id, tpos): <cls> at 0 and every reading at pos + 1. The rows lie by sample: only
     (sample, position) pairs are shuffled, and what is derived from them per layer, head or
-    dimension stays where the sample is."""
+    dimension stays where the sample is, in ``parts`` partitions (:func:`sample_parts`; None: as
+    many as Spark makes of the pairs' bytes)."""
+    if parts:
+        rd = rd.select("sample_id", "pos").repartition(parts, "sample_id")
     days = rd.groupBy("sample_id").agg(F.collect_list(F.col("pos") + 1).alias("_t"))
     return days.select("sample_id", F.explode(F.concat(F.array(F.lit(0)), "_t")).alias("tpos"))
 
 
-def attention_weights(rd: DataFrame, layers: int = 4, heads: int = 2) -> DataFrame:
+def attention_weights(rd: DataFrame, layers: int = 4, heads: int = 2, parts: int | None = None) -> DataFrame:
     """(sample_id, tpos, layer, head, w): a weight at <cls> (tpos 0) and at every reading (pos + 1)."""
     k = F.explode(F.sequence(F.lit(0), F.lit(layers * heads - 1))).alias("k")
-    p = token_positions(rd).select("sample_id", "tpos", k)
+    p = token_positions(rd, parts).select("sample_id", "tpos", k)
     p = p.select("sample_id", "tpos", (F.col("k") / heads).cast("int").alias("layer"),
                  (F.col("k") % heads).cast("int").alias("head"))
     return p.withColumn("w", u(11, "sample_id", "tpos", "layer", "head"))
 
 
-def token_vectors(rd: DataFrame, width: int = 4, seed: int = 13) -> DataFrame:
+def token_vectors(rd: DataFrame, width: int = 4, seed: int = 13, parts: int | None = None) -> DataFrame:
     """(sample_id, tpos, vec): a vector of hash noise at every token position."""
     vec = F.array(*[u(seed, "sample_id", "tpos", F.lit(d)) for d in range(width)])
-    return token_positions(rd).withColumn("vec", vec)
+    return token_positions(rd, parts).withColumn("vec", vec)
 
 
 def meal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
