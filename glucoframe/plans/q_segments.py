@@ -118,7 +118,8 @@ def q_mean_in_segment_weights(spark, sf_dir):
        views=("readings", "stage_intervals"), round_cols=["mean"])
 def q_mean_in_segment_readings(spark, sf_dir):
     """A18 on readings: mean glucose per (sample, stage); empty stage -> 0."""
-    out = S.mean_in_segment(B.readings(spark, sf_dir), _intervals(spark, sf_dir), "value")
+    rd = B.readings(spark, sf_dir).repartition(B.sample_parts(spark, sf_dir), "sample_id")
+    out = S.mean_in_segment(rd, _intervals(spark, sf_dir), "value")
     return out.select("sample_id", "stage", "mean")
 
 

@@ -145,14 +145,16 @@ def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Breakfast / lunch / dinner = first meal in slots [60,132) / [132,192) / [192,264);
     a meal segment ends 24 slots (two hours) later, capped at 287; dawn is [36, 96];
-    fasting runs from 0 to the breakfast start (or 96 without breakfast).
+    fasting runs from 0 to the breakfast start (or 96 without breakfast). The rows lie by sample, in
+    as many partitions as weights of the same tables do (:func:`sample_parts`).
     """
+    parts = sample_parts(spark, sf_dir)
     m = meal_events(spark, sf_dir)
     agg = m.groupBy("sample_id").agg(
         F.min(F.when((F.col("slot") >= 60) & (F.col("slot") < 132), F.col("slot"))).alias("Breakfast_s"),
         F.min(F.when((F.col("slot") >= 132) & (F.col("slot") < 192), F.col("slot"))).alias("Lunch_s"),
-        F.min(F.when((F.col("slot") >= 192) & (F.col("slot") < 264), F.col("slot"))).alias("Dinner_s"))
-    s = sample_labels(spark, sf_dir).select("sample_id").join(agg, "sample_id", "left")
+        F.min(F.when((F.col("slot") >= 192) & (F.col("slot") < 264), F.col("slot"))).alias("Dinner_s")).repartition(parts, "sample_id")
+    s = sample_labels(spark, sf_dir).select("sample_id").repartition(parts, "sample_id").join(agg, "sample_id", "left")
     out = s.select(
         "sample_id",
         F.lit(0).alias("Fast_s"), F.coalesce(F.col("Breakfast_s"), F.lit(96)).alias("Fast_e"),

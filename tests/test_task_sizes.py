@@ -23,7 +23,7 @@ def _by_partition(df):
     return [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
 
 
-@pytest.mark.parametrize("name", ["attention_received"])
+@pytest.mark.parametrize("name", ["attention_received", "mean_in_segment_weights"])
 def test_tasks_hold_a_bounded_number_of_events(spark, folder, monkeypatch, name):
     whole = sorted(map(tuple, E.queries()[name](spark, folder).collect()))
     monkeypatch.setattr(B, "EVENTS_PER_TASK", 100)
