@@ -60,12 +60,14 @@ def readings_15min(rd: DataFrame) -> DataFrame:
 
 def month_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person, sample_id, pos, value): a person's month as one series of three-hour blocks
-    (248 at most; sample_id = "<user>_<yyyy-mm>"), dense enough for spectra and unit-root tests."""
+    (248 at most; sample_id = "<user>_<yyyy-mm>"), dense enough for spectra and unit-root tests. The rows lie
+    by sample (:func:`sample_parts`): what is made of a series, many rows per reading, stays there."""
     ev = table(spark, sf_dir, "events").select("user_id", "ts", "value")
     pos = ((F.dayofmonth("ts") - 1) * 8 + F.floor(F.hour("ts") / 3)).cast("int")
     g = ev.groupBy(F.col("user_id").alias("person"), F.date_format("ts", "yyyy-MM").alias("month"), pos.alias("pos")).agg(
         F.avg("value").alias("value"))
-    return g.select("person", F.concat_ws("_", F.col("person").cast("string"), "month").alias("sample_id"), "pos", "value")
+    out = g.select("person", F.concat_ws("_", F.col("person").cast("string"), "month").alias("sample_id"), "pos", "value")
+    return out.repartition(sample_parts(spark, sf_dir), "sample_id")
 
 
 def person_labels(person: F.Column) -> dict:

@@ -9,7 +9,7 @@ from glucoframe.sources import bindings as B
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """400 persons with five readings and a meal each, on one day."""
+    """400 persons with five readings and a meal each, in four blocks of three hours, on one day."""
     path = str(tmp_path_factory.mktemp("events"))
     minute = F.col("id") % 6 * 95 + 310
     spark.range(2400).coalesce(1).select(
@@ -32,3 +32,11 @@ def test_tasks_hold_a_bounded_number_of_events(spark, folder, monkeypatch, name)
     sizes = _by_partition(df)
     # 24 parts; three times the even share leaves room for the hash
     assert sum(sizes) == len(whole) and max(sizes) <= 3 * len(whole) / 24
+
+
+def test_month_series_lie_in_bounded_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(B, "EVENTS_PER_TASK", 100)
+    df = B.month_series(spark, folder)
+    sizes = _by_partition(df)
+    assert sum(sizes) == df.count() == 1600 and max(sizes) <= 3 * 1600 / 24
+    assert df.select("sample_id", F.spark_partition_id()).distinct().count() == 400
