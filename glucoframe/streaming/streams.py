@@ -146,13 +146,19 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", watermark: str =
     return g.select("person", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "mean_value")
 
 
+#: an open wear period in the state: its person (0 and ``nobody`` for null), times in microseconds
+SESSION = np.dtype([("nobody", "?"), ("person", "i8"), ("first", "i8"), ("last", "i8"), ("n", "i8"), ("total", "f8"), ("low", "i8")])
+
+
 class WearSessions(StatefulProcessor):
-    """Open wear periods of one person, held as state until the watermark passes their end.
+    """Open wear periods of the persons of one bucket, held as state until the watermark passes their end.
 
-    Readings are folded into sessions a batch at a time; what is kept is one small row per open
-    session, however many readings it has. An event-time timer at the next end emits what is due."""
+    Readings are folded into sessions a batch at a time; what is kept is one small record per open
+    session, however many readings it has, all of a bucket packed into one state value: each call
+    for state or timers costs milliseconds, so there are a few per bucket and none per person. An
+    event-time timer at the bucket's next end emits what is due."""
 
-    STATE = "first long, last long, n long, total double, low long"
+    STATE = "sessions binary"
     OUT = "person long, start timestamp, end timestamp, n long, mean_value double, n_low long"
 
     def __init__(self, gap_us: int):
@@ -160,68 +166,84 @@ class WearSessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", self.STATE)
+        self.open = handle.getValueState("open", self.STATE)
+
+    def _held(self) -> np.ndarray:
+        value = self.open.get()
+        return np.frombuffer(bytes(value[0]) if value else b"", SESSION)
 
     def _folded(self, parts: list[np.ndarray]) -> np.ndarray:
-        """Sessions (first, last, n, total, low) that touch become one."""
+        """Sessions of a person that touch become one."""
         s = np.concatenate(parts)
-        s = s[np.argsort(s[:, 0], kind="stable")]
-        reach = np.maximum.accumulate(s[:, 1])
-        begin = np.r_[True, s[1:, 0] >= reach[:-1] + self.gap_us]
-        at = np.flatnonzero(begin)
-        ends = np.maximum.reduceat(s[:, 1], at)
-        return np.column_stack([s[at, 0], ends, *(np.add.reduceat(s[:, k], at) for k in (2, 3, 4))])
+        s = s[np.lexsort((s["first"], s["person"], s["nobody"]))]
+        other = np.r_[True, (s["person"][1:] != s["person"][:-1]) | (s["nobody"][1:] != s["nobody"][:-1])]
+        reach = pd.Series(s["last"]).groupby(np.cumsum(other)).cummax().to_numpy()
+        at = np.flatnonzero(other | np.r_[True, s["first"][1:] >= reach[:-1] + self.gap_us])
+        out = s[at]
+        out["last"] = np.maximum.reduceat(s["last"], at)
+        for k in ("n", "total", "low"):
+            out[k] = np.add.reduceat(s[k], at)
+        return out
 
     def handleInputRows(self, key, rows, timerValues):
-        held = [np.array([list(r)], object) for r in self.open.get()]
-        parts = held
+        held = self._held()
+        sessions, touched = held, False
         for pdf in rows:
-            us = pdf["us"].to_numpy().astype(object)
-            v = pdf["value"].to_numpy(np.float64)
-            ok = ~np.isnan(v)
-            new = np.column_stack([us, us, ok.astype(int).astype(object), np.where(ok, v, 0.0).astype(object), (ok & (v <= LOW)).astype(int).astype(object)])
             # null readings are no wear
-            new = new[ok]
-            if len(new):
-                parts = [self._folded([*parts, new])]
-        if parts is held:
-            return
-        sessions = parts[0]
-        self.open.put([(int(a), int(b), int(n), float(t), int(low)) for a, b, n, t, low in sessions])
-        # one timer at a time: the next end
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(self._due(sessions[:, 1].min()))
+            pdf = pdf[pdf["value"].notna()]
+            if len(pdf):
+                new = np.zeros(len(pdf), SESSION)
+                for k, c in (("nobody", "nobody"), ("person", "person"), ("first", "us"), ("last", "us"), ("total", "value")):
+                    new[k] = pdf[c].to_numpy()
+                new["n"], new["low"] = 1, new["total"] <= LOW
+                sessions, touched = self._folded([sessions, new]), True
+        if touched:
+            self.open.update((sessions.tobytes(),))
+            # one timer at a time: the next end
+            before, due = self._next(held), self._next(sessions)
+            if before != due:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(due)
         return
         yield  # a generator without rows
 
-    def _due(self, last: int) -> int:
-        return -(-(int(last) + self.gap_us) // 1000)  # milliseconds, not before the end
+    def _due(self, last):
+        return -(-(last + self.gap_us) // 1000)  # milliseconds, not before the end
+
+    def _next(self, sessions: np.ndarray) -> int | None:
+        return int(self._due(sessions["last"].min())) if len(sessions) else None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.open.get()]
-        done, left = [r for r in held if self._due(r[1]) <= now], [r for r in held if self._due(r[1]) > now]
-        if left:
-            self.open.put(left)
-            self.handle.registerTimer(min(self._due(r[1]) for r in left))
+        held = self._held()
+        ended = self._due(held["last"]) <= timerValues.getCurrentWatermarkInMs()
+        done, left = held[ended], held[~ended]
+        if len(left):
+            self.open.update((left.tobytes(),))
+            self.handle.registerTimer(self._next(left))
         else:
             self.open.clear()
-        if done:
-            at = lambda us: pd.to_datetime(np.array(us, np.int64), unit="us")
-            yield pd.DataFrame({"person": [key[0]] * len(done), "start": at([r[0] for r in done]), "end": at([r[1] + self.gap_us for r in done]),
-                                "n": [r[2] for r in done], "mean_value": [r[3] / r[2] for r in done], "n_low": [r[4] for r in done]})
+        if len(done):
+            yield pd.DataFrame({"person": pd.array(done["person"], "Int64"), "start": pd.to_datetime(done["first"], unit="us"),
+                                "end": pd.to_datetime(done["last"] + self.gap_us, unit="us"), "n": done["n"],
+                                "mean_value": done["total"] / done["n"], "n_low": done["low"]}).assign(
+                person=lambda d: d["person"].mask(done["nobody"]))
 
     def close(self) -> None:
         pass
 
 
-def stream_wear_sessions(stream: DataFrame, gap_minutes: int = 30, watermark: str = "1 hour") -> DataFrame:
+def stream_wear_sessions(stream: DataFrame, gap_minutes: int = 30, watermark: str = "1 hour", buckets: int = 2048) -> DataFrame:
     """T4 with state of its own: wear periods with their number of low readings, each put out once,
-    when the watermark passes its end. Null readings do not count as wear."""
+    when the watermark passes its end. Null readings do not count as wear.
+
+    State is keyed by ``buckets`` of persons (by hash), so a micro-batch makes a bounded number of
+    state calls, however many persons it holds; a query keeps its number of buckets for life."""
+    person = F.col("user_id")
     rows = (stream.withWatermark("ts", watermark)
-            .select(F.col("user_id").alias("person"), "ts", F.unix_micros("ts").alias("us"), "value"))
-    return rows.groupBy("person").transformWithStateInPandas(
+            .select(F.pmod(F.xxhash64(person), F.lit(buckets)).cast("int").alias("bucket"), person.isNull().alias("nobody"),
+                    F.coalesce(person, F.lit(0)).cast("long").alias("person"), "ts", F.unix_micros("ts").alias("us"), "value"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         WearSessions(gap_minutes * 60 * 1_000_000), WearSessions.OUT, "append", "EventTime")
 
 
